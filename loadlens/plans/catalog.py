@@ -662,3 +662,92 @@ def s6(spark, d):
 SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 5""")
 def s5(spark, d):
     return preview(table(spark, d, "customer"), 5, drop=["c_acctbal"], order_by=["c_custkey"])
+
+
+# === regression job ===========================================================================
+
+from loadlens.operators import regression  # noqa: E402
+
+P_TARGET = "l_extendedprice"
+P_FEATURES = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_FOREST_RUNS: dict[tuple[str, str], regression.ForestRun] = {}
+
+
+def forest_run(spark: SparkSession, d: str) -> regression.ForestRun:
+    """Fit once per session and table folder; the three forest outputs share it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FOREST_RUNS:
+        _FOREST_RUNS[key] = regression.fit_forest(table(spark, d, "lineitem"), P_TARGET, P_FEATURES)
+    return _FOREST_RUNS[key]
+
+
+def _p2_row(c: str, pos: int, dtype: str, is_time: bool) -> str:
+    return (f"SELECT '{c}' AS feature, {pos} AS position, '{dtype}' AS dtype, COUNT({c}) AS non_null, "
+            f"COALESCE(MIN({c}) < MAX({c}), false) AS varies, {str(is_time).lower()} AS is_time "
+            f"FROM lineitem WHERE {P_TARGET} IS NOT NULL")
+
+
+_P2_TYPES = ["double", "double", "double", "string", "string", "timestamp_ntz"]
+
+
+@register("P2_P4_feature_profile", "WITH p AS (" + "\nUNION ALL ".join(
+    _p2_row(c, i, t, t == "timestamp_ntz") for i, (c, t) in enumerate(zip(P_FEATURES, _P2_TYPES))) + """)
+SELECT feature, position, dtype, non_null, varies, is_time, non_null > 0 AND varies AND NOT is_time AS kept
+FROM p ORDER BY position""")
+def p2(spark, d):
+    li = table(spark, d, "lineitem").filter(F.col(P_TARGET).isNotNull())
+    return regression.feature_profile(li, P_FEATURES)
+
+
+@register("P6_numeric_feature_stats", f"""
+SELECT feature, round(mean, {ROUND}) AS mean, round(std, {ROUND}) AS std FROM (
+  SELECT 'l_quantity' AS feature, AVG(l_quantity) AS mean, STDDEV_SAMP(l_quantity) AS std FROM lineitem
+  UNION ALL SELECT 'l_discount', AVG(l_discount), STDDEV_SAMP(l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', AVG(l_tax), STDDEV_SAMP(l_tax) FROM lineitem) s""")
+def p6(spark, d):
+    s = regression.numeric_stats(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
+    return s.select("feature", F.round("mean", ROUND).alias("mean"), F.round("std", ROUND).alias("std"))
+
+
+@register("P7_text_feature_modes", """
+SELECT feature, value AS mode FROM (
+  SELECT feature, value, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY n DESC, value ASC) AS rn FROM (
+    SELECT 'l_returnflag' AS feature, l_returnflag AS value, COUNT(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 2
+    UNION ALL SELECT 'l_linestatus', l_linestatus, COUNT(*) FROM lineitem WHERE l_linestatus IS NOT NULL GROUP BY 2) c) r
+WHERE rn = 1""")
+def p7(spark, d):
+    return regression.text_modes(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@register("P11_P14_metrics_of_group_mean_predictor", f"""
+WITH m AS (SELECT l_quantity, AVG(l_extendedprice) AS pred FROM lineitem GROUP BY l_quantity),
+j AS (SELECT l.l_extendedprice AS y, m.pred AS p FROM lineitem l JOIN m ON l.l_quantity = m.l_quantity
+      WHERE l.l_extendedprice IS NOT NULL),
+a AS (SELECT AVG(y) AS my FROM j)
+SELECT COUNT(*) AS n_test, round(1 - SUM((y - p) * (y - p)) / SUM((y - my) * (y - my)), {ROUND}) AS r2,
+       round(AVG(abs(y - p)), {ROUND}) AS mae, round(regr_slope(p, y), {ROUND}) AS trend_slope,
+       round(regr_intercept(p, y), {ROUND}) AS trend_intercept
+FROM j, a""")
+def p11(spark, d):
+    li = table(spark, d, "lineitem").filter(F.col(P_TARGET).isNotNull())
+    # predictor: the mean target per quantity (a hash aggregate joined back on the key;
+    # AQE broadcasts the per-key means when small and splits skewed keys otherwise)
+    means = li.groupBy("l_quantity").agg(F.avg(P_TARGET).alias("pred"))
+    j = li.join(means, "l_quantity").select(F.col(P_TARGET).alias("y"), F.col("pred").alias("p"))
+    m = regression.regression_metrics(j, "y", "p")
+    return m.select("n_test", *[F.round(c, ROUND).alias(c) for c in ("r2", "mae", "trend_slope", "trend_intercept")])
+
+
+@register("P_forest_metrics")
+def p_metrics(spark, d):
+    return regression.metrics(forest_run(spark, d))
+
+
+@register("P12_forest_importances")
+def p12(spark, d):
+    return regression.importances(forest_run(spark, d))
+
+
+@register("P13_forest_actual_vs_predicted_sample")
+def p13(spark, d):
+    return regression.actual_vs_predicted_sample(forest_run(spark, d))
