@@ -1,0 +1,2 @@
+"""DataFrame -> DataFrame operators (aggregates, filters, KPIs, time series, density,
+anomalies, regression)."""

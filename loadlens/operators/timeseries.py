@@ -9,14 +9,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from loadlens.functions.cleaning import ms_to_seconds
 from loadlens.functions.timebuckets import bucket_ordinal, bucket_spine, hour_bucket
 from loadlens.operators.aggregates import MetricSpec, group_metrics
 
 
+def truncate_to_hour(df: DataFrame, ts: str) -> Column:
+    """Start of the clock hour, keeping the column's timestamp flavour.
+
+    ``date_trunc`` returns a zoned timestamp; for a zone-less (NTZ) column the
+    hour is rebuilt from its fields so no time-zone conversion is involved.
+    """
+    c = F.col(ts)
+    if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        return F.make_timestamp_ntz(F.year(c), F.month(c), F.dayofmonth(c), F.hour(c), F.lit(0), F.lit(0))
+    return F.date_trunc("hour", c)
+
+
 def hourly_mean(df: DataFrame, ts: str, value: str, decimal_scale: int | None = None,
                 hour_col: str = "hour", alias: str | None = None) -> DataFrame:
     """Mean of ``value`` per clock hour of ``ts``; hours without rows are absent.
@@ -25,7 +38,7 @@ def hourly_mean(df: DataFrame, ts: str, value: str, decimal_scale: int | None =
     hash aggregate; rows with a null timestamp are dropped.
     """
     out = alias or value
-    keyed = df.select(F.date_trunc("hour", F.col(ts)).alias(hour_col), F.col(value))
+    keyed = df.select(truncate_to_hour(df, ts).alias(hour_col), F.col(value))
     agg = group_metrics(keyed, hour_col, [(out, "avg", value)], decimal_scale)
     return agg.orderBy(hour_col)
 

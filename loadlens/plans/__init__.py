@@ -1,0 +1 @@
+"""Section reports over workload exports, and the registered query catalog."""
