@@ -29,16 +29,22 @@ SHORT_LABEL_SUFFIX = "..."
 # accept some of it.
 _NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 # Unicode whitespace as Python's str.isspace() defines it (what the exports'
-# cleaning treats as blank), written out so every regex engine agrees.
+# cleaning treats as blank), written out as an explicit class for SQL engines.
 WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
+# The same set for Java regexes: the Unicode White_Space property (``\s`` under
+# UNICODE_CHARACTER_CLASS) plus U+001C..U+001F. Java matches a property class
+# about 20x faster than the explicit list of ranges.
+JAVA_WHITESPACE_CLASS = r"\s\x{1C}-\x{1F}"
 # Whitespace at either end (str.strip semantics).
 EDGE_SPACE_RE = rf"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$"
 # Runs of characters that are neither printable ASCII nor whitespace.
 NON_PRINTABLE_RE = rf"[^\x{{20}}-\x{{7E}}{WHITESPACE_CLASS}]+"
 NUMBER_RE = _NUMBER_RE
-_EDGE_SPACE_RE = EDGE_SPACE_RE
-_NON_PRINTABLE_RE = NON_PRINTABLE_RE
+_EDGE_SPACE_RE = rf"(?U)^[{JAVA_WHITESPACE_CLASS}]+|[{JAVA_WHITESPACE_CLASS}]+$"
+_NON_PRINTABLE_RE = rf"(?U)[^\x{{20}}-\x{{7E}}{JAVA_WHITESPACE_CLASS}]+"
+# Whole text empty or the literal "nan" (the text is already stripped).
+_MISSING_TEXT_RE = rf"^(?:{NAN_TEXT})?\z"
 
 
 def _col(c: Column | str) -> Column:
@@ -55,12 +61,14 @@ def clean_string(c: Column | str, default: str = DEFAULT_TEXT) -> Column:
 
     null, the text ``nan`` and text that ends up empty all become ``default``.
     Accented letters count as non-printable (an export convention), a
-    non-breaking space inside the text is kept.
+    non-breaking space inside the text is kept. The cleaned text is referenced
+    once (a regex swaps the empty / ``nan`` text for the default), so the
+    regexes run once per value.
     """
     text = unicode_strip(_col(c).cast("string"))
     text = unicode_strip(F.regexp_replace(text, _NON_PRINTABLE_RE, " "))
-    return (F.when(text.isNull() | (text == "") | (text == NAN_TEXT), F.lit(default))
-            .otherwise(text))
+    replacement = default.replace("\\", "\\\\").replace("$", "\\$")
+    return F.coalesce(F.regexp_replace(text, _MISSING_TEXT_RE, replacement), F.lit(default))
 
 
 def to_double(c: Column | str, source_type: DataType | None = None) -> Column:

@@ -151,7 +151,11 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
                                         featureSubsetStrategy="all", cacheNodeIds=has_ckpt,
                                         checkpointInterval=10))
 
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    # The fit makes one pass per tree level (plus the pre-processing fits), so
+    # the training set is persisted, and spread over at least one partition per
+    # core when the scan is coarser than that (a single large file or row group).
+    # On a big input this is a no-op: the scan already has more partitions.
+    train = ensure_parallelism(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         model = Pipeline(stages=stages).fit(train)
     finally:
@@ -161,6 +165,12 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
     return ForestRun(target, numeric, text, dropped, model, train, test, preds, names)
 
 
+def ensure_parallelism(df: DataFrame) -> DataFrame:
+    """Round-robin repartition to the cluster's default parallelism if ``df`` has fewer partitions."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _cap_categories(train: DataFrame, test: DataFrame, text: Sequence[str], k: int):
     """Keep the k most frequent categories per text column; others become one shared bucket."""
     for c in text:

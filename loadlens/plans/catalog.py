@@ -568,7 +568,7 @@ WHERE ts >= (SELECT MAX(ts) FROM events) - {interval}"""
 def _trailing(spark, d, period):
     r = filters.trailing_range(table(spark, d, "events"), "ts", period)
     return r.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.sum(F.col("value").cast("decimal(28,2)")).cast("double").alias("sum_value"))
+                 agg.exact_sum("value", DEC).alias("sum_value"))
 
 
 @register("F11_trailing_6h_rows", """
@@ -593,7 +593,7 @@ WHERE o_orderdate >= date_trunc('year', (SELECT MAX(o_orderdate) FROM orders))""
 def f11d(spark, d):
     r = filters.trailing_range(table(spark, d, "orders"), "o_orderdate", "ytd")
     return r.agg(F.count(F.lit(1)).alias("n_rows"),
-                 F.sum(F.col("o_totalprice").cast("decimal(28,2)")).cast("double").alias("sum_value"))
+                 agg.exact_sum("o_totalprice", DEC).alias("sum_value"))
 
 
 # === cleaning functions on real columns =====================================================

@@ -1,7 +1,6 @@
 """Regression job (metric bounds, determinism) and the streaming hourly trend."""
 
-import datetime as dt
-import os
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,10 +66,11 @@ def test_streaming_hourly_mean_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     events.repartition(3).write.parquet(str(src))
     s = stream.read_export_stream(spark, str(src), events.schema, max_files_per_trigger=1)
-    q = stream.start(stream.hourly_mean_stream(s, "ts", "value", "2 hours"), "hourly_test", output_mode="complete",
+    name = f"hourly_{uuid.uuid4().hex[:8]}"      # fresh checkpoint: a reused name resumes the old stream
+    q = stream.start(stream.hourly_mean_stream(s, "ts", "value", "2 hours"), name, output_mode="complete",
                      available_now=True)
     q.awaitTermination(120)
-    got = {r["hour"]: r["value"] for r in spark.sql("SELECT * FROM hourly_test").collect()}
+    got = {r["hour"]: r["value"] for r in spark.sql(f"SELECT * FROM {name}").collect()}
     want = {r["hour"]: r["value"] for r in hourly_mean(events, "ts", "value").collect()}
     assert set(got) == set(want)
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
@@ -81,8 +81,9 @@ def test_streaming_bucket_totals(spark, tmp_path):
     src = tmp_path / "in"
     events.write.parquet(str(src))
     s = stream.read_export_stream(spark, str(src), events.schema)
-    q = stream.start(stream.bucket_metrics_stream(s, "ts", [("n", "count", "*")]), "bucket_test",
+    name = f"bucket_{uuid.uuid4().hex[:8]}"
+    q = stream.start(stream.bucket_metrics_stream(s, "ts", [("n", "count", "*")]), name,
                      output_mode="complete", available_now=True)
     q.awaitTermination(120)
-    total = spark.sql("SELECT SUM(n) AS n FROM bucket_test").first()["n"]
+    total = spark.sql(f"SELECT SUM(n) AS n FROM {name}").first()["n"]
     assert total == events.count()
