@@ -103,63 +103,63 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
     if target not in numeric_columns(df):
         raise ValueError(f"target {target!r} is not numeric")
     feats = [c for c in (features or df.columns) if c != target]
-    data = df.filter(F.col(target).isNotNull())
-
-    prof = feature_profile(data, feats).collect()          # one row per feature (bounded)
-    kept = [r["feature"] for r in prof if r["kept"]]
-    dropped = [r["feature"] for r in prof if not r["kept"]]
     types = {f.name: f.dataType for f in df.schema.fields}
-    numeric = [c for c in kept if isinstance(types[c], NumericType)]
-    text = [c for c in kept if isinstance(types[c], StringType)]
-    if not numeric and not text:
-        raise ValueError("no usable feature left")
-
-    # Most-frequent imputation for texts (modes computed on the training part).
-    flag = split_flag(df.columns)
-    cols = [target, *numeric, *text]
-    base = data.select(*[F.col(c).cast("double").alias(c) if c in numeric or c == target else F.col(c)
-                         for c in cols], flag.alias("__train"))
-    train = base.filter("__train").drop("__train")
-    test = base.filter(~F.col("__train")).drop("__train")
-    if text:
-        modes = {r["feature"]: r["mode"] for r in text_modes(train, text).collect()}   # one per column
-        fill = {c: modes[c] for c in text if modes.get(c) is not None}
-        train, test = train.na.fill(fill), test.na.fill(fill)
-        if max_categories:
-            train, test = _cap_categories(train, test, text, max_categories)
-
-    stages = []
-    vec_inputs = []
-    if numeric:
-        imp = [f"{c}__imp" for c in numeric]
-        stages += [Imputer(strategy="mean", inputCols=numeric, outputCols=imp),
-                   VectorAssembler(inputCols=imp, outputCol="__num", handleInvalid="keep"),
-                   StandardScaler(inputCol="__num", outputCol="__num_std", withMean=True, withStd=True)]
-        vec_inputs.append("__num_std")
-    if text:
-        idx = [f"{c}__idx" for c in text]
-        ohe = [f"{c}__ohe" for c in text]
-        stages += [StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep"),
-                   # the indexer's extra "unseen" index is the last slot, which dropLast removes:
-                   # an unseen category encodes as all zeros
-                   OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
-        vec_inputs += ohe
-    stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features"))
-    has_ckpt = bool(checkpoint_dir(df.sparkSession))
-    stages.append(RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
-                                        numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                        featureSubsetStrategy="all", cacheNodeIds=has_ckpt,
-                                        checkpointInterval=10))
-
-    # The fit makes one pass per tree level (plus the pre-processing fits), so
-    # the training set is persisted, and spread over at least one partition per
-    # core when the scan is coarser than that (a single large file or row group).
-    # On a big input this is a no-op: the scan already has more partitions.
-    train = ensure_parallelism(train).persist(StorageLevel.MEMORY_AND_DISK)
+    # One scan of the source: the candidate columns plus the split flag (a hash
+    # of every source column), persisted and spread over at least one partition
+    # per core when the scan is coarser (a single large file or row group; on a
+    # big input this is a no-op). Profile, modes, pre-processing fits and the
+    # per-level passes of the forest all read this copy.
+    base = (df.filter(F.col(target).isNotNull())
+            .select(target, *feats, split_flag(df.columns).alias("__train")))
+    base = ensure_parallelism(base).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        prof = feature_profile(base, feats).collect()          # one row per feature (bounded)
+        kept = [r["feature"] for r in prof if r["kept"]]
+        dropped = [r["feature"] for r in prof if not r["kept"]]
+        numeric = [c for c in kept if isinstance(types[c], NumericType)]
+        text = [c for c in kept if isinstance(types[c], StringType)]
+        if not numeric and not text:
+            raise ValueError("no usable feature left")
+
+        cols = [target, *numeric, *text]
+        typed = base.select(*[F.col(c).cast("double").alias(c) if c in numeric or c == target else F.col(c)
+                              for c in cols], "__train")
+        train = typed.filter("__train").drop("__train")
+        test = typed.filter(~F.col("__train")).drop("__train")
+        if text:
+            # most-frequent imputation, modes learnt on the training part
+            modes = {r["feature"]: r["mode"] for r in text_modes(train, text).collect()}   # one per column
+            fill = {c: modes[c] for c in text if modes.get(c) is not None}
+            train, test = train.na.fill(fill), test.na.fill(fill)
+            if max_categories:
+                train, test = _cap_categories(train, test, text, max_categories)
+
+        stages = []
+        vec_inputs = []
+        if numeric:
+            imp = [f"{c}__imp" for c in numeric]
+            stages += [Imputer(strategy="mean", inputCols=numeric, outputCols=imp),
+                       VectorAssembler(inputCols=imp, outputCol="__num", handleInvalid="keep"),
+                       StandardScaler(inputCol="__num", outputCol="__num_std", withMean=True, withStd=True)]
+            vec_inputs.append("__num_std")
+        if text:
+            idx = [f"{c}__idx" for c in text]
+            ohe = [f"{c}__ohe" for c in text]
+            stages += [StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep"),
+                       # the indexer's extra "unseen" index is the last slot, which dropLast removes:
+                       # an unseen category encodes as all zeros
+                       OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+            vec_inputs += ohe
+        stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features"))
+        # node ids are cached between levels and checkpointed into the shared folder
+        stages.append(RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
+                                            numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                            featureSubsetStrategy="all",
+                                            cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
+                                            checkpointInterval=10))
         model = Pipeline(stages=stages).fit(train)
     finally:
-        train.unpersist()
+        base.unpersist()
     preds = model.transform(test)
     names = _feature_names(preds, numeric)
     return ForestRun(target, numeric, text, dropped, model, train, test, preds, names)
