@@ -232,7 +232,8 @@ def users_section(dfs: Mapping[str, DataFrame], f: Filters | None = None,
     if f and f.accounts and "BNAME" in u.columns:
         u = filters.in_values(u, "BNAME", f.accounts)
     if _has(u, "USTYP"):
-        out["count_by_user_type"] = agg.share_of_total(agg.count_by(u, "USTYP", "count"), "count")
+        # USTYP is a one-letter type code: a small domain, so the share window sees a handful of rows
+        out["count_by_user_type"] = agg.share_of_small(agg.count_by(u, "USTYP", "count"), "count")
     if _has(u, "GLTGB_DATE"):
         out["count_by_validity_date"] = agg.count_by(u, "GLTGB_DATE", "count").orderBy("GLTGB_DATE")
     if _has(full, "BNAME", "GLTGB_DATE"):
