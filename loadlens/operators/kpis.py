@@ -26,7 +26,6 @@ def kpis(spark: SparkSession, hitlist: DataFrame | None = None, memory: DataFram
          sql_trace: DataFrame | None = None, resp: str = "RESPTI", cpu: str = "CPUTI",
          dbcalls: str = "DBCALLS", used: str = "USEDBYTES", totalexec: str = "TOTALEXEC") -> DataFrame:
     """avg response (s), avg memory (MiB), total DB calls, total SQL executions, avg CPU (s)."""
-    cols: list[Column] = []
     hit_fields = {n: e for n, e, ok in [
         ("resp", F.avg(F.col(resp)), _has(hitlist, resp)),
         ("db", F.sum(F.col(dbcalls)), _has(hitlist, dbcalls)),
@@ -34,9 +33,6 @@ def kpis(spark: SparkSession, hitlist: DataFrame | None = None, memory: DataFram
     ] if ok}
     hs = _scalar_struct(hitlist, hit_fields) if hit_fields else None
 
-    def field(s: Column | None, name: str, present: bool) -> Column:
-        return F.coalesce(s.getField(name), F.lit(0.0)) if (s is not None and present) else F.lit(0.0)
-
     ms = _scalar_struct(memory, {"used": F.avg(F.col(used))}) if _has(memory, used) else None
     qs = _scalar_struct(sql_trace, {"execs": F.sum(F.col(totalexec))}) if _has(sql_trace, totalexec) else None
     cols = [

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from loadlens.functions.cleaning import ms_to_seconds
-from loadlens.functions.timebuckets import bucket_ordinal, bucket_spine, hour_bucket
+from loadlens.functions.timebuckets import bucket_labels, bucket_ordinal, bucket_spine, hour_bucket
 from loadlens.operators.aggregates import MetricSpec, group_metrics
 
 
@@ -53,12 +53,15 @@ def bucket_metrics_on_spine(df: DataFrame, label_col: str, metrics: Sequence[Met
     """Metrics per bucket label on the full 19-bucket spine; missing buckets -> 0.
 
     Output: label, metrics (and ``<metric>_SECONDS`` for names in ``seconds``),
-    ordered by the fixed bucket order. Labels outside the spine are not kept.
+    ordered by the fixed bucket order. Labels outside the spine are not kept:
+    they are filtered out before the aggregate (a pushed-down IN list), so the
+    broadcast aggregate has at most 19 rows whatever the label column holds.
     """
-    agg = group_metrics(df, label_col, metrics, decimal_scale)
+    on_spine = df.filter(F.col(label_col).isin(bucket_labels()))
+    agg = group_metrics(on_spine, label_col, metrics, decimal_scale)
     spine = bucket_spine(df.sparkSession, label_col)
     names = [m[0] for m in metrics]
-    # Both sides are bounded (19 spine rows, <= distinct labels after the aggregate).
+    # Both sides are bounded: 19 spine rows, at most 19 aggregate rows.
     joined = spine.join(F.broadcast(agg), on=label_col, how="left")
     cols = [F.col(label_col)] + [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]
     cols += [ms_to_seconds(F.coalesce(F.col(n), F.lit(0.0))).alias(f"{n}_SECONDS") for n in seconds]

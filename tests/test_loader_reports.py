@@ -63,7 +63,11 @@ def exports(tmp_path_factory):
         "BNAME": ["alice", "bob", "carol", "dave"], "USTYP": ["A", "A", "B", "S"],
         "GLTGB": ["20240131", "00000000", "99991231", "20240131"],
     }))
-    paths["tasktimes"] = str(d / "missing.csv")          # missing file -> empty table
+    paths["tasktimes"] = write_csv(d, "tasktimes", pd.DataFrame({
+        "ENTRY_ID": ["T1", "T2", "T1", None], "TIME": ["06--07"] * 4,
+        "RESPTI": ["100", "400", "300", "900"], "PROCTI": ["1", "2", "3", "4"], "CPUTI": ["10", "20", "30", "40"],
+        "QUEUETI": ["0", "0", "0", "0"], "PHYCALLS": ["5", "1", "5", "9"], "COUNT": ["1", "1", "1", "1"],
+    }))
     return paths
 
 
@@ -93,10 +97,19 @@ def test_usertcode_drops_missing_account_before_cleaning(dfs):
     assert sorted(r["ACCOUNT"] for r in u.collect()) == ["alice", "alice", "bob"]
 
 
-def test_missing_file_gives_empty_declared_table(dfs):
-    t = dfs["tasktimes"]
+def test_missing_file_gives_empty_declared_table(spark, dfs, tmp_path):
+    t = load_source(spark, "tasktimes", str(tmp_path / "missing.csv"))
     assert t.isEmpty() and "RESPTI" in t.columns
-    assert not all_empty(dfs)
+    assert all_empty({"tasktimes": t}) and not all_empty(dfs)
+
+
+def test_tasks_section(dfs):
+    out = reports.tasks_section(dfs)
+    long = {(r["ENTRY_ID"], r["variable"]): r["value"] for r in out["mean_times_by_entry_long"].collect()}
+    assert long[("T2", "RESPTI")] == 400.0 and long[("T1", "RESPTI")] == 200.0
+    assert None not in {k[0] for k in long}                 # raw ENTRY_ID: null keys never form a group
+    assert [(r["ENTRY_ID"], r["PHYCALLS"]) for r in out["top_entries_by_phycalls"].collect()] == [("T1", 10.0),
+                                                                                                 ("T2", 1.0)]
 
 
 def test_duration_and_default_columns(dfs):
