@@ -73,15 +73,14 @@ def split_flag(columns: Sequence[str]) -> Column:
 def text_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Most frequent non-null value per text column (ties -> smallest value): one row per column.
 
-    Value counts are a partial + final hash aggregate per column; the winner is
-    ``min_by(value, (-count, value))`` over that column's counts.
+    One scan: the columns are unpivoted to (feature, value), counted with a
+    partial + final hash aggregate, and the winner per feature is
+    ``min_by(value, (-count, value))``.
     """
-    parts = [df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value"))
-             .agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("feature"), "value", "n") for c in columns]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
+    pairs = (df.select(*[F.col(c).cast("string").alias(c) for c in columns])
+             .unpivot([], list(columns), "feature", "value").filter(F.col("value").isNotNull()))
+    counts = pairs.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("feature").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"))
 
 
 @dataclass

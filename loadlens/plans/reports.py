@@ -3,9 +3,10 @@
 Input is the dict produced by ``sources.load_all`` (source key -> cleaned
 DataFrame). Each section returns an ordered dict of named, lazy DataFrames —
 the table behind every chart of the original dashboards. An output is left
-out when its columns are missing (checked on the schema, no job); the
-"metric total > 0" evidence guard is a lazy scalar-subquery filter, so a
-failing guard yields an empty frame instead of an extra driver round-trip.
+out when its columns are missing (checked on the schema, no job). The
+"metric total > 0" evidence guards of a section share one aggregate pass over
+its source (one row of sums to the driver); a failing guard yields the
+output's empty form. Everything else stays lazy.
 """
 
 from __future__ import annotations
@@ -84,131 +85,171 @@ def kpi_section(spark: SparkSession, dfs: Mapping[str, DataFrame]) -> dict[str,
     return {"kpis": k, "kpi_labels": kpis.kpi_labels(k)}
 
 
-def _guard(result: DataFrame, source: DataFrame, cols: Sequence[str]) -> DataFrame:
-    total_col = "__guard_total"
-    total = sum((F.col(c) for c in cols[1:]), F.col(cols[0]))
-    return agg.require_positive_input(result, source.select(total.alias(total_col)), total_col)
+class _Totals:
+    """Evidence totals of one source: every metric sum a section's guards need, in
+    one aggregate pass (one row to the driver), instead of one scan per output."""
+
+    def __init__(self, df: DataFrame | None, cols: Sequence[str]):
+        present = sorted({c for c in cols if _has(df, c)})
+        row = df.agg(*[F.sum(F.col(c)).alias(c) for c in present]).first() if present else None
+        self.sums = {c: (row[c] or 0.0) for c in present} if row is not None else {}
+
+    def positive(self, cols: Sequence[str]) -> bool:
+        return sum(self.sums.get(c, 0.0) for c in cols) > 0
+
+
+def _guard(result: DataFrame, totals: _Totals, cols: Sequence[str]) -> DataFrame:
+    """The output, or its empty form when the metric total of the input is not > 0."""
+    return result if totals.positive(cols) else result.limit(0)
 
 
 def memory_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    m = dfs.get("memory")
+    src = dfs.get("memory")
     out: dict[str, DataFrame] = {}
-    if _has(m, "ACCOUNT", *MEMORY_METRICS):
-        top = agg.grouped_top_k(m, "ACCOUNT", [(c, "sum", c) for c in MEMORY_METRICS], "USEDBYTES", 10)
-        out["top_accounts_by_usedbytes"] = _guard(agg.keep_if_positive_total(top, "USEDBYTES"), m, ["USEDBYTES"])
-        out["memory_metrics_long"] = _guard(agg.to_long(top, "ACCOUNT", list(MEMORY_METRICS)), m,
+    if src is None:
+        return out
+    tot = _Totals(src, MEMORY_METRICS)
+    if _has(src, "ACCOUNT", *MEMORY_METRICS):
+        top = agg.grouped_top_k(src, "ACCOUNT", [(c, "sum", c) for c in MEMORY_METRICS], "USEDBYTES", 10)
+        out["top_accounts_by_usedbytes"] = _guard(agg.keep_if_positive_total(top, "USEDBYTES"), tot, ["USEDBYTES"])
+        out["memory_metrics_long"] = _guard(agg.to_long(top, "ACCOUNT", list(MEMORY_METRICS)), tot,
                                             list(MEMORY_METRICS))
-    if _has(m, "ACCOUNT", "USEDBYTES"):
-        keyed = filters.exclude_value(m, "ACCOUNT", MEMORY_ACCOUNT_DEFAULT).select(
+    if _has(src, "ACCOUNT", "USEDBYTES"):
+        keyed = filters.exclude_value(src, "ACCOUNT", MEMORY_ACCOUNT_DEFAULT).select(
             as_text("ACCOUNT").alias("ACCOUNT_DISPLAY"), "USEDBYTES")
+        # one aggregate gives frequency and mean per account; the 6 most frequent are a k-row top-k
         g = agg.group_metrics(keyed, "ACCOUNT_DISPLAY", [("__n", "count", "*"), ("USEDBYTES", "avg", "USEDBYTES")])
         top = agg.top_k(g, "__n", "ACCOUNT_DISPLAY", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
-        out["avg_usedbytes_by_account"] = _guard(agg.sort_by(top, "USEDBYTES", "ACCOUNT_DISPLAY"), m, ["USEDBYTES"])
-        out["usedbytes_density"] = _guard(density.kde(m, "USEDBYTES"), m, ["USEDBYTES"])
-    if _has(m, "FULL_DATETIME", "USEDBYTES"):
-        out["hourly_usedbytes"] = _guard(timeseries.hourly_mean(m, "FULL_DATETIME", "USEDBYTES",
-                                                                hour_col="FULL_DATETIME"), m, ["USEDBYTES"])
+        out["avg_usedbytes_by_account"] = _guard(agg.sort_by(top, "USEDBYTES", "ACCOUNT_DISPLAY"), tot, ["USEDBYTES"])
+        out["usedbytes_density"] = _guard(density.kde(src, "USEDBYTES"), tot, ["USEDBYTES"])
+    if _has(src, "FULL_DATETIME", "USEDBYTES"):
+        out["hourly_usedbytes"] = _guard(timeseries.hourly_mean(src, "FULL_DATETIME", "USEDBYTES",
+                                                                hour_col="FULL_DATETIME"), tot, ["USEDBYTES"])
     return out
 
 
 def transactions_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    u = dfs.get("usertcode")
+    src = dfs.get("usertcode")
     out: dict[str, DataFrame] = {}
-    if _has(u, "ACCOUNT", "CPUTI"):
-        top = agg.grouped_top_k(u, "ACCOUNT", [("CPUTI", "avg", "CPUTI")], "CPUTI", 10)
-        out["top_accounts_by_cpu"] = _guard(top.withColumn("CPUTI_SECONDS", ms_to_seconds("CPUTI")), u, ["CPUTI"])
-    if _has(u, "REPORT", "RESPTI"):
-        top = agg.grouped_top_k(u, "REPORT", [("RESPTI", "avg", "RESPTI")], "RESPTI", 10)
-        out["top_reports_by_resp"] = _guard(agg.share_of_small(top, "RESPTI"), u, ["RESPTI"])
-    if _has(u, "ACCOUNT"):
-        out["transactions_per_account"] = agg.top_k(agg.count_by(u, "ACCOUNT", "TRANSACTION_COUNT"),
+    if src is None:
+        return out
+    tot = _Totals(src, ("CPUTI", "RESPTI", *IO_COUNTS, *IO_BUFFERS, *COMM_METRICS))
+    if _has(src, "ACCOUNT", "CPUTI"):
+        top = agg.grouped_top_k(src, "ACCOUNT", [("CPUTI", "avg", "CPUTI")], "CPUTI", 10)
+        out["top_accounts_by_cpu"] = _guard(top.withColumn("CPUTI_SECONDS", ms_to_seconds("CPUTI")), tot, ["CPUTI"])
+    if _has(src, "REPORT", "RESPTI"):
+        top = agg.grouped_top_k(src, "REPORT", [("RESPTI", "avg", "RESPTI")], "RESPTI", 10)
+        out["top_reports_by_resp"] = _guard(agg.share_of_small(top, "RESPTI"), tot, ["RESPTI"])
+    if _has(src, "ACCOUNT"):
+        out["transactions_per_account"] = agg.top_k(agg.count_by(src, "ACCOUNT", "TRANSACTION_COUNT"),
                                                     "TRANSACTION_COUNT", "ACCOUNT", 10)
-    if _has(u, "FULL_DATETIME", "RESPTI"):
-        b = timeseries.with_hour_bucket(u, "FULL_DATETIME")
+    if _has(src, "FULL_DATETIME", "RESPTI"):
+        b = timeseries.with_hour_bucket(src, "FULL_DATETIME")
         out["resp_by_hour_bucket"] = _guard(timeseries.bucket_metrics_on_spine(
-            b, "TIME_RANGE", [("RESPTI", "avg", "RESPTI")], seconds=["RESPTI"]), u, ["RESPTI"])
-    if _has(u, "RESPTI", "CPUTI"):
-        extra = [c for c in ("ACCOUNT", "ENTRY_ID") if c in u.columns]
-        pairs = u.filter((F.col("RESPTI") > 0) & (F.col("CPUTI") > 0)).select("CPUTI", "RESPTI", *extra)
-        out["cpu_vs_resp_points"] = _guard(_guard(pairs, u, ["CPUTI"]), u, ["RESPTI"])
+            b, "TIME_RANGE", [("RESPTI", "avg", "RESPTI")], seconds=["RESPTI"]), tot, ["RESPTI"])
+    if _has(src, "RESPTI", "CPUTI"):
+        extra = [c for c in ("ACCOUNT", "ENTRY_ID") if c in src.columns]
+        pairs = src.filter((F.col("RESPTI") > 0) & (F.col("CPUTI") > 0)).select("CPUTI", "RESPTI", *extra)
+        ok = tot.positive(["CPUTI"]) and tot.positive(["RESPTI"])
+        out["cpu_vs_resp_points"] = pairs if ok else pairs.limit(0)
     for name, cols, order, k in (("io_counts_long", IO_COUNTS, "PHYREADCNT", 10),
                                  ("io_buffers_records_long", IO_BUFFERS, "READDIRREC", 10),
                                  ("comm_metrics_long", COMM_METRICS, "DSQLCNT", 4)):
-        if _has(u, "ACCOUNT", *cols):
-            top = agg.grouped_top_k(u, "ACCOUNT", [(c, "sum", c) for c in cols], order, k)
-            out[name] = _guard(agg.to_long(top, "ACCOUNT", list(cols)), u, list(cols))
+        if _has(src, "ACCOUNT", *cols):
+            top = agg.grouped_top_k(src, "ACCOUNT", [(c, "sum", c) for c in cols], order, k)
+            out[name] = _guard(agg.to_long(top, "ACCOUNT", list(cols)), tot, list(cols))
     return out
 
 
 def hourly_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    t = dfs.get("times")
+    src = dfs.get("times")
     out: dict[str, DataFrame] = {}
-    if _has(t, "TIME", "PHYCALLS"):
+    if src is None:
+        return out
+    tot = _Totals(src, ("PHYCALLS", *TOTAL_IO_PARTS, *HOURLY_TIMES))
+    if _has(src, "TIME", "PHYCALLS"):
         out["phycalls_by_time"] = _guard(timeseries.bucket_metrics_on_spine(
-            t, "TIME", [("PHYCALLS", "sum", "PHYCALLS")]), t, ["PHYCALLS"])
-    if _has(t, "TIME", *TOTAL_IO_PARTS):
-        io = t.withColumn("TOTAL_IO", sum((F.col(c) for c in TOTAL_IO_PARTS[1:]), F.col(TOTAL_IO_PARTS[0])))
+            src, "TIME", [("PHYCALLS", "sum", "PHYCALLS")]), tot, ["PHYCALLS"])
+    if _has(src, "TIME", *TOTAL_IO_PARTS):
+        io = src.withColumn("TOTAL_IO", sum((F.col(c) for c in TOTAL_IO_PARTS[1:]), F.col(TOTAL_IO_PARTS[0])))
         out["top_times_by_total_io"] = _guard(
-            agg.grouped_top_k(io, "TIME", [("TOTAL_IO", "sum", "TOTAL_IO")], "TOTAL_IO", 5), t, list(TOTAL_IO_PARTS))
-    if _has(t, "TIME", *HOURLY_TIMES):
-        wide = timeseries.bucket_metrics_ordered(t, "TIME", [(c, "avg", c) for c in HOURLY_TIMES], to_seconds=True)
-        out["mean_times_by_time_long"] = _guard(agg.to_long(wide, "TIME", list(HOURLY_TIMES)), t, list(HOURLY_TIMES))
+            agg.grouped_top_k(io, "TIME", [("TOTAL_IO", "sum", "TOTAL_IO")], "TOTAL_IO", 5), tot, list(TOTAL_IO_PARTS))
+    if _has(src, "TIME", *HOURLY_TIMES):
+        wide = timeseries.bucket_metrics_ordered(src, "TIME", [(c, "avg", c) for c in HOURLY_TIMES], to_seconds=True)
+        out["mean_times_by_time_long"] = _guard(agg.to_long(wide, "TIME", list(HOURLY_TIMES)), tot,
+                                                list(HOURLY_TIMES))
     return out
 
 
 def tasks_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    t = dfs.get("tasktimes")
+    src = dfs.get("tasktimes")
     out: dict[str, DataFrame] = {}
-    if _has(t, "ENTRY_ID", *TASK_TIMES):
-        top = agg.grouped_top_k(t, "ENTRY_ID", [(c, "avg", c) for c in TASK_TIMES], "RESPTI", 10)
-        out["mean_times_by_entry_long"] = _guard(agg.to_long(top, "ENTRY_ID", list(TASK_TIMES)), t, list(TASK_TIMES))
-    if _has(t, "ENTRY_ID", "PHYCALLS"):
+    if src is None:
+        return out
+    tot = _Totals(src, (*TASK_TIMES, "PHYCALLS"))
+    if _has(src, "ENTRY_ID", *TASK_TIMES):
+        top = agg.grouped_top_k(src, "ENTRY_ID", [(c, "avg", c) for c in TASK_TIMES], "RESPTI", 10)
+        out["mean_times_by_entry_long"] = _guard(agg.to_long(top, "ENTRY_ID", list(TASK_TIMES)), tot,
+                                                 list(TASK_TIMES))
+    if _has(src, "ENTRY_ID", "PHYCALLS"):
         out["top_entries_by_phycalls"] = _guard(
-            agg.grouped_top_k(t, "ENTRY_ID", [("PHYCALLS", "sum", "PHYCALLS")], "PHYCALLS", 10), t, ["PHYCALLS"])
+            agg.grouped_top_k(src, "ENTRY_ID", [("PHYCALLS", "sum", "PHYCALLS")], "PHYCALLS", 10), tot, ["PHYCALLS"])
     return out
 
 
 def hitlist_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    h = dfs.get("hitlist_db")
+    src = dfs.get("hitlist_db")
     out: dict[str, DataFrame] = {}
-    if _has(h, "REPORT", *HITLIST_TIMES):
-        top = agg.grouped_top_k(h, "REPORT", [(c, "avg", c) for c in HITLIST_TIMES], "RESPTI", 10)
-        out["mean_times_by_report_long"] = _guard(agg.to_long(top, "REPORT", list(HITLIST_TIMES)), h,
+    if src is None:
+        return out
+    tot = _Totals(src, (*HITLIST_TIMES, "DBCALLS", "ROLLOUTCNT"))
+    if _has(src, "REPORT", *HITLIST_TIMES):
+        top = agg.grouped_top_k(src, "REPORT", [(c, "avg", c) for c in HITLIST_TIMES], "RESPTI", 10)
+        out["mean_times_by_report_long"] = _guard(agg.to_long(top, "REPORT", list(HITLIST_TIMES)), tot,
                                                   list(HITLIST_TIMES))
-    if _has(h, "REPORT", "DBCALLS"):
+    if _has(src, "REPORT", "DBCALLS"):
         out["top_reports_by_dbcalls"] = _guard(
-            agg.grouped_top_k(h, "REPORT", [("DBCALLS", "sum", "DBCALLS")], "DBCALLS", 10), h, ["DBCALLS"])
-    if _has(h, "ACCOUNT", "ROLLOUTCNT"):
+            agg.grouped_top_k(src, "REPORT", [("DBCALLS", "sum", "DBCALLS")], "DBCALLS", 10), tot, ["DBCALLS"])
+    if _has(src, "ACCOUNT", "ROLLOUTCNT"):
         out["top_accounts_by_rollouts"] = _guard(
-            agg.grouped_top_k(h, "ACCOUNT", [("ROLLOUTCNT", "sum", "ROLLOUTCNT")], "ROLLOUTCNT", 10), h, ["ROLLOUTCNT"])
+            agg.grouped_top_k(src, "ACCOUNT", [("ROLLOUTCNT", "sum", "ROLLOUTCNT")], "ROLLOUTCNT", 10), tot,
+            ["ROLLOUTCNT"])
     return out
 
 
 def workprocess_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    p = dfs.get("performance")
+    src = dfs.get("performance")
     out: dict[str, DataFrame] = {}
-    if _has(p, "WP_CPU_SECONDS"):
-        out["cpu_seconds_density"] = _guard(density.kde(p, "WP_CPU_SECONDS"), p, ["WP_CPU_SECONDS"])
-    if _has(p, "WP_TYP"):
-        out["count_by_type"] = agg.sort_by(agg.count_by(p, "WP_TYP", "count"), "count", "WP_TYP")
-    if _has(p, "WP_TYP", "WP_CPU_SECONDS"):
-        g = agg.group_metrics(p, "WP_TYP", [("WP_CPU_SECONDS", "avg", "WP_CPU_SECONDS")])
-        out["mean_cpu_by_type"] = _guard(agg.sort_by(g, "WP_CPU_SECONDS", "WP_TYP"), p, ["WP_CPU_SECONDS"])
+    if src is None:
+        return out
+    tot = _Totals(src, ("WP_CPU_SECONDS",))
+    if _has(src, "WP_CPU_SECONDS"):
+        out["cpu_seconds_density"] = _guard(density.kde(src, "WP_CPU_SECONDS"), tot, ["WP_CPU_SECONDS"])
+    if _has(src, "WP_TYP"):
+        out["count_by_type"] = agg.sort_by(agg.count_by(src, "WP_TYP", "count"), "count", "WP_TYP")
+    if _has(src, "WP_TYP", "WP_CPU_SECONDS"):
+        g = agg.group_metrics(src, "WP_TYP", [("WP_CPU_SECONDS", "avg", "WP_CPU_SECONDS")])
+        out["mean_cpu_by_type"] = _guard(agg.sort_by(g, "WP_CPU_SECONDS", "WP_TYP"), tot, ["WP_CPU_SECONDS"])
     return out
 
 
 def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SERVER) -> dict[str, DataFrame]:
-    q = dfs.get("sql_trace_summary")
+    src = dfs.get("sql_trace_summary")
     out: dict[str, DataFrame] = {}
+    if src is None:
+        return out
+    tot = _Totals(src, ("EXECTIME", "TIMEPEREXE", "RECPROCNUM"))
     for name, fn, col in (("top_statements_by_exectime", "sum", "EXECTIME"),
                           ("top_statements_by_time_per_exec", "avg", "TIMEPEREXE"),
                           ("top_statements_by_records", "sum", "RECPROCNUM")):
-        if _has(q, "SQLSTATEM", col):
-            top = agg.grouped_top_k(q, "SQLSTATEM", [(col, fn, col)], col, 10)
-            out[name] = _guard(top.withColumn("SQLSTATEM_SHORT", short_label("SQLSTATEM")), q, [col])
-    if _has(q, "SERVERNAME", "AVGTPERREC"):
-        srv = filters.contains_ci(q, "SERVERNAME", server_text)
-        out["avg_time_per_record_density"] = _guard(density.kde(srv, "AVGTPERREC"), srv, ["AVGTPERREC"])
+        if _has(src, "SQLSTATEM", col):
+            top = agg.grouped_top_k(src, "SQLSTATEM", [(col, fn, col)], col, 10)
+            out[name] = _guard(top.withColumn("SQLSTATEM_SHORT", short_label("SQLSTATEM")), tot, [col])
+    if _has(src, "SERVERNAME", "AVGTPERREC"):
+        srv = filters.contains_ci(src, "SERVERNAME", server_text)
+        # the guard here is on the matching servers only
+        out["avg_time_per_record_density"] = _guard(density.kde(srv, "AVGTPERREC"), _Totals(srv, ["AVGTPERREC"]),
+                                                    ["AVGTPERREC"])
     return out
 
 
