@@ -26,7 +26,8 @@ from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringInd
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZType, TimestampType
+from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
+                               TimestampType)
 
 from loadlens.session import checkpoint_dir
 
@@ -115,7 +116,8 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
         prof = feature_profile(base, feats).collect()          # one row per feature (bounded)
         kept = [r["feature"] for r in prof if r["kept"]]
         dropped = [r["feature"] for r in prof if not r["kept"]]
-        numeric = [c for c in kept if isinstance(types[c], NumericType)]
+        # booleans pass through with the numbers (as 0 / 1)
+        numeric = [c for c in kept if isinstance(types[c], (NumericType, BooleanType))]
         text = [c for c in kept if isinstance(types[c], StringType)]
         if not numeric and not text:
             raise ValueError("no usable feature left")
@@ -228,8 +230,8 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     )
 
 
-def importances(run: ForestRun, top: int = TOP_IMPORTANCES) -> DataFrame:
-    """Feature importances with names, largest first, top ``top`` (P12).
+def importances(run: ForestRun, top: int | None = TOP_IMPORTANCES) -> DataFrame:
+    """Feature importances with names, largest first, top ``top`` (P12; ``None`` = all).
 
     Generic names ``feature_<i>`` are used if the metadata does not match the vector size.
     """
@@ -238,7 +240,8 @@ def importances(run: ForestRun, top: int = TOP_IMPORTANCES) -> DataFrame:
     names = run.feature_names if len(run.feature_names) == len(imp) else [f"feature_{i}" for i in range(len(imp))]
     spark = run.predictions.sparkSession
     df = spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double")
-    return df.orderBy(F.col("importance").desc(), F.col("feature").asc()).limit(top)
+    ranked = df.orderBy(F.col("importance").desc(), F.col("feature").asc())
+    return ranked.limit(top) if top else ranked
 
 
 def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
@@ -248,3 +251,11 @@ def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFram
     return (run.predictions.select(F.col(run.target).alias("actual"), F.col("prediction").alias("predicted"),
                                    h.alias("__h"))
             .orderBy("__h", "actual", "predicted").limit(n).drop("__h"))
+
+
+def sample_trend(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
+    """Least-squares line predicted ~ actual over the plotted sample (P14): one row."""
+    smp = actual_vs_predicted_sample(run, n)
+    return smp.agg(F.count(F.lit(1)).alias("n_points"),
+                   F.regr_slope("predicted", "actual").alias("trend_slope"),
+                   F.regr_intercept("predicted", "actual").alias("trend_intercept"))

@@ -753,3 +753,8 @@ def p12(spark, d):
 @register("P13_forest_actual_vs_predicted_sample")
 def p13(spark, d):
     return regression.actual_vs_predicted_sample(forest_run(spark, d))
+
+
+@register("P14_forest_sample_trend_line")
+def p14(spark, d):
+    return regression.sample_trend(forest_run(spark, d))

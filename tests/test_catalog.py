@@ -13,7 +13,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 SQL = entry_mod.oracle_sql()
 QUERIES = entry_mod.queries()
-SLOW = {"P_forest_metrics", "P12_forest_importances", "P13_forest_actual_vs_predicted_sample"}
+SLOW = {"P_forest_metrics", "P12_forest_importances", "P13_forest_actual_vs_predicted_sample",
+        "P14_forest_sample_trend_line"}
 
 
 @pytest.fixture(scope="module")

@@ -47,6 +47,21 @@ def test_sample_is_bounded_and_stable(run):
     assert len(a) == 50 and a == b
 
 
+def test_sample_trend(run):
+    r = regression.sample_trend(run, 100).first()
+    assert r["n_points"] == 100 and r["trend_slope"] is not None
+
+
+def test_boolean_feature_passes_through(spark):
+    # distinct rows (the id is a feature): the hash split keeps identical rows together
+    df = spark.range(0, 400).select("id", (F.col("id") % 7).cast("double").alias("x"),
+                                    (F.col("id") % 2 == 0).alias("b"),
+                                    ((F.col("id") % 7) * 2 + (F.col("id") % 2)).cast("double").alias("y"))
+    run = regression.fit_forest(df, "y", num_trees=5, max_depth=6)
+    assert run.numeric == ["id", "x", "b"] and run.text == []
+    assert regression.metrics(run).first()["r2"] > 0.5
+
+
 def test_unseen_category_encodes_as_zeros(spark, run):
     df = spark.createDataFrame([(10.0, 0.05, 0.02, "Z", "Q")],
                                "l_quantity double, l_discount double, l_tax double, l_returnflag string, "
