@@ -60,6 +60,8 @@ def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float |
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))
     z = (x - F.col("v")) / F.col("h")
     contrib = F.col("w") * F.exp(F.lit(-0.5) * z * z) / norm
-    return (expanded.select("i", x.alias("x"), contrib.alias("c"))
-            .groupBy("i", "x").agg(F.sum("c").alias("density"))
-            .orderBy("i"))
+    # aggregate on the integer grid index; the grid position comes from the same
+    # (one-row) statistics, attached after the aggregate
+    dens = expanded.select("i", contrib.alias("c")).groupBy("i").agg(F.sum("c").alias("density"))
+    grid_x = F.col("st.lo") + F.col("i") * (F.col("st.hi") - F.col("st.lo")) / F.lit(float(grid))
+    return dens.select("i", st.alias("st"), "density").select("i", grid_x.alias("x"), "density").orderBy("i")
