@@ -61,12 +61,14 @@ def clean_string(c: Column | str, default: str = DEFAULT_TEXT) -> Column:
 
     null, the text ``nan`` and text that ends up empty all become ``default``.
     Accented letters count as non-printable (an export convention), a
-    non-breaking space inside the text is kept. The cleaned text is referenced
-    once (a regex swaps the empty / ``nan`` text for the default), so the
-    regexes run once per value.
+    non-breaking space inside the text is kept.
+
+    The replacement never touches whitespace, so one strip after it gives the
+    same text as stripping before and after. The cleaned text is referenced
+    once (a regex swaps the empty / ``nan`` text for the default), so each
+    regex runs once per value.
     """
-    text = unicode_strip(_col(c).cast("string"))
-    text = unicode_strip(F.regexp_replace(text, _NON_PRINTABLE_RE, " "))
+    text = unicode_strip(F.regexp_replace(_col(c).cast("string"), _NON_PRINTABLE_RE, " "))
     replacement = default.replace("\\", "\\\\").replace("$", "\\$")
     return F.coalesce(F.regexp_replace(text, _MISSING_TEXT_RE, replacement), F.lit(default))
 
