@@ -95,6 +95,11 @@ class ForestRun:
     test: DataFrame
     predictions: DataFrame
     feature_names: list[str] = field(default_factory=list)
+    n_train: int = 0
+
+    def release(self) -> None:
+        """Drop the cached test-part predictions."""
+        self.predictions.unpersist()
 
 
 def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None, num_trees: int = NUM_TREES,
@@ -159,11 +164,17 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
                                             cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
                                             checkpointInterval=10))
         model = Pipeline(stages=stages).fit(train)
+        n_train = train.count()
+        # Every output (metrics, sample, trend) reads the test-part predictions:
+        # materialise them once, in parallel, while the persisted copy is cached.
+        # MEMORY_AND_DISK: blocks lost with an executor are recomputed from lineage.
+        preds = (model.transform(test).select(target, *numeric, *text, "features", "prediction")
+                 .persist(StorageLevel.MEMORY_AND_DISK))
+        preds.count()
     finally:
         base.unpersist()
-    preds = model.transform(test)
     names = _feature_names(preds, numeric)
-    return ForestRun(target, numeric, text, dropped, model, train, test, preds, names)
+    return ForestRun(target, numeric, text, dropped, model, train, test, preds, names, n_train)
 
 
 def ensure_parallelism(df: DataFrame) -> DataFrame:
@@ -205,8 +216,7 @@ def _feature_names(preds: DataFrame, numeric: Sequence[str]) -> list[str]:
 
 def metrics(run: ForestRun) -> DataFrame:
     """Test-part R^2, MAE and trend line, with the training-part size (P5, P11, P14)."""
-    n_train = run.train.agg(F.count(F.lit(1))).scalar()
-    return regression_metrics(run.predictions, run.target, "prediction").withColumn("n_train", n_train)
+    return regression_metrics(run.predictions, run.target, "prediction").withColumn("n_train", F.lit(run.n_train))
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
