@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_GRID = 500
@@ -56,12 +56,15 @@ def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float |
                      F.col("st.n").alias("n"), h.alias("h"))
     expanded = ctx.select("v", "w", "lo", "hi", "n", "h",
                           F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-    x = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(float(grid))
+
+    def grid_x(i: Column) -> Column:
+        return F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(float(grid))
+
     norm = F.col("n") * F.col("h") * F.lit(math.sqrt(2.0 * math.pi))
-    z = (x - F.col("v")) / F.col("h")
+    z = (grid_x(F.col("i")) - F.col("v")) / F.col("h")
     contrib = F.col("w") * F.exp(F.lit(-0.5) * z * z) / norm
-    # aggregate on the integer grid index; the grid position comes from the same
-    # (one-row) statistics, attached after the aggregate
-    dens = expanded.select("i", contrib.alias("c")).groupBy("i").agg(F.sum("c").alias("density"))
-    grid_x = F.col("st.lo") + F.col("i") * (F.col("st.hi") - F.col("st.lo")) / F.lit(float(grid))
-    return dens.select("i", st.alias("st"), "density").select("i", grid_x.alias("x"), "density").orderBy("i")
+    # aggregate on the integer grid index; min / max carry the (constant) range
+    # through the aggregate, so the statistics are read once
+    dens = (expanded.select("i", "lo", "hi", contrib.alias("c"))
+            .groupBy("i").agg(F.sum("c").alias("density"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    return dens.select("i", grid_x(F.col("i")).alias("x"), "density").orderBy("i")

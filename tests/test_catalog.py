@@ -53,3 +53,12 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(rel.columns) == cols
     want = sorted(tuple(norm(dict(zip(rel.columns, r))[c]) for c in cols) for r in rel.fetchall())
     assert got == want
+
+
+def test_forest_queries_run(spark):
+    outs = {name: QUERIES[name](spark, SF001).collect() for name in sorted(SLOW)}
+    m = outs["P_forest_metrics"][0]
+    assert m["n_train"] + m["n_test"] == 6000 and m["mae"] > 0
+    assert 0 < len(outs["P12_forest_importances"]) <= 10
+    assert len(outs["P13_forest_actual_vs_predicted_sample"]) == 500
+    assert outs["P14_forest_sample_trend_line"][0]["n_points"] == 500
