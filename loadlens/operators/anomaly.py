@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import to_double
 
-# fixed values: the multiplier slider of the original dashboards
+# fixed values: the multiplier slider of the original reports
 M_MIN, M_MAX, M_STEP, M_DEFAULT = 1.0, 5.0, 0.1, 3.0
 
 

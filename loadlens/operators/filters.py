@@ -1,4 +1,4 @@
-"""Filters and filter options (the sidebar of the original dashboards).
+"""Filters and filter options (the sidebar of the original reports).
 
 Plain predicates (``isin``, ``!=``, ``contains``) stay as Filter nodes that
 Catalyst pushes into the Parquet scan when they touch raw columns.
@@ -84,7 +84,7 @@ def restrict_to_top_frequent(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 # --- trailing ranges relative to the newest row ---------------------------------
-# fixed values: the chart range buttons of the original dashboards
+# fixed values: the chart range buttons of the original reports
 RANGE_INTERVALS = {
     "1h": "INTERVAL 1 HOUR",
     "6h": "INTERVAL 6 HOURS",

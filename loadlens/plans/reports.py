@@ -2,7 +2,7 @@
 
 Input is the dict produced by ``sources.load_all`` (source key -> cleaned
 DataFrame). Each section returns an ordered dict of named, lazy DataFrames —
-the table behind every chart of the original dashboards. An output is left
+the table behind every chart of the original reports. An output is left
 out when its columns are missing (checked on the schema, no job). The
 "metric total > 0" evidence guards of a section share one aggregate pass over
 its source (one row of sums to the driver); a failing guard yields the
