@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from loadlens.operators.aggregates import count_by, top_k
 
@@ -105,7 +106,11 @@ def trailing_range(df: DataFrame, ts: str, period: str) -> DataFrame:
         return df
     newest = df.agg(F.max(F.col(ts))).scalar()
     if period == "ytd":
-        start = F.date_trunc("year", newest).cast(df.schema[ts].dataType)
+        if isinstance(df.schema[ts].dataType, TimestampNTZType):
+            # zone-less column: Jan 1 of the newest year, built from its fields (no zone conversion)
+            start = F.make_timestamp_ntz(F.year(newest), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        else:
+            start = F.date_trunc("year", newest).cast(df.schema[ts].dataType)
     elif period in RANGE_INTERVALS:
         start = newest - F.expr(RANGE_INTERVALS[period])
     else:
