@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from loadlens.functions.cleaning import (EDGE_SPACE_RE, NON_PRINTABLE_RE, NUMBER_RE, clean_string, compact_date,
                                          compact_datetime, eu_number, mm_ss_seconds, short_label, thousands_label,
                                          to_double)
-from loadlens.functions.timebuckets import hour_bucket
 from loadlens.operators import aggregates as agg
 from loadlens.operators import anomaly, density, filters, kpis, timeseries
 from loadlens.sources.loader import preview, profile
