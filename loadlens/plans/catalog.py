@@ -46,8 +46,20 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one shared table; the handle (and its file listing) is reused per session.
+
+    Listing and footer reads are paid once per table instead of once per query —
+    on a many-thousand-file table that is seconds per query.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 # --- SQL fragments for the oracle -------------------------------------------------
