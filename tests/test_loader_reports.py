@@ -226,3 +226,24 @@ def test_full_report_runs(spark, dfs):
     for section, outs in rep.items():
         for name, df in outs.items():
             df.collect()
+
+
+def test_typed_parquet_export(spark, tmp_path):
+    src = spark.createDataFrame(
+        [("alice", 1048576.0, dt.datetime(2024, 1, 31, 9, 30)), ("bob", None, None)],
+        "ACCOUNT string, USEDBYTES double, FULL_DATETIME timestamp_ntz")
+    path = str(tmp_path / "memory.parquet")
+    src.write.parquet(path)
+    m = load_source(spark, "memory", path)
+    types = dict(m.dtypes)
+    assert types["USEDBYTES"] == "double" and types["FULL_DATETIME"] == "timestamp_ntz"
+    got = sorted((r["ACCOUNT"], r["USEDBYTES"], r["FULL_DATETIME"]) for r in m.collect())
+    assert got == [("alice", 1048576.0, dt.datetime(2024, 1, 31, 9, 30)), ("bob", 0.0, None)]
+
+
+def test_text_datetime_fallback(spark, tmp_path):
+    path = write_csv(tmp_path, "mem", pd.DataFrame({"ACCOUNT": ["a", "b"], "USEDBYTES": ["1", "2"],
+                                                    "FULL_DATETIME": ["2024-01-31 09:30:00", "garbage"]}))
+    m = load_source(spark, "memory", path)
+    assert sorted((r["ACCOUNT"], r["FULL_DATETIME"]) for r in m.collect()) == [
+        ("a", dt.datetime(2024, 1, 31, 9, 30)), ("b", None)]
