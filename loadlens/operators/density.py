@@ -5,12 +5,13 @@ bandwidth ``h = sample std * n^(-1/5)`` (Scott's rule) unless given, and
 
     density(x_i) = sum_v w_v * exp(-((x_i - v) / h)^2 / 2) / (n * h * sqrt(2 pi))
 
-Plan: one scalar subquery for (n, min, max, std); values pre-aggregated to
-(value, weight) with a partial + final hash aggregate (a hot value costs one
-row per task); every (value, weight) row is expanded by a generator over the
-grid *inside* the same codegen stage and folded into a partial aggregate on
-the grid index, so each task ships at most ``grid`` rows to the final merge.
-No join and no per-pair materialisation.
+Plan: values pre-aggregated to (value, weight) with a partial + final hash
+aggregate (a hot value costs one row per task) — the only pass over the raw
+column; (n, min, max, std) are scalar subqueries over that weighted table,
+reusing its shuffle output; every (value, weight) row is expanded by a
+generator over the grid *inside* the same codegen stage and folded into a
+partial aggregate on the grid index, so each task ships at most ``grid`` rows
+to the final merge. No join and no per-pair materialisation.
 
 ``bins``: optional pre-binning of values into equal-width bins (approximate:
 each value moves at most half a bin width, i.e. (max-min)/(2*bins)); the
@@ -28,6 +29,23 @@ from pyspark.sql import functions as F
 DEFAULT_GRID = 500
 
 
+def _weighted_stats(weighted: DataFrame):
+    """Scalar subquery (n, lo, hi, sd) from the (value, weight) table.
+
+    The sample standard deviation is computed in two centred steps (mean, then
+    the weighted sum of squared deviations), which is as accurate as a
+    one-pass estimator on the raw values. Reading the weighted table instead
+    of the raw column lets the statistics reuse the same shuffle output as
+    the density itself: the raw column is read once.
+    """
+    first = weighted.agg(F.struct(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                  (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean")).alias("s")).scalar()
+    dev = weighted.select("v", "w", first.alias("s"))
+    m2 = F.sum(F.col("w") * (F.col("v") - F.col("s.mean")) * (F.col("v") - F.col("s.mean")))
+    return dev.agg(F.struct(F.first("s.n").alias("n"), F.first("s.lo").alias("lo"), F.first("s.hi").alias("hi"),
+                            F.sqrt(m2 / (F.first("s.n") - 1)).alias("sd")).alias("st")).scalar()
+
+
 def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float | None = None,
         bins: int | None = None) -> DataFrame:
     """Density curve as rows (i, x, density); empty unless max > min."""
@@ -35,19 +53,21 @@ def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float |
         raise ValueError("grid must be >= 2")
     v = F.col(column).cast("double")
     vals = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-
-    st = vals.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                           F.stddev_samp("v").alias("sd")).alias("st")).scalar()
-
     if bins:
-        # Equal-width bins between min and max; a value maps to its bin centre.
-        with_st = vals.select("v", st.alias("st"))
+        # statistics from the raw column (one partial aggregate per task), then
+        # equal-width bins between min and max: a value maps to its bin centre and
+        # the partial aggregate holds at most ``bins`` rows per task
+        st = vals.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                               F.stddev_samp("v").alias("sd")).alias("st")).scalar()
         width = (F.col("st.hi") - F.col("st.lo")) / F.lit(float(bins))
         idx = F.least(F.floor((F.col("v") - F.col("st.lo")) / width), F.lit(bins - 1))
-        binned = with_st.select((F.col("st.lo") + (idx + 0.5) * width).alias("v"))
-        weighted = binned.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+        centres = vals.select("v", st.alias("st")).select((F.col("st.lo") + (idx + 0.5) * width).alias("v"))
+        weighted = centres.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
     else:
+        # exact (value, weight) table: the only pass over the raw column; the
+        # statistics are computed from it and reuse its shuffle output
         weighted = vals.groupBy("v").agg(F.count(F.lit(1)).alias("w"))
+        st = _weighted_stats(weighted)
 
     h = (F.lit(float(bandwidth)) if bandwidth else
          F.col("st.sd") * F.pow(F.col("st.n").cast("double"), F.lit(-0.2)))
