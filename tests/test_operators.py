@@ -161,3 +161,14 @@ def test_kde_binned_is_close(events):
 def test_kde_needs_two_distinct_values(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "v double")
     assert density.kde(df, "v").count() == 0
+
+
+def test_spine_always_has_19_rows(spark):
+    from loadlens.operators.timeseries import bucket_metrics_on_spine
+    df = spark.createDataFrame([("06--07", 1.0), ("zz", 5.0), ("23--24", 2.0), (None, 3.0), ("06--07", 3.0)],
+                               "TIME string, v double")
+    out = bucket_metrics_on_spine(df, "TIME", [("v", "sum", "v")]).collect()
+    assert len(out) == 19 and out[0]["TIME"] == "00--06" and out[-1]["TIME"] == "23--00"
+    assert {r["TIME"]: r["v"] for r in out}["06--07"] == 4.0 and sum(r["v"] for r in out) == 4.0
+    empty = bucket_metrics_on_spine(df.limit(0), "TIME", [("v", "sum", "v")]).collect()
+    assert len(empty) == 19 and all(r["v"] == 0 for r in empty)
