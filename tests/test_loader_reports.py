@@ -247,3 +247,12 @@ def test_text_datetime_fallback(spark, tmp_path):
     m = load_source(spark, "memory", path)
     assert sorted((r["ACCOUNT"], r["FULL_DATETIME"]) for r in m.collect()) == [
         ("a", dt.datetime(2024, 1, 31, 9, 30)), ("b", None)]
+
+
+def test_command_line(spark, exports, capsys):
+    from loadlens.__main__ import main
+    args = [f"--source={k}={v}" for k, v in exports.items()] + ["--accounts", "alice,bob", "--section", "kpis",
+                                                                 "--section", "hitlist", "--rows", "3"]
+    assert main(args) == 0
+    out = capsys.readouterr().out
+    assert "== kpis / kpis" in out and "== hitlist / top_reports_by_dbcalls" in out and "memory" not in out
