@@ -49,14 +49,18 @@ def _has(df: DataFrame | None, *cols: str) -> bool:
     return df is not None and all(c in df.columns for c in cols)
 
 
-def filter_options(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Choices offered by the sidebar (accounts across three sources, reports, WP types)."""
+def filter_options(dfs: Mapping[str, DataFrame], accounts: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Choices offered by the sidebar: accounts across three sources; reports of the
+    hit list once the chosen accounts are applied; work-process types."""
     out: dict[str, DataFrame] = {}
     acc = [(dfs[k], "ACCOUNT") for k in ("memory", "usertcode", "hitlist_db") if _has(dfs.get(k), "ACCOUNT")]
     if acc:
         out["accounts"] = filters.value_options(acc)
-    if _has(dfs.get("hitlist_db"), "REPORT"):
-        out["reports"] = filters.value_options([(dfs["hitlist_db"], "REPORT")])
+    hit = dfs.get("hitlist_db")
+    if _has(hit, "REPORT"):
+        if _has(hit, "ACCOUNT"):
+            hit = filters.in_values(hit, "ACCOUNT", accounts)
+        out["reports"] = filters.value_options([(hit, "REPORT")])
     if _has(dfs.get("performance"), "WP_TYP"):
         out["wp_types"] = filters.value_options([(dfs["performance"], "WP_TYP")])
     return out

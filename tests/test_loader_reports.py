@@ -158,6 +158,8 @@ def test_kpis(spark, dfs):
 def test_filter_options_and_filters(spark, dfs):
     opts = reports.filter_options(dfs)
     assert [r[0] for r in opts["accounts"].collect()] == ["Compte Inconnu", "alice", "bob", "carol"]
+    assert [r[0] for r in opts["reports"].collect()] == ["R1", "R2", "R3"]
+    assert [r[0] for r in reports.filter_options(dfs, ["alice"])["reports"].collect()] == ["R1"]
     f = reports.apply_filters(dfs, reports.Filters(accounts=["alice"], reports=["R1"]))
     assert {r["ACCOUNT"] for r in f["hitlist_db"].collect()} == {"alice"}
     assert f["memory"].count() == 2
