@@ -38,6 +38,10 @@ NUM_TREES = 100
 DEFAULT_MAX_DEPTH = 10
 SAMPLE_ROWS = 500
 TOP_IMPORTANCES = 10
+# One-hot width per text feature: the indexer brings every distinct label to the
+# driver, so the number of labels must be bounded. Categories beyond the most
+# frequent ones share one "other" slot; no row is dropped.
+MAX_CATEGORIES = 1000
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -103,8 +107,13 @@ class ForestRun:
 
 
 def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None, num_trees: int = NUM_TREES,
-               max_depth: int = DEFAULT_MAX_DEPTH, max_categories: int | None = None, seed: int = SEED) -> ForestRun:
-    """Fit the pipeline on the 80 % part and predict the 20 % part."""
+               max_depth: int = DEFAULT_MAX_DEPTH, max_categories: int | None = MAX_CATEGORIES,
+               seed: int = SEED) -> ForestRun:
+    """Fit the pipeline on the 80 % part and predict the 20 % part.
+
+    ``max_categories`` bounds each text feature's one-hot width (``None``: no
+    bound, only for columns known to have few distinct values).
+    """
     if target not in numeric_columns(df):
         raise ValueError(f"target {target!r} is not numeric")
     feats = [c for c in (features or df.columns) if c != target]

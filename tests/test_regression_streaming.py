@@ -123,3 +123,12 @@ def test_streaming_append_mode_emits_final_windows(spark, tmp_path):
     # only windows closed by the watermark are emitted, each once and final
     assert got and set(got) < set(want)
     assert all(abs(got[k][0] - want[k]) < 1e-9 for k in got)
+
+
+def test_category_cap_keeps_rows(spark):
+    df = spark.range(0, 600).select((F.col("id") % 40).cast("string").alias("t"), (F.col("id") % 3).cast("double").alias("x"),
+                                    F.col("id").cast("double").alias("y"))
+    run = regression.fit_forest(df, "y", num_trees=3, max_depth=3, max_categories=5)
+    ohe = [n for n in run.feature_names if n.startswith("t=")]
+    assert len(ohe) == 6 and "t=__other__" in ohe            # 5 kept categories + the shared slot
+    assert regression.metrics(run).first()["n_test"] + run.n_train == 600
