@@ -53,7 +53,8 @@ def in_frame(df: DataFrame, column: str, keys: DataFrame, key_column: str | None
     top-k), so it is broadcast; otherwise the planner decides at run time.
     """
     kc = key_column or column
-    k = keys.select(F.col(kc).alias("__k")).distinct()
+    # a semi-join ignores duplicate keys, so no distinct (and no extra shuffle) is needed
+    k = keys.select(F.col(kc).alias("__k"))
     k = F.broadcast(k) if bounded else k
     return df.join(k, df[column] == k["__k"], "left_semi")
 
