@@ -193,16 +193,20 @@ def ensure_parallelism(df: DataFrame) -> DataFrame:
 
 
 def _cap_categories(train: DataFrame, test: DataFrame, text: Sequence[str], k: int):
-    """Keep the k most frequent categories per text column; others become one shared bucket."""
+    """Keep the k most frequent categories per text column; others become one shared bucket.
+
+    The kept list is a per-task top-k (at most k values reach the driver); a
+    column with fewer than k distinct values is left as it is, otherwise the
+    list becomes a hash-set membership test — no join.
+    """
     for c in text:
         top = (train.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-               .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(k).select(F.col(c).alias("__top")))
-        top = F.broadcast(top)                               # k rows
-        def cap(d: DataFrame) -> DataFrame:
-            j = d.join(top, d[c] == top["__top"], "left")
-            return j.withColumn(c, F.when(F.col("__top").isNull() & F.col(c).isNotNull(), F.lit("__other__"))
-                                .otherwise(F.col(c))).drop("__top")
-        train, test = cap(train), cap(test)
+               .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(k))
+        kept = [r[0] for r in top.collect()]                 # at most k values
+        if len(kept) < k:
+            continue
+        capped = F.when(F.col(c).isNull() | F.col(c).isin(kept), F.col(c)).otherwise(F.lit("__other__"))
+        train, test = train.withColumn(c, capped), test.withColumn(c, capped)
     return train, test
 
 
