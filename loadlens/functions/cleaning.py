@@ -137,7 +137,8 @@ def compact_datetime(date_c: Column | str, time_c: Column | str) -> Column:
 
     ts = F.try_make_timestamp_ntz(num(1, 4), num(5, 2), num(7, 2), num(9, 2), num(11, 2),
                                   num(13, 2).cast("decimal(8,6)"))
-    return F.when(ok, ts)
+    # make_timestamp rolls second 60 over to the next minute; a strict parse rejects it
+    return F.when(ok & (num(13, 2) < 60), ts)
 
 
 def parse_datetime_text(c: Column | str) -> Column:

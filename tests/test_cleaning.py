@@ -59,9 +59,11 @@ def test_mm_ss_non_text_is_zero(spark):
 
 def test_compact_datetime(spark):
     df = spark.createDataFrame([("20240131", "93015"), ("20240131", "250000"), ("20240131", "1234567"),
-                                ("20240131", "5"), ("2024013", "93015"), (None, "93015")], "d string, t string")
+                                ("20240131", "5"), ("2024013", "93015"), (None, "93015"), ("20240131", "121960"),
+                                ("20240131", "126000")], "d string, t string")
     got = [r[0] for r in df.select(C.compact_datetime("d", "t")).collect()]
-    assert got == [dt.datetime(2024, 1, 31, 9, 30, 15), None, None, dt.datetime(2024, 1, 31, 0, 0, 5), None, None]
+    assert got == [dt.datetime(2024, 1, 31, 9, 30, 15), None, None, dt.datetime(2024, 1, 31, 0, 0, 5), None, None,
+                   None, None]
     assert df.select(C.compact_datetime("d", "t")).schema[0].dataType.simpleString() == "timestamp_ntz"
 
 

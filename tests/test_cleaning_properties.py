@@ -3,7 +3,7 @@
 import datetime as dt
 import re
 
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from loadlens.functions import cleaning as C
@@ -66,6 +66,7 @@ def spec_datetime(d, t):
 
 
 @settings(max_examples=15, deadline=None)
+@example(pairs=[("20240131", "121960"), ("20240131", "126000"), ("20240131", "240000")])
 @given(st.lists(st.tuples(st.sampled_from(["20240131", "20240229", "20230229", "2024013", None]),
                           st.one_of(st.none(), st.integers(0, 2_600_000).map(str))), min_size=1, max_size=40))
 def test_compact_datetime_matches_spec(spark, pairs):
