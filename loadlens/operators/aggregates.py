@@ -81,6 +81,18 @@ def sort_by(df: DataFrame, order_by: str, key: str | Sequence[str], ascending: b
     return df.orderBy(o, *[F.col(k_).asc() for k_ in keys])
 
 
+def sort_rows(df: DataFrame, *order: Column) -> DataFrame:
+    """Global sort of row-level output that stays balanced when many rows tie.
+
+    A range partitioner sends equal sort keys to one partition, so a value shared
+    by a third of the rows would be sorted by one task. A hidden unique id as the
+    last key lets the partitioner split such a group; it only orders rows that
+    tie on every requested key.
+    """
+    tie = "__row_tiebreak"
+    return df.withColumn(tie, F.monotonically_increasing_id()).orderBy(*order, F.col(tie)).drop(tie)
+
+
 def grouped_top_k(df: DataFrame, key: str, metrics: Iterable[MetricSpec], order_by: str, k: int,
                   decimal_scale: int | None = None) -> DataFrame:
     """``group_metrics`` followed by ``top_k`` on one of its outputs."""

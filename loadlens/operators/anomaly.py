@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import to_double
+from loadlens.operators.aggregates import sort_rows
 
 # fixed values: the multiplier slider of the original reports
 M_MIN, M_MAX, M_STEP, M_DEFAULT = 1.0, 5.0, 0.1, 3.0
@@ -55,7 +56,7 @@ def anomalies(df: DataFrame, value: str, m: float = M_DEFAULT, columns: Sequence
     flagged = base.withColumn("threshold", threshold_scalar(base, value, m))
     hits = flagged.filter(F.col(value) > F.col("threshold")).select(*out_cols)
     ties = [key] if isinstance(key, str) else list(key or [c for c in out_cols if c != value])
-    return hits.orderBy(F.col(value).desc(), *[F.col(c).asc() for c in ties])
+    return sort_rows(hits, F.col(value).desc(), *[F.col(c).asc() for c in ties])
 
 
 def anomaly_count(df: DataFrame, value: str, m: float = M_DEFAULT, ts: str | None = None) -> DataFrame:

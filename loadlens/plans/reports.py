@@ -284,7 +284,7 @@ def users_section(dfs: Mapping[str, DataFrame], f: Filters | None = None,
     if _has(full, "BNAME", "GLTGB_DATE"):
         cols = [c for c in ("BNAME", "GLTGB_DATE", "USTYP") if c in full.columns]
         missing = filters.null_rows(full, "GLTGB_DATE").select(*cols)
-        out["users_without_date"] = missing.orderBy("BNAME")
+        out["users_without_date"] = agg.sort_rows(missing, *[F.col(c).asc() for c in cols])
         out["users_without_date_count"] = missing.agg(F.count(F.lit(1)).alias("count"))
     return out
 

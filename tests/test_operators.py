@@ -172,3 +172,21 @@ def test_spine_always_has_19_rows(spark):
     assert {r["TIME"]: r["v"] for r in out}["06--07"] == 4.0 and sum(r["v"] for r in out) == 4.0
     empty = bucket_metrics_on_spine(df.limit(0), "TIME", [("v", "sum", "v")]).collect()
     assert len(empty) == 19 and all(r["v"] == 0 for r in empty)
+
+
+def test_sort_rows_splits_a_hot_tied_group(spark):
+    # a third of the rows share one sort key
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")      # see the range partitions as planned
+    try:
+        def biggest(d):
+            return d.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        plain = biggest(df.orderBy("k"))
+        balanced_df = agg.sort_rows(df, F.col("k").asc())
+        balanced = biggest(balanced_df)
+        keys = [r["k"] for r in balanced_df.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert plain >= 10000 and balanced < plain
+    assert keys == sorted(keys)
