@@ -7,9 +7,9 @@ standardise; text block = most-frequent impute + one-hot (unseen -> all
 zeros); forest; test-part metrics; importances named from the assembler
 metadata; an actual-vs-predicted sample and its least-squares trend line.
 
-Scale notes: the split is a pure function of the row (stable when an executor
-is lost and a partition is recomputed, unlike ``randomSplit`` on a reshuffled
-input); the prepared training frame is persisted for the many passes of the
+Scale notes: the split is a hash of the row and its position in the scan
+(stable when an executor is lost and a partition is recomputed, and copies of
+one row are split individually); the prepared training frame is persisted for the many passes of the
 fit, and node-id caches are checkpointed into the shared checkpoint folder.
 Only bounded things reach the driver: one row of per-feature statistics,
 one mode per text column, and the importance vector (one entry per feature).
@@ -71,8 +71,16 @@ def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def split_flag(columns: Sequence[str]) -> Column:
-    """True for the training part: ``pmod(xxhash64(all columns), 10) < 8`` (seed 42)."""
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(10)) < TRAIN_SHARE_TENTHS
+    """True for the training part: ``pmod(xxhash64(all columns, row id), 10) < 8`` (seed 42).
+
+    The row id (``monotonically_increasing_id``: partition index and position)
+    splits copies of one row individually — a group of identical rows holding a
+    third of the data still splits 80 / 20. It is a pure function of the scan, so
+    a partition recomputed after a lost executor gets the same flags; evaluate it
+    before any shuffle.
+    """
+    return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.monotonically_increasing_id()),
+                  F.lit(10)) < TRAIN_SHARE_TENTHS
 
 
 def text_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -268,9 +276,13 @@ def importances(run: ForestRun, top: int | None = TOP_IMPORTANCES) -> DataFrame:
 
 
 def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``n`` (actual, predicted) test rows, chosen by a row hash (P13): a k-row top-k."""
+    """At most ``n`` (actual, predicted) test rows, chosen by a row hash (P13): a k-row top-k.
+
+    The hash includes the row id, so copies of one row are drawn individually and
+    a hot group of copies takes its fair share of the sample, not all of it.
+    """
     cols = [run.target, *run.numeric, *run.text]
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    h = F.xxhash64(*[F.col(c) for c in cols], F.monotonically_increasing_id())
     return (run.predictions.select(F.col(run.target).alias("actual"), F.col("prediction").alias("predicted"),
                                    h.alias("__h"))
             .orderBy("__h", "actual", "predicted").limit(n).drop("__h"))
