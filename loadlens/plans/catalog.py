@@ -538,22 +538,33 @@ def f1(spark, d):
     return filters.value_options([(table(spark, d, "customer"), "c_nationkey"), (table(spark, d, "supplier"), "s_nationkey")])
 
 
-CHOSEN_NATIONS = [1, 3, 5, 7]
+CHOSEN_REGION = "EUROPE"
+SQL_CHOSEN_NATIONS = ("SELECT n_nationkey FROM nation WHERE n_regionkey IN "
+                      f"(SELECT r_regionkey FROM region WHERE r_name = '{CHOSEN_REGION}')")
+
+
+def chosen_nations(spark, d) -> DataFrame:
+    """The accounts a user picks: the nations of one region (a 25-row dimension, so a bounded list)."""
+    region = table(spark, d, "region").filter(F.col("r_name") == CHOSEN_REGION)
+    nation = table(spark, d, "nation")
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left_semi").select("n_nationkey")
 
 
 @register("F2_account_list_filter", f"""
 SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer
-WHERE c_nationkey IN ({', '.join(map(str, CHOSEN_NATIONS))})""")
+WHERE c_nationkey IN ({SQL_CHOSEN_NATIONS})""")
 def f2(spark, d):
-    c = filters.in_values(table(spark, d, "customer"), "c_nationkey", CHOSEN_NATIONS)
+    c = filters.in_frame(table(spark, d, "customer"), "c_nationkey", chosen_nations(spark, d), "n_nationkey",
+                         bounded=True)
     return c.select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
 
 
 @register("F3_report_options_after_filter", f"""
 SELECT DISTINCT c_mktsegment AS value FROM customer
-WHERE c_nationkey IN ({', '.join(map(str, CHOSEN_NATIONS))}) AND c_mktsegment IS NOT NULL ORDER BY value""")
+WHERE c_nationkey IN ({SQL_CHOSEN_NATIONS}) AND c_mktsegment IS NOT NULL ORDER BY value""")
 def f3(spark, d):
-    c = filters.in_values(table(spark, d, "customer"), "c_nationkey", CHOSEN_NATIONS)
+    c = filters.in_frame(table(spark, d, "customer"), "c_nationkey", chosen_nations(spark, d), "n_nationkey",
+                         bounded=True)
     return filters.value_options([(c, "c_mktsegment")])
 
 
