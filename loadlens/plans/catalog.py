@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import (EDGE_SPACE_RE, NON_PRINTABLE_RE, NUMBER_RE, clean_string, compact_date,
@@ -112,6 +112,15 @@ FROM g, w, st WHERE st.hi > st.lo
 GROUP BY g.i, st.lo, st.hi ORDER BY 1"""
 
 
+# A numeric export column with junk in it: the JSON value of ``props``, except on
+# error events, where the whole raw JSON text stands in for a garbled cell.
+SQL_RAW_K = "CASE WHEN event_type = 'error' THEN props ELSE json_extract_string(props, '$.k') END"
+
+
+def raw_k() -> Column:
+    return F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.get_json_object("props", "$.k"))
+
+
 def rounded_kde(df: DataFrame, column: str) -> DataFrame:
     k = density.kde(df, column)
     return k.select(F.col("i").cast("int").alias("i"), F.round("x", ROUND).alias("x"),
@@ -274,13 +283,13 @@ def h1(spark, d):
 
 @register("H2_bucket_total_io_top5", f"""
 WITH e AS (SELECT {sql_bucket('ts')} AS TIME_RANGE,
-                  value + {sql_to_double("substr(props, 7, 2)")} + CAST(user_id AS DOUBLE) AS TOTAL_IO
+                  value + {sql_to_double(SQL_RAW_K)} + CAST(user_id AS DOUBLE) AS TOTAL_IO
            FROM events WHERE ts IS NOT NULL)
 SELECT TIME_RANGE, {xsum('TOTAL_IO')} AS sum_total_io FROM e WHERE TIME_RANGE IS NOT NULL GROUP BY TIME_RANGE
 ORDER BY sum_total_io DESC, TIME_RANGE ASC LIMIT 5""")
 def h2(spark, d):
     ev = timeseries.with_hour_bucket(table(spark, d, "events"), "ts")
-    k = to_double(F.substring("props", 7, 2))
+    k = to_double(raw_k())
     ev = ev.withColumn("TOTAL_IO", F.col("value") + k + F.col("user_id").cast("double"))
     return agg.grouped_top_k(ev, "TIME_RANGE", [("sum_total_io", "sum", "TOTAL_IO")], "sum_total_io", 5, DEC)
 
@@ -635,9 +644,9 @@ def c2b(spark, d):
 
 
 @register("C3_numeric_coercion", f"""
-SELECT event_id, substr(props, 7, 2) AS raw, {sql_to_double('substr(props, 7, 2)')} AS parsed FROM events""")
+SELECT event_id, raw, {sql_to_double('raw')} AS parsed FROM (SELECT event_id, {SQL_RAW_K} AS raw FROM events) e""")
 def c3(spark, d):
-    ev = table(spark, d, "events").select("event_id", F.substring("props", 7, 2).alias("raw"))
+    ev = table(spark, d, "events").select("event_id", raw_k().alias("raw"))
     return ev.select("event_id", "raw", to_double("raw").alias("parsed"))
 
 
