@@ -26,10 +26,14 @@ SUPPORTED_FORMATS = ("csv", "parquet")
 
 
 def detect_format(path: str) -> str:
+    """``.csv`` (also ``.csv.gz`` / ``.csv.bz2``) -> csv; ``.parquet`` or a folder without an
+    extension (a dataset of part files) -> parquet; anything else is unsupported."""
     p = path.lower().rstrip("/")
-    for fmt in SUPPORTED_FORMATS:
-        if p.endswith("." + fmt):
-            return fmt
+    name = p.rsplit("/", 1)[-1]
+    if name.endswith((".csv", ".csv.gz", ".csv.bz2")):
+        return "csv"
+    if name.endswith(".parquet") or "." not in name:
+        return "parquet"
     raise ValueError(f"unsupported file format: {path}")
 
 

@@ -258,3 +258,15 @@ def test_command_line(spark, exports, capsys):
     assert main(args) == 0
     out = capsys.readouterr().out
     assert "== kpis / kpis" in out and "== hitlist / top_reports_by_dbcalls" in out and "memory" not in out
+
+
+def test_format_detection_and_dataset_folders(spark, tmp_path):
+    from loadlens.sources.loader import detect_format
+    assert detect_format("/x/memory.csv") == "csv" and detect_format("/x/memory.csv.gz") == "csv"
+    assert detect_format("/x/memory.parquet") == "parquet" and detect_format("/x/exports/memory/") == "parquet"
+    with pytest.raises(ValueError):
+        detect_format("/x/memory.xlsx")
+    folder = tmp_path / "memory"          # a dataset folder of part files, no extension
+    spark.createDataFrame([("alice", "5")], "ACCOUNT string, USEDBYTES string").repartition(2).write.parquet(str(folder))
+    m = load_source(spark, "memory", str(folder))
+    assert [(r["ACCOUNT"], r["USEDBYTES"]) for r in m.collect()] == [("alice", 5.0)]
