@@ -190,3 +190,25 @@ def test_sort_rows_splits_a_hot_tied_group(spark):
         spark.conf.set("spark.sql.adaptive.enabled", old)
     assert plain >= 10000 and balanced < plain
     assert keys == sorted(keys)
+
+
+def test_kpis_with_missing_sources_are_zero(spark):
+    from loadlens.operators.kpis import kpis
+    r = kpis(spark).first()
+    assert tuple(r) == (0.0, 0.0, 0.0, 0.0, 0.0)
+    empty = spark.createDataFrame([], "RESPTI double, CPUTI double, DBCALLS double")
+    assert tuple(kpis(spark, hitlist=empty).first()) == (0.0, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_anomalies_need_a_positive_total(spark):
+    df = spark.createDataFrame([(-5.0,), (-1.0,), (0.0,), (-100.0,)], "v double")
+    assert anomaly.anomalies(df, "v", 1.0).count() == 0
+    assert anomaly.anomaly_overlay(df, "v", 1.0).count() == 0
+    r = anomaly.anomaly_count(df, "v", 1.0).first()
+    assert r["threshold"] is None and r["n_anomalies"] == 0
+
+
+def test_trailing_range_on_empty_input(spark):
+    df = spark.createDataFrame([], "ts timestamp_ntz, v double")
+    assert filters.trailing_range(df, "ts", "1d").count() == 0
+    assert filters.trailing_range(df, "ts", "ytd").count() == 0
