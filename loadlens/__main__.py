@@ -30,6 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--wp-types", help="comma-separated work-process type filter")
     p.add_argument("--section", action="append", choices=["kpis", *reports.SECTIONS, "users"],
                    help="section to show (repeatable; default: all)")
+    p.add_argument("--ml-target", help="numeric column to predict: adds the regression section")
+    p.add_argument("--ml-source", default=reports.ML_SOURCES[0], choices=reports.ML_SOURCES,
+                   help="source of the regression section")
     p.add_argument("--rows", type=int, default=20, help="rows shown per table")
     p.add_argument("--master", help="Spark master (default: from the launcher)")
     a = p.parse_args(argv)
@@ -47,6 +50,8 @@ def main(argv: list[str] | None = None) -> int:
     out = reports.report(spark, dfs, f, [s for s in chosen if s != "kpis"])
     if "kpis" not in chosen:
         out.pop("kpis", None)
+    if a.ml_target:
+        out["ml"] = reports.ml_section(reports.apply_filters(dfs, f), a.ml_target, a.ml_source)
     for section, tables in out.items():
         for name, df in tables.items():
             print(f"== {section} / {name}")

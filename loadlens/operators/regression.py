@@ -180,8 +180,10 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
                                             featureSubsetStrategy="all",
                                             cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
                                             checkpointInterval=10))
-        model = Pipeline(stages=stages).fit(train)
         n_train = train.count()
+        if n_train < 2:
+            raise ValueError(f"need at least 2 training rows, got {n_train}")
+        model = Pipeline(stages=stages).fit(train)
         # Every output (metrics, sample, trend) reads the test-part predictions:
         # materialise them once, in parallel, while the persisted copy is cached.
         # MEMORY_AND_DISK: blocks lost with an executor are recomputed from lineage.

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import as_text, ms_to_seconds, short_label
 from loadlens.operators import aggregates as agg
-from loadlens.operators import anomaly, density, filters, kpis, timeseries
+from loadlens.operators import anomaly, density, filters, kpis, regression, timeseries
 from loadlens.sources.specs import MEMORY_ACCOUNT_DEFAULT
 
 # --- fixed values: column groups and defaults of the original sections ----------------
@@ -301,6 +301,37 @@ def anomaly_section(dfs: Mapping[str, DataFrame], m: float = anomaly.M_DEFAULT)
     }
 
 
+# fixed values: the sources offered to the regression job, the first is the default
+ML_SOURCES = ("hitlist_db", "memory", "times", "usertcode", "performance", "sql_trace_summary")
+
+
+def ml_section(dfs: Mapping[str, DataFrame], target: str, source: str = ML_SOURCES[0],
+               num_trees: int = regression.NUM_TREES, max_depth: int = regression.DEFAULT_MAX_DEPTH
+               ) -> dict[str, DataFrame]:
+    """Random-forest regression of ``target`` on the other columns of one source (P1-P14).
+
+    Fits when called (the pipeline fit is a series of Spark jobs); the returned
+    tables are the metrics with split sizes, the named importances, the plotted
+    sample and its trend line, and the features left out by the pruning rules.
+    """
+    if source not in ML_SOURCES:
+        raise ValueError(f"source must be one of {ML_SOURCES}")
+    src = dfs.get(source)
+    if src is None or src.isEmpty():
+        return {}
+    if target not in regression.numeric_columns(src):
+        raise ValueError(f"{target!r} is not a numeric column of {source}")
+    run = regression.fit_forest(src, target, num_trees=num_trees, max_depth=max_depth)
+    spark = src.sparkSession
+    return {
+        "metrics": regression.metrics(run),
+        "importances": regression.importances(run, top=None),
+        "actual_vs_predicted": regression.actual_vs_predicted_sample(run),
+        "trend_line": regression.sample_trend(run),
+        "dropped_features": spark.createDataFrame([(c,) for c in run.dropped], "feature string"),
+    }
+
+
 SECTIONS = {
     "memory": memory_section,
     "transactions": transactions_section,

@@ -270,3 +270,20 @@ def test_format_detection_and_dataset_folders(spark, tmp_path):
     spark.createDataFrame([("alice", "5")], "ACCOUNT string, USEDBYTES string").repartition(2).write.parquet(str(folder))
     m = load_source(spark, "memory", str(folder))
     assert [(r["ACCOUNT"], r["USEDBYTES"]) for r in m.collect()] == [("alice", 5.0)]
+
+
+def test_ml_section(spark, dfs):
+    from pyspark.sql import functions as F
+    u = spark.range(0, 300).select(
+        (F.col("id") % 4).cast("string").alias("ACCOUNT"), (F.col("id") % 10 * 10.0).alias("CPUTI"),
+        (F.col("id") % 10 * 25.0 + F.col("id") % 4).alias("RESPTI"), F.lit(1.0).alias("COUNT"),
+        F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(31), F.col("id") % 24, F.lit(0), F.lit(0)).alias("FULL_DATETIME"))
+    out = reports.ml_section({"usertcode": u}, "RESPTI", "usertcode", num_trees=5, max_depth=4)
+    m = out["metrics"].first()
+    assert m["n_train"] + m["n_test"] == 300 and m["r2"] > 0.5
+    assert {r["feature"] for r in out["dropped_features"].collect()} == {"COUNT", "FULL_DATETIME"}
+    assert out["trend_line"].count() == 1 and out["importances"].count() == 5   # CPUTI + 4 accounts
+    with pytest.raises(ValueError):
+        reports.ml_section(dfs, "ACCOUNT", "usertcode")
+    with pytest.raises(ValueError):                    # 3 rows: too few to train
+        reports.ml_section(dfs, "RESPTI", "usertcode", num_trees=2)
