@@ -350,7 +350,7 @@ def report(spark: SparkSession, dfs: Mapping[str, DataFrame], f: Filters | None
     f = f or Filters()
     filtered = apply_filters(dfs, f)
     out = {"kpis": kpi_section(spark, dfs)}
-    for name in sections or list(SECTIONS) + ["users"]:
+    for name in (list(SECTIONS) + ["users"]) if sections is None else sections:
         if name == "users":
             out[name] = users_section(filtered, f)
         else:

@@ -223,6 +223,11 @@ def test_anomaly_section(dfs):
     assert out["threshold"].first()["n_anomalies"] == 1
 
 
+def test_report_section_choice(spark, dfs):
+    assert set(reports.report(spark, dfs, sections=[])) == {"kpis"}
+    assert set(reports.report(spark, dfs, sections=["users"])) == {"kpis", "users"}
+
+
 def test_full_report_runs(spark, dfs):
     rep = reports.report(spark, dfs, reports.Filters(accounts=["alice", "bob"]))
     for section, outs in rep.items():
