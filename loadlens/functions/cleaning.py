@@ -41,10 +41,11 @@ EDGE_SPACE_RE = rf"^[{WHITESPACE_CLASS}]+|[{WHITESPACE_CLASS}]+$"
 # Runs of characters that are neither printable ASCII nor whitespace.
 NON_PRINTABLE_RE = rf"[^\x{{20}}-\x{{7E}}{WHITESPACE_CLASS}]+"
 NUMBER_RE = _NUMBER_RE
-_EDGE_SPACE_RE = rf"(?U)^[{JAVA_WHITESPACE_CLASS}]+|[{JAVA_WHITESPACE_CLASS}]+$"
 _NON_PRINTABLE_RE = rf"(?U)[^\x{{20}}-\x{{7E}}{JAVA_WHITESPACE_CLASS}]+"
-# Whole text empty or the literal "nan" (the text is already stripped).
-_MISSING_TEXT_RE = rf"^(?:{NAN_TEXT})?\z"
+# The same set as characters, for trim(): ASCII controls 09-0D and 1C-1F, space,
+# U+0085, U+00A0, U+1680, U+2000..U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+WHITESPACE_CHARS = "".join(map(chr, [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
+                                     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def _col(c: Column | str) -> Column:
@@ -52,8 +53,10 @@ def _col(c: Column | str) -> Column:
 
 
 def unicode_strip(c: Column | str) -> Column:
-    """Strip Unicode whitespace at both ends (``trim`` only strips ASCII space)."""
-    return F.regexp_replace(_col(c), _EDGE_SPACE_RE, "")
+    """Strip Unicode whitespace at both ends (plain ``trim`` only strips ASCII space).
+
+    ``trim`` with a character set works on the UTF-8 bytes directly, no regex."""
+    return F.trim(_col(c), F.lit(WHITESPACE_CHARS))
 
 
 def clean_string(c: Column | str, default: str = DEFAULT_TEXT) -> Column:
@@ -64,13 +67,11 @@ def clean_string(c: Column | str, default: str = DEFAULT_TEXT) -> Column:
     non-breaking space inside the text is kept.
 
     The replacement never touches whitespace, so one strip after it gives the
-    same text as stripping before and after. The cleaned text is referenced
-    once (a regex swaps the empty / ``nan`` text for the default), so each
-    regex runs once per value.
+    same text as stripping before and after. ``nullif`` evaluates its argument
+    once, so the regex runs once per value.
     """
     text = unicode_strip(F.regexp_replace(_col(c).cast("string"), _NON_PRINTABLE_RE, " "))
-    replacement = default.replace("\\", "\\\\").replace("$", "\\$")
-    return F.coalesce(F.regexp_replace(text, _MISSING_TEXT_RE, replacement), F.lit(default))
+    return F.coalesce(F.nullif(F.nullif(text, F.lit("")), F.lit(NAN_TEXT)), F.lit(default))
 
 
 def to_double(c: Column | str, source_type: DataType | None = None) -> Column:

@@ -115,3 +115,8 @@ def test_bucket_spine_and_order(spark):
     assert [r["TIME_RANGE"] for r in spine] == labels
     df = spark.createDataFrame([("23--00",), ("00--06",), ("zz",)], "l string")
     assert [r[0] for r in df.select(bucket_ordinal("l")).collect()] == [18, 0, 19]
+
+
+def test_whitespace_sets_match_python():
+    bmp = {chr(i) for i in range(0x10000) if not 0xD800 <= i <= 0xDFFF}
+    assert set(C.WHITESPACE_CHARS) == {ch for ch in bmp if ch.isspace()}
