@@ -17,6 +17,8 @@ one mode per text column, and the importance vector (one entry per feature).
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, T
 
 from loadlens.session import checkpoint_dir
 
+log = logging.getLogger(__name__)
+
 # fixed values: the original job's settings
 SEED = 42
 TRAIN_SHARE_TENTHS = 8          # 80 / 20 split
@@ -134,8 +138,18 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
     base = (df.filter(F.col(target).isNotNull())
             .select(target, *feats, split_flag(df.columns).alias("__train")))
     base = ensure_parallelism(base).persist(StorageLevel.MEMORY_AND_DISK)
+    phases: list[tuple[str, float]] = []
+    t0 = time.perf_counter()
+
+    def phase(name: str) -> None:
+        nonlocal t0
+        now = time.perf_counter()
+        phases.append((name, round(now - t0, 3)))
+        t0 = now
+
     try:
         prof = feature_profile(base, feats).collect()          # one row per feature (bounded)
+        phase("scan+profile")
         kept = [r["feature"] for r in prof if r["kept"]]
         dropped = [r["feature"] for r in prof if not r["kept"]]
         # booleans pass through with the numbers (as 0 / 1)
@@ -156,6 +170,7 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
             train, test = train.na.fill(fill), test.na.fill(fill)
             if max_categories:
                 train, test = _cap_categories(train, test, text, max_categories)
+        phase("modes+cap")
 
         stages = []
         vec_inputs = []
@@ -184,14 +199,17 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
         if n_train < 2:
             raise ValueError(f"need at least 2 training rows, got {n_train}")
         model = Pipeline(stages=stages).fit(train)
+        phase("pipeline fit")
         # Every output (metrics, sample, trend) reads the test-part predictions:
         # materialise them once, in parallel, while the persisted copy is cached.
         # MEMORY_AND_DISK: blocks lost with an executor are recomputed from lineage.
         preds = (model.transform(test).select(target, *numeric, *text, "features", "prediction")
                  .persist(StorageLevel.MEMORY_AND_DISK))
         preds.count()
+        phase("predict test part")
     finally:
         base.unpersist()
+    log.info("forest job phases (s): %s", phases)
     names = _feature_names(preds, numeric)
     return ForestRun(target, numeric, text, dropped, model, train, test, preds, names, n_train)
 
