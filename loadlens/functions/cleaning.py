@@ -28,6 +28,9 @@ SHORT_LABEL_SUFFIX = "..."
 # ``1_000``, ``1,5``, ``True``) is not a number, although Spark's cast would
 # accept some of it.
 _NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+_NUM = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
+# ``MM:SS`` or a single number, each part optionally padded with whitespace
+_MM_SS_RE = rf"^\s*{_NUM}\s*(?::\s*{_NUM}\s*)?$"
 # Unicode whitespace as Python's str.isspace() defines it (what the exports'
 # cleaning treats as blank), written out as an explicit class for SQL engines.
 WHITESPACE_CLASS = (r"\t\n\x{0B}\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -112,14 +115,10 @@ def mm_ss_seconds(c: Column | str, source_type: DataType | None = None) -> Colum
         return F.lit(0.0)
     s = _col(c).cast("string")
     parts = F.split(s, ":")
-
-    def part(i: int) -> Column:
-        p = parts.getItem(i)
-        return F.when(p.rlike(_NUMBER_RE), _tc(F.trim(p), "double"))
-
-    total = (F.when(F.size(parts) == 2, part(0) * 60 + part(1))
-             .when(F.size(parts) == 1, part(0)))
-    return F.coalesce(_tc(total, "bigint"), F.lit(0)).cast("double")
+    first = _tc(F.trim(parts.getItem(0)), "double")
+    total = F.when(F.size(parts) == 2, first * 60 + _tc(F.trim(parts.getItem(1)), "double")).otherwise(first)
+    # one anchored regex validates the whole text (one or two numeric parts)
+    return F.coalesce(F.when(s.rlike(_MM_SS_RE), _tc(total, "bigint")), F.lit(0)).cast("double")
 
 
 def compact_datetime(date_c: Column | str, time_c: Column | str) -> Column:

@@ -93,3 +93,33 @@ def test_eu_number_round_trips(spark, values):
     df = spark.createDataFrame([(t,) for t in texts], "x string")
     got = [r[0] for r in df.select(C.eu_number("x")).collect()]
     assert got == [float(f"{v:.2f}") for v in values]
+
+
+def spec_mm_ss(s):
+    # the exports' MM:SS convention: two parts -> minutes * 60 + seconds, one part -> number, truncated
+    if s is None:
+        return 0.0
+    parts = s.split(":")
+    try:
+        if len(parts) == 2:
+            return float(int(float(parts[0]) * 60 + float(parts[1])))
+        if len(parts) == 1:
+            return float(int(float(parts[0])))
+        return 0.0
+    except (ValueError, OverflowError):
+        return 0.0
+
+
+NUM_TEXT = st.one_of(st.floats(-1e6, 1e6, allow_nan=False).map(lambda f: f"{f:.3f}"),
+                     st.integers(-10_000, 10_000).map(str), st.integers(0, 59).map(lambda i: f"{i:02d}"),
+                     st.sampled_from(["", " ", "ab", "1d", "inf", "-inf", "nan", " 7 ", ".5", "5.", "1e3", "--1"]))
+
+
+@settings(max_examples=20, deadline=None)
+@example(values=["03:05", "90", "1.7", "1:2:3", "ab", None, "inf", "-1.5", " 2 : 30 ", "1:", ":5"])
+@given(st.lists(st.one_of(st.none(), NUM_TEXT, st.tuples(NUM_TEXT, NUM_TEXT).map(":".join),
+                          st.tuples(NUM_TEXT, NUM_TEXT, NUM_TEXT).map(":".join)), min_size=1, max_size=40))
+def test_mm_ss_matches_spec(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    got = [r[0] for r in df.select(C.mm_ss_seconds("x")).collect()]
+    assert got == [spec_mm_ss(v) for v in values]
