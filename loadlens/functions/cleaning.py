@@ -85,6 +85,9 @@ def to_double(c: Column | str, source_type: DataType | None = None) -> Column:
     else:
         s = c.cast("string")
         v = F.when(s.rlike(_NUMBER_RE), _tc(F.trim(s), "double"))
+        # an overflowing literal (1e1000) is not a number; only an explicit inf text is infinite
+        # (the right-hand test only runs for infinite values)
+        v = F.when((F.abs(v) == F.lit(float("inf"))) & ~s.rlike("(?i)inf"), F.lit(None)).otherwise(v)
     return F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0))
 
 

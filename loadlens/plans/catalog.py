@@ -84,6 +84,7 @@ SQL_SPINE = ("SELECT CASE WHEN range < 6 THEN '00--06' ELSE lpad(CAST(range AS V
 
 def sql_to_double(s: str) -> str:
     v = f"CASE WHEN regexp_matches({s}, '{NUMBER_RE}') THEN TRY_CAST(trim({s}) AS DOUBLE) END"
+    v = f"CASE WHEN isinf({v}) AND NOT regexp_matches({s}, '(?i)inf') THEN NULL ELSE {v} END"
     return f"COALESCE(CASE WHEN isnan({v}) THEN 0.0 ELSE {v} END, 0.0)"
 
 

@@ -123,3 +123,36 @@ def test_mm_ss_matches_spec(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string")
     got = [r[0] for r in df.select(C.mm_ss_seconds("x")).collect()]
     assert got == [spec_mm_ss(v) for v in values]
+
+
+NUMBERISH = st.lists(st.sampled_from(list("0123456789") + [".", ",", "-", "+", "e", "E", " ", "d", "x", "_", "inf",
+                                                               "nan", "a"]), max_size=8).map("".join)
+
+
+def spec_to_double(values):
+    import pandas as pd
+    s = pd.to_numeric(pd.Series(values, dtype=object), errors="coerce").fillna(0).astype(float)
+    return [float(v) for v in s]
+
+
+@settings(max_examples=25, deadline=None)
+@example(values=[" 12 ", "1e3", "5.", "1_000", "0x1A", "True", "1,5", "", "nan", "1d", "inf", "-2.5", ".5", "+7"])
+@given(st.lists(NUMBERISH, min_size=1, max_size=40))
+def test_to_double_matches_pandas(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    got = [r[0] for r in df.select(C.to_double("x")).collect()]
+    assert got == spec_to_double(values)
+
+
+def spec_eu(values):
+    cleaned = [v.replace(" ", "").replace(".", "").replace(",", ".") for v in values]
+    return spec_to_double(cleaned)
+
+
+@settings(max_examples=20, deadline=None)
+@example(values=["1.234,5", "1 234,5", "7", "abc", "12,5", "1.000.000,25", "-3,0"])
+@given(st.lists(NUMBERISH, min_size=1, max_size=40))
+def test_eu_number_matches_pandas(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    got = [r[0] for r in df.select(C.eu_number("x")).collect()]
+    assert got == spec_eu(values)
