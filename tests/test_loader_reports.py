@@ -292,3 +292,20 @@ def test_ml_section(spark, dfs):
         reports.ml_section(dfs, "ACCOUNT", "usertcode")
     with pytest.raises(ValueError):                    # 3 rows: too few to train
         reports.ml_section(dfs, "RESPTI", "usertcode", num_trees=2)
+
+
+def test_wide_hitlist_export(spark, tmp_path):
+    from loadlens.sources.specs import HITLIST_NUMERIC
+    cols = {c: [str(i), "bad"] for i, c in enumerate(HITLIST_NUMERIC)}
+    cols.update({"ACCOUNT": ["a", None], "REPORT": ["R", "S"], "ENDDATE": ["20240131", "20240131"],
+                 "ENDTIME": ["93015", "101500"]})
+    path = write_csv(tmp_path, "hit_wide", pd.DataFrame(cols))
+    h = load_source(spark, "hitlist_db", path)
+    assert len(HITLIST_NUMERIC) == 83
+    types = dict(h.dtypes)
+    assert all(types[c] == "double" for c in HITLIST_NUMERIC)
+    rows = sorted(h.collect(), key=lambda r: r["REPORT"])
+    assert rows[0]["VMC_ELAP_TIME"] == 82.0 and rows[1]["VMC_ELAP_TIME"] == 0.0
+    assert rows[1]["ACCOUNT"] == "Non défini"
+    prof = profile(h).collect()
+    assert len(prof) == len(h.columns) and all(r["rows"] == 2 for r in prof)
