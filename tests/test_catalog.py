@@ -62,3 +62,9 @@ def test_forest_queries_run(spark):
     assert 0 < len(outs["P12_forest_importances"]) <= 10
     assert len(outs["P13_forest_actual_vs_predicted_sample"]) == 500
     assert outs["P14_forest_sample_trend_line"][0]["n_points"] == 500
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+def test_no_cross_or_nested_loop_joins(spark, name):
+    plan = QUERIES[name](spark, SF001)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
