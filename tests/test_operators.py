@@ -212,3 +212,13 @@ def test_trailing_range_on_empty_input(spark):
     df = spark.createDataFrame([], "ts timestamp_ntz, v double")
     assert filters.trailing_range(df, "ts", "1d").count() == 0
     assert filters.trailing_range(df, "ts", "ytd").count() == 0
+
+
+def test_value_options_and_list_filters(spark):
+    a = spark.createDataFrame([("x",), (None,), ("b",)], "k string")
+    b = spark.createDataFrame([("b",), ("a",)], "acc string")
+    assert [r[0] for r in filters.value_options([(a, "k"), (b, "acc")]).collect()] == ["a", "b", "x"]
+    assert filters.in_values(a, "k", ["x", "x", "b"]).count() == 2          # duplicates in the list are harmless
+    assert filters.exclude_value(a, "k", "x").count() == 1                  # null keys drop too, as in SQL
+    s = spark.createDataFrame([("ECC-VE7-00a",), ("ecc-ve7-00",), ("other",), ("ECC.VE7-00",)], "srv string")
+    assert filters.contains_ci(s, "srv", "ECC-VE7-00").count() == 2        # literal, not a regex
