@@ -156,3 +156,11 @@ def test_eu_number_matches_pandas(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x string")
     got = [r[0] for r in df.select(C.eu_number("x")).collect()]
     assert got == spec_eu(values)
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.floats(-1e15, 1e15, allow_nan=False), min_size=1, max_size=40))
+def test_thousands_label_matches_python(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in df.select(C.thousands_label("x")).collect()]
+    assert got == [f"{int(v):,}".replace(",", " ") for v in values]
