@@ -27,7 +27,8 @@ SHORT_LABEL_SUFFIX = "..."
 # optional exponent, or inf / infinity / nan. Anything else (``1d``, ``0x1A``,
 # ``1_000``, ``1,5``, ``True``) is not a number, although Spark's cast would
 # accept some of it.
-_NUMBER_RE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
+# (a decimal number may be padded with whitespace; inf / infinity / nan may not)
+_NUMBER_RE = r"^(\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*|[+-]?(?i:inf|infinity|nan))$"
 _NUM = r"[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf|infinity|nan))"
 # ``MM:SS`` or a single number, each part optionally padded with whitespace
 _MM_SS_RE = rf"^\s*{_NUM}\s*(?::\s*{_NUM}\s*)?$"
