@@ -8,18 +8,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, quality, tokens
-from loadlens.llm.tables import read
+from loadlens.llm import bpe, chunks, decontaminate, lm, quality, tokenfiles, tokens, warc
+from loadlens.llm.tables import read, shared_folder
 
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "op1-warc")
+    warc.write_archives(warc.plan_records(read(spark, sf_dir, "pages")), path)
+    return warc.read_archives(spark, path, payloads=False).drop("url", "payload")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "op3-shards")
+    tokenfiles.write_shards(read(spark, sf_dir, "documents"), WORD_BPE, path, end_id=1)
+    return tokenfiles.read_documents(spark, path)
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
+def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_chunks(read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(read(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -32,7 +56,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_archive": op1_warc_archive,
     "op2_token_counts": op2_token_counts,
+    "op3_token_files": op3_token_files,
+    "op4_lm_scores": op4_lm_scores,
+    "op7_content_chunks": op7_content_chunks,
+    "op8_decontamination": op8_decontamination,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
 }
