@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, chunks, decontaminate, lm, minhash, quality, tokenfiles, tokens, warc
+from loadlens.llm import bpe, chunks, decontaminate, lm, minhash, quality, suffix, tokenfiles, tokens, warc
 from loadlens.llm.tables import read, shared_folder
 
 
@@ -40,6 +40,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_digests(read(spark, sf_dir, "documents"))
+
+
 def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_chunks(read(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_lm_scores": op4_lm_scores,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_content_chunks": op7_content_chunks,
     "op8_decontamination": op8_decontamination,
     "op9_bpe_codec": op9_bpe_codec,
