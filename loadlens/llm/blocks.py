@@ -25,10 +25,13 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(1, -(-size // block_bytes))
 
 
-def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text (null: empty) and the block of each document, by a hash of both."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+def dealt(docs: DataFrame, n: int, rest: bool = False) -> DataFrame:
+    """doc_id, text and the block of each document, by a hash of both; with ``rest``, its other columns in a struct of
+    that name (so that no name can clash)."""
+    key = F.col("doc_id").cast("long")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if rest else []
+    return docs.select(key.alias("doc_id"), "text", *([F.struct(*others).alias("rest")] if others else []),
+                       F.pmod(F.xxhash64(key, "text"), F.lit(n)).cast("int").alias("block"))
 
 
 def pack(table: pa.Table | pa.RecordBatch) -> bytes:

@@ -27,8 +27,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadlens.llm.arrays import binary_array, column, raw
 from loadlens.llm.blocks import block_count, dealt, documents, pack, packed, unpack
@@ -37,7 +39,7 @@ LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1       # grams in a window
 CHUNK_BYTES = 2 << 20
-RUN_BYTES = 3 << 20
+RUN_BYTES = 3 << 19
 SHARDS_PER_BLOCK = 2
 LAST = (1 << 63) - 1
 _BYTE = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -122,7 +124,7 @@ def _regions(shards: int):
         block = column(pieces, "block")[0].as_py()
         key = column(docs, "doc_id").fill_null(LAST).to_numpy()
         data, off = raw(column(docs, "text"))
-        rows, places, sizes, anchors = [], [], [], []
+        places, sizes, anchors, contents = [], [], [], []
         for a, z in _chunks(off):
             base = int(off[a])
             anchor, inside, _ = windows(data[base:off[z]], off[a:z + 1] - base)
@@ -144,12 +146,14 @@ def _regions(shards: int):
             places.append(first + base)
             sizes.append(n)
             anchors.append(h)
+            size = n + LENGTH - 1
+            contents.append(binary_array(data[_ranges(first + base, size)], np.concatenate([[0], np.cumsum(size)])))
         if not places:
             return _pieces("shard", out)
         place, n, h = np.concatenate(places), np.concatenate(sizes), np.concatenate(anchors)
         row = np.searchsorted(off, place, "right") - 1
-        size = n + LENGTH - 1
-        content = binary_array(data[_ranges(place, size)], np.concatenate([[0], np.cumsum(size)]))
+        content = pa.concat_arrays(contents)
+        del contents
         code = content.dictionary_encode()
         ids = code.indices.to_numpy(zero_copy_only=False)
         lead = np.full(len(code.dictionary), -1, np.int64)
@@ -229,7 +233,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = (before[1:] != before[:-1] + 1) | (before[1:] < 0) | (before[:-1] < 0)
     fresh[heads] = True
-    wide = np.zeros(n + 8, np.uint8)
+    wide = np.zeros(n + most + 8, np.uint8)
     wide[:n] = text
     words = np.lib.stride_tricks.sliding_window_view(wide, 8)
     at = np.flatnonzero(fresh & (before >= 0))
@@ -237,8 +241,6 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     live = at
     for depth in range(0, most, 8):
         a, b = live + depth, before[live] + depth
-        fits = (a + 8 <= n) & (b + 8 <= n)
-        live, a, b = live[fits], a[fits], b[fits]  # a rest of less than eight bytes at the end is never a window
         same = (words[a] == words[b]).all(axis=1)
         part = live[~same]
         if len(part):
@@ -399,19 +401,33 @@ def _finish(digest: bool):
         data, off = raw(column(docs, "text"))
         n = len(off) - 1
         gone = unpack(removed) if removed.num_rows else None
-        cover = np.zeros(len(data) + 1, np.int32)
-        if gone is not None:
-            begin = off[column(gone, "row").to_numpy()] + column(gone, "start").to_numpy()
-            np.add.at(cover, begin, 1)
-            np.add.at(cover, begin + column(gone, "n").to_numpy() + LENGTH - 1, -1)
-        out = np.cumsum(cover[:-1]) > 0
-        starts = out.copy()
-        starts[1:] &= ~out[:-1]
-        heads = off[:-1][off[:-1] < off[1:]]
-        starts[heads] = out[heads]
-        n_removed = _sums(out, off)
-        n_spans = _sums(starts, off)
-        kept = data[~out]
+        row = column(gone, "row").to_numpy() if gone is not None else np.zeros(0, np.int32)
+        by = np.argsort(row, kind="stable")
+        row = row[by]
+        begin = off[row] + (column(gone, "start").to_numpy()[by] if gone is not None else 0)
+        size = column(gone, "n").to_numpy()[by] + LENGTH - 1 if gone is not None else row
+        firsts, lasts, kept = [], [], []
+        for a, z in _chunks(off):
+            base, end = int(off[a]), int(off[z])
+            mine = slice(*np.searchsorted(row, [a, z]))
+            cover = np.zeros(end - base + 1, np.int64)
+            np.add.at(cover, begin[mine] - base, 1)
+            np.add.at(cover, begin[mine] - base + size[mine], -1)
+            out = np.cumsum(cover[:-1]) > 0
+            kept.append(data[base:end][~out])
+            edge = np.concatenate([[False], out, [False]])
+            first, last = np.flatnonzero(edge[1:-1] & ~edge[:-2]), np.flatnonzero(edge[1:-1] & ~edge[2:]) + 1
+            # a run over a text's end is two spans
+            inner = off[a + 1:z] - base
+            inner = np.unique(inner[(inner > 0) & (inner < end - base)])
+            inner = inner[out[inner] & out[inner - 1]]
+            firsts.append(np.sort(np.concatenate([first, inner])) + base)
+            lasts.append(np.sort(np.concatenate([last, inner])) + base)
+        first, last = np.concatenate(firsts), np.concatenate(lasts)
+        owner = np.searchsorted(off, first, "right") - 1
+        n_spans = np.bincount(owner, minlength=n)
+        n_removed = np.bincount(owner, last - first, n).astype(np.int64)
+        kept = np.concatenate(kept)
         left = np.concatenate([[0], np.cumsum(np.diff(off) - n_removed)])
         table = {"doc_id": column(docs, "doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(n_removed),
                  "n_spans": pa.array(n_spans)}
@@ -420,29 +436,36 @@ def _finish(digest: bool):
             table["kept_sha256"] = pa.array([hashlib.sha256(view[a:z]).hexdigest()
                                              for a, z in zip(left[:-1].tolist(), left[1:].tolist())], pa.string())
         else:
-            ends = out.copy()
-            ends[:-1] &= ~out[1:]
-            ends[off[1:][off[:-1] < off[1:]] - 1] = out[off[1:][off[:-1] < off[1:]] - 1]
-            first, last = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-            owner = np.searchsorted(off, first, "right") - 1
-            count = np.bincount(owner, minlength=n)
-            at = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+            at = pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32))
             table["starts"] = pa.ListArray.from_arrays(at, pa.array(first - off[owner]))
             table["ends"] = pa.ListArray.from_arrays(at, pa.array(last - off[owner]))
-            table["text"] = column(docs, "text")
+            table["text"] = _texts(column(docs, "text"), data, off, first, last)
+            if "rest" in docs.column_names:
+                table["rest"] = column(docs, "rest")
         return pa.table(table)
     return run
 
 
-def _sums(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return total[off[1:]] - total[off[:-1]]
+def _texts(texts: pa.Array, data: np.ndarray, off: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
+    """The texts without their spans, each cut down to whole characters; a null stays null."""
+    tail = np.append((data & 0xC0) == 0x80, False)  # not the first byte of a character
+    for _ in range(3):
+        first = first + tail[first]
+        last = last - tail[last]
+    keep = np.zeros(len(data) + 1, np.int64)
+    real = last > first
+    np.add.at(keep, first[real], 1)
+    np.add.at(keep, last[real], -1)
+    keep = np.cumsum(keep[:-1]) == 0
+    size = np.array([int(keep[a:z].sum()) for a, z in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
+    out = binary_array(data[keep], np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
+    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.string()))
 
 
-def _solve(docs: DataFrame, digest: bool, schema: str) -> DataFrame:
+def _solve(docs: DataFrame, digest: bool, schema: str | T.StructType) -> DataFrame:
     n = block_count(docs)
     shards = SHARDS_PER_BLOCK * n
-    pieces = packed(dealt(docs, n))
+    pieces = packed(dealt(docs, n, rest=not digest))
     # an anchor is one row per block, so a window partition has at most as many rows as there are blocks
     counted = pieces.groupBy("block").applyInArrow(_anchor_counts, "block int, anchor long, n long") \
         .withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1").select("block", "anchor")
@@ -466,6 +489,23 @@ def repeated_digests(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, the spans to remove (byte starts and ends) and the text of each document."""
-    return _solve(docs, False, "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<long>, "
-                               "ends array<long>, text string")
+    """doc_id, n_bytes, n_removed, n_spans, the spans to remove (byte starts and ends), the text without them (a
+    character that a span covers in part stays) and the other columns of the document in ``rest``."""
+    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    kinds = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+                         + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("starts", "ends")]
+                         + [T.StructField("text", T.StringType())])
+    return _solve(docs, False, kinds.add("rest", T.StructType(rest)) if rest else kinds)
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The documents with their repeats cut out and ``n_chars`` (if they have it) brought up to date; other columns
+    unchanged, no row dropped."""
+    found = repeated_spans(docs)
+    columns = []
+    for c in docs.columns:
+        col = F.col(c) if c in ("doc_id", "text") else F.col(f"rest.`{c}`")
+        if c == "n_chars":
+            col = F.when(F.col("n_removed") > 0, F.length("text")).otherwise(col).cast(docs.schema[c].dataType)
+        columns.append(col.cast(docs.schema[c].dataType).alias(c))
+    return found.select(columns)
