@@ -10,16 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
 from loadlens.operators.aggregates import count_by, top_k
 
-# A literal IN-list beyond this size becomes a broadcast semi-join instead.
-MAX_INLINE_VALUES = 1000
-
-
 def value_options(frames: Sequence[tuple[DataFrame, str]], alias: str = "value") -> DataFrame:
     """Sorted distinct non-null values of one column across several frames."""
     if not frames:
@@ -31,18 +27,15 @@ def value_options(frames: Sequence[tuple[DataFrame, str]], alias: str = "value")
     return u.na.drop().distinct().orderBy(alias)
 
 
-def in_values(df: DataFrame, column: str, values: Sequence | None,
-              spark: SparkSession | None = None) -> DataFrame:
-    """Keep rows whose ``column`` is in ``values``; an empty list means no filter."""
+def in_values(df: DataFrame, column: str, values: Sequence | None) -> DataFrame:
+    """Keep rows whose ``column`` is in ``values``; an empty list means no filter.
+
+    One predicate for a list of any length (a hash-set test once planned), so rows, column order and the common
+    type of mixed values never depend on the length. The list is the caller's, on the driver anyway.
+    """
     if not values:
         return df
-    vals = list(dict.fromkeys(values))
-    if len(vals) <= MAX_INLINE_VALUES:
-        return df.filter(F.col(column).isin(vals))
-    spark = spark or df.sparkSession
-    keys = spark.createDataFrame([(v,) for v in vals], [column])
-    # Size is bounded by the caller's list, which lives on the driver anyway.
-    return df.join(F.broadcast(keys), on=column, how="left_semi")
+    return df.filter(F.col(column).isin(list(dict.fromkeys(values))))
 
 
 def in_frame(df: DataFrame, column: str, keys: DataFrame, key_column: str | None = None,
