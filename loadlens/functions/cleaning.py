@@ -182,16 +182,14 @@ def as_text(c: Column | str) -> Column:
 
 # --- column names (driver-side metadata only; no job) ----------------------------
 
-_CTRL_RE = re.compile(r"[\x00-\x1F\x7F-\x9F]")
-_NON_WORD_RE = re.compile(r"[^a-zA-Z0-9_]")
-_UNDERSCORES_RE = re.compile(r"_+")
-
-
 def clean_column_name(name: object) -> str:
-    """Drop control characters, trim, non-alphanumerics -> ``_``, collapse, trim ``_``."""
-    s = _CTRL_RE.sub("", str(name)).strip()
-    s = _UNDERSCORES_RE.sub("_", _NON_WORD_RE.sub("_", s))
-    return s.strip("_")
+    """The ASCII letters and digits of a name, each run of anything else between them as one ``_``.
+
+    Control characters (C0, DEL, C1) vanish without separating what stands around them.
+    """
+    visible = (ch for ch in str(name) if not (ch < " " or "\x7f" <= ch <= "\x9f"))
+    words = "".join(ch if ch.isascii() and ch.isalnum() else " " for ch in visible).split(" ")
+    return "_".join(w for w in words if w)
 
 
 def clean_column_names(names: list[str]) -> list[str]:

@@ -24,6 +24,14 @@ log = logging.getLogger(__name__)
 
 SUPPORTED_FORMATS = ("csv", "parquet")
 
+# fixed values: the cell texts that the original reader takes for a missing value
+MISSING_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+                 "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+class UnsupportedFormat(ValueError):
+    """A file that is neither CSV nor Parquet."""
+
 
 def detect_format(path: str) -> str:
     """``.csv`` (also ``.csv.gz`` / ``.csv.bz2``) -> csv; ``.parquet`` or a folder without an
@@ -34,17 +42,28 @@ def detect_format(path: str) -> str:
         return "csv"
     if name.endswith(".parquet") or "." not in name:
         return "parquet"
-    raise ValueError(f"unsupported file format: {path}")
+    raise UnsupportedFormat(f"unsupported file format: {path}")
+
 
+def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV: header row, every column read as text (no inference), missing-value texts as null; Parquet: as stored.
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """CSV: header row, every column read as text (no inference); Parquet: as stored."""
+    Quoted CSV fields may hold doubled quotes, separators and line breaks. A file with quoted line breaks cannot be
+    split, so it is read by one task; pass ``multi_line=False`` for files known to have none (or use Parquet for large
+    data).
+    """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
-        return spark.read.option("header", True).option("inferSchema", False).csv(path)
+        raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line).csv(path)
+        return raw.select(*[missing_to_null(F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in raw.columns])
     if fmt == "parquet":
         return spark.read.parquet(path)
-    raise ValueError(f"unsupported file format: {fmt}")
+    raise UnsupportedFormat(f"unsupported file format: {fmt}")
+
+
+def missing_to_null(c: Column) -> Column:
+    """A text cell, null if it is one of the missing-value texts."""
+    return F.when(~c.isin(*MISSING_TEXTS), c)
 
 
 def declared_schema(spec: SourceSpec) -> StructType:
@@ -116,20 +135,21 @@ def clean_frame(df: DataFrame, spec: SourceSpec) -> DataFrame:
     return typed.select(*[(clean_string(c, texts[c]).alias(c) if c in texts else F.col(c)) for c in typed.columns])
 
 
-def load_source(spark: SparkSession, spec: SourceSpec | str, path: str, fmt: str | None = None) -> DataFrame:
-    """Read one export and clean it; a missing or unreadable file gives an empty table.
+def load_source(spark: SparkSession, spec: SourceSpec | str, path: str, fmt: str | None = None,
+                multi_line: bool = True) -> DataFrame:
+    """Read one export and clean it; a missing file or an unsupported format gives an empty table.
 
-    Only errors raised while resolving the scan are caught; errors raised later
-    by actions surface normally.
+    Only those two errors are caught, while the scan is resolved; colliding headers and errors raised later by actions
+    surface normally.
     """
     spec = CATALOG[spec] if isinstance(spec, str) else spec
     try:
-        raw = read_raw(spark, path, fmt)
-        raw = raw.toDF(*clean_column_names(raw.columns))
-    except (AnalysisException, ValueError) as e:
+        raw = read_raw(spark, path, fmt, multi_line)
+    except (AnalysisException, UnsupportedFormat) as e:
         log.error("source %s could not be loaded from %s: %s", spec.name, path, e)
         return empty_source(spark, spec)
-    return clean_frame(raw, spec)
+    # two headers that clean to one name raise: neither column may be lost silently
+    return clean_frame(raw.toDF(*clean_column_names(raw.columns)), spec)
 
 
 def load_all(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
