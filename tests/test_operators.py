@@ -82,11 +82,27 @@ def test_filters_shrink(events):
         filters.contains_ci(events, "event_type", "click").count()
 
 
-def test_in_values_long_list_uses_semi_join(events):
-    ids = list(range(0, 5000))
-    got = filters.in_values(events, "event_id", ids)
-    assert got.count() == events.filter(F.col("event_id") < 5000).count()
-    assert "LeftSemi" in got._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("n", [900, 1500, 5000])
+def test_in_values_is_one_rule_for_any_length(spark, events, n):
+    got = filters.in_values(events, "event_id", list(range(n)))
+    assert got.count() == events.filter(F.col("event_id") < n).count() and got.columns == events.columns
+    mixed = spark.createDataFrame([(0.5, "a"), (1.0, "b"), (7.25, "c"), (float(n + 9), "d")], "x double, s string")
+    assert sorted(rows(filters.in_values(mixed, "x", [0.5, *range(n)]))) == [(0.5, "a"), (1.0, "b")]
+
+
+def test_exact_sums_do_not_overflow(spark):
+    big = spark.range(0, 10).select(F.lit("k").alias("k"), (F.col("id") + 10 ** 16).alias("i"),
+                                    F.lit(4.0e15 + 0.25).alias("x"))
+    got = agg.group_metrics(big, "k", [("s", "sum", "i"), ("a", "avg", "i"), ("x", "sum", "x")], 2).first()
+    assert got["s"] == float(10 ** 17 + 45) and got["a"] == float(10 ** 17 + 45) / 10 and got["x"] == 4.0e16 + 2.5
+    neg = spark.createDataFrame([("k", -0.01), ("k", -123456.78), ("k", 0.02)], "k string, x double")
+    assert agg.group_metrics(neg, "k", [("s", "sum", "x")], 2).first()["s"] == -123456.77
+
+
+def test_kde_of_far_apart_values_keeps_empty_points(spark):
+    df = spark.createDataFrame([(0.0,), (0.1,), (1000.0,)], "v double")
+    out = density.kde(df, "v", bandwidth=0.5).collect()
+    assert len(out) == 500 and out[250]["density"] == 0.0 and out[0]["density"] > 0
 
 
 def test_restrict_to_top_frequent(events):
