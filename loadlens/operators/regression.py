@@ -2,17 +2,22 @@
 
 Steps: choose target and candidate features from the schema; drop all-null,
 single-valued and timestamp features (one aggregate pass); deterministic
-80/20 split by a hash of every column; numeric block = mean impute +
+80/20 split by a seeded hash of every column; numeric block = mean impute +
 standardise; text block = most-frequent impute + one-hot (unseen -> all
 zeros); forest; test-part metrics; importances named from the assembler
 metadata; an actual-vs-predicted sample and its least-squares trend line.
 
-Scale notes: the split is a hash of the row and its position in the scan
-(stable when an executor is lost and a partition is recomputed, and copies of
-one row are split individually); the prepared training frame is persisted for the many passes of the
-fit, and node-id caches are checkpointed into the shared checkpoint folder.
-Only bounded things reach the driver: one row of per-feature statistics,
-one mode per text column, and the importance vector (one entry per feature).
+Scale notes: split and sample are functions of the seed and of each row's
+values and number among its copies, so neither file splits, nor partitions,
+nor the number of cores move a row; copies of one row are split individually.
+The training rows are dealt by that hash to as many partitions as their number
+asks for, so the forest's per-partition bagging does not depend on the cluster
+either. The prepared frame is persisted for the many passes of the fit,
+node-id caches and the predictions are checkpointed into the shared folder.
+Only bounded things reach the driver: one row of per-feature statistics, one
+mode per text column, the importance vector, and the distinct labels of the
+text features (one-hot encoding needs a slot for each; ``max_categories``
+bounds them on request).
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import (BooleanType, DateType, NumericType, StringType, TimestampNTZType,
-                               TimestampType)
+from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType,
+                               TimestampNTZType, TimestampType)
 
 from loadlens.session import checkpoint_dir
 
@@ -42,10 +47,9 @@ NUM_TREES = 100
 DEFAULT_MAX_DEPTH = 10
 SAMPLE_ROWS = 500
 TOP_IMPORTANCES = 10
-# One-hot width per text feature: the indexer brings every distinct label to the
-# driver, so the number of labels must be bounded. Categories beyond the most
-# frequent ones share one "other" slot; no row is dropped.
-MAX_CATEGORIES = 1000
+ROWS_PER_PARTITION = 40_000
+COPY_SALTS = 64                 # parts over which the copies of one row are numbered
+NODE_STATS_MB = 1024            # statistics gathered in one pass over the data
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -61,7 +65,10 @@ def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
     aggs = []
     for i, c in enumerate(features):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), (F.min(F.col(c)) < F.max(F.col(c))).alias(f"v{i}")]
+        v = F.col(c)
+        if isinstance(types[c], (DoubleType, FloatType)):
+            v = F.when(~F.isnan(v), v)  # NaN is a missing value
+        aggs += [F.count(v).alias(f"n{i}"), (F.min(v) < F.max(v)).alias(f"v{i}")]
     one = df.agg(*aggs)
     rows = [F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
                      F.lit(types[c].simpleString()).alias("dtype"),
@@ -74,17 +81,32 @@ def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return prof.withColumn("kept", kept).orderBy("position")
 
 
-def split_flag(columns: Sequence[str]) -> Column:
-    """True for the training part: ``pmod(xxhash64(all columns, row id), 10) < 8`` (seed 42).
+ROW_HASH = "__row_hash"
 
-    The row id (``monotonically_increasing_id``: partition index and position)
-    splits copies of one row individually — a group of identical rows holding a
-    third of the data still splits 80 / 20. It is a pure function of the scan, so
-    a partition recomputed after a lost executor gets the same flags; evaluate it
-    before any shuffle.
+
+def with_row_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
+    """Add a 64-bit hash of the seed, all columns, and the row's number among its exact copies.
+
+    It depends on nothing but the table's rows: not on files, partitions or cores. Copies are numbered by a window per
+    distinct row in two steps, so that a row repeated billions of times is no single task's work: within a salt (the
+    scan's own row ids spread it), then by the sizes of the salts before. Which copy has which number is immaterial.
     """
-    return F.pmod(F.xxhash64(*[F.col(c) for c in columns], F.monotonically_increasing_id()),
-                  F.lit(10)) < TRAIN_SHARE_TENTHS
+    plain = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
+    rows = df.withColumn("__plain", plain).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)))
+    numbered = rows.withColumn("__n", F.row_number().over(
+        Window.partitionBy("__plain", "__salt").orderBy(F.lit(1))))
+    # only rows with copies have salts before theirs; all others keep number 1
+    sizes = rows.groupBy("__plain", "__salt").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("__plain").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("__first", F.sum("__c").over(before)).filter("__first > 0").drop("__c")
+    return numbered.join(first, ["__plain", "__salt"], "left") \
+        .withColumn(ROW_HASH, F.xxhash64("__plain", F.coalesce("__first", F.lit(0)) + F.col("__n"))) \
+        .drop("__plain", "__salt", "__n", "__first")
+
+
+def in_training() -> Column:
+    """True for the 80 % part, from the row hash (P5)."""
+    return F.pmod(F.col(ROW_HASH), F.lit(10)) < TRAIN_SHARE_TENTHS
 
 
 def text_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -113,31 +135,29 @@ class ForestRun:
     feature_names: list[str] = field(default_factory=list)
     n_train: int = 0
 
-    def release(self) -> None:
-        """Drop the cached test-part predictions."""
-        self.predictions.unpersist()
-
 
 def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None, num_trees: int = NUM_TREES,
-               max_depth: int = DEFAULT_MAX_DEPTH, max_categories: int | None = MAX_CATEGORIES,
+               max_depth: int = DEFAULT_MAX_DEPTH, max_categories: int | None = None,
                seed: int = SEED) -> ForestRun:
     """Fit the pipeline on the 80 % part and predict the 20 % part.
 
-    ``max_categories`` bounds each text feature's one-hot width (``None``: no
-    bound, only for columns known to have few distinct values).
+    ``max_depth``: the original job grows its trees without a limit; a tree of Spark's forest is built level by level,
+    so its depth is a parameter (Spark allows up to 30).
+    ``max_categories``: off by default (every category has its slot). If given, the categories of a text feature
+    beyond the most frequent ones count as unseen (all zeros).
     """
     if target not in numeric_columns(df):
         raise ValueError(f"target {target!r} is not numeric")
     feats = [c for c in (features or df.columns) if c != target]
     types = {f.name: f.dataType for f in df.schema.fields}
-    # One scan of the source: the candidate columns plus the split flag (a hash
-    # of every source column), persisted and spread over at least one partition
-    # per core when the scan is coarser (a single large file or row group; on a
-    # big input this is a no-op). Profile, modes, pre-processing fits and the
+    # One copy of the source: the candidate columns plus the split flag, dealt and ordered by the row hash, so every
+    # partition holds the same rows in the same order wherever it runs. Profile, modes, pre-processing fits and the
     # per-level passes of the forest all read this copy.
-    base = (df.filter(F.col(target).isNotNull())
-            .select(target, *feats, split_flag(df.columns).alias("__train")))
-    base = ensure_parallelism(base).persist(StorageLevel.MEMORY_AND_DISK)
+    known = df.filter(F.col(target).isNotNull())
+    parts = max(1, -(-known.count() // ROWS_PER_PARTITION))
+    base = (with_row_hash(known, seed).select(target, *feats, ROW_HASH, in_training().alias("__train"))
+            .repartition(parts, ROW_HASH).sortWithinPartitions(ROW_HASH)
+            .persist(StorageLevel.MEMORY_AND_DISK))
     phases: list[tuple[str, float]] = []
     t0 = time.perf_counter()
 
@@ -159,8 +179,8 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
             raise ValueError("no usable feature left")
 
         cols = [target, *numeric, *text]
-        typed = base.select(*[F.col(c).cast("double").alias(c) if c in numeric or c == target else F.col(c)
-                              for c in cols], "__train")
+        typed = base.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) if c in numeric or c == target
+                              else F.col(c) for c in cols], ROW_HASH, "__train")
         train = typed.filter("__train").drop("__train")
         test = typed.filter(~F.col("__train")).drop("__train")
         if text:
@@ -170,7 +190,7 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
             train, test = train.na.fill(fill), test.na.fill(fill)
             if max_categories:
                 train, test = _cap_categories(train, test, text, max_categories)
-        phase("modes+cap")
+        phase("modes")
 
         stages = []
         vec_inputs = []
@@ -194,46 +214,34 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
                                             numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                             featureSubsetStrategy="all",
                                             cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
-                                            checkpointInterval=10))
+                                            checkpointInterval=10, maxMemoryInMB=NODE_STATS_MB))
         n_train = train.count()
         if n_train < 2:
             raise ValueError(f"need at least 2 training rows, got {n_train}")
         model = Pipeline(stages=stages).fit(train)
         phase("pipeline fit")
-        # Every output (metrics, sample, trend) reads the test-part predictions:
-        # materialise them once, in parallel, while the persisted copy is cached.
-        # MEMORY_AND_DISK: blocks lost with an executor are recomputed from lineage.
-        preds = (model.transform(test).select(target, *numeric, *text, "features", "prediction")
-                 .persist(StorageLevel.MEMORY_AND_DISK))
-        preds.count()
+        # Every output (metrics, sample, trend) reads the test-part predictions: written once to the shared folder
+        # while the persisted copy is there, so nothing stays cached and no executor is needed for them.
+        predicted = model.transform(test).select(target, *numeric, *text, ROW_HASH, "features", "prediction")
+        names = _feature_names(predicted, numeric)
+        preds = predicted.drop("features").checkpoint()
         phase("predict test part")
     finally:
         base.unpersist()
     log.info("forest job phases (s): %s", phases)
-    names = _feature_names(preds, numeric)
     return ForestRun(target, numeric, text, dropped, model, train, test, preds, names, n_train)
 
 
-def ensure_parallelism(df: DataFrame) -> DataFrame:
-    """Round-robin repartition to the cluster's default parallelism if ``df`` has fewer partitions."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def _cap_categories(train: DataFrame, test: DataFrame, text: Sequence[str], k: int):
-    """Keep the k most frequent categories per text column; others become one shared bucket.
-
-    The kept list is a per-task top-k (at most k values reach the driver); a
-    column with fewer than k distinct values is left as it is, otherwise the
-    list becomes a hash-set membership test — no join.
-    """
+    """On request: only the k most frequent categories of each text column stay, all others are null (the indexer's
+    unseen category, all zeros). One job for all columns; at most k values of each reach the driver."""
+    pairs = train.select(*text).unpivot([], list(text), "feature", "value").filter(F.col("value").isNotNull())
+    best = Window.partitionBy("feature").orderBy(F.col("n").desc(), F.col("value").asc())
+    top = pairs.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("feature", "value").collect()
     for c in text:
-        top = (train.groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-               .orderBy(F.col("__n").desc(), F.col(c).asc()).limit(k))
-        kept = [r[0] for r in top.collect()]                 # at most k values
-        if len(kept) < k:
-            continue
-        capped = F.when(F.col(c).isNull() | F.col(c).isin(kept), F.col(c)).otherwise(F.lit("__other__"))
+        kept = [r["value"] for r in top if r["feature"] == c]
+        capped = F.when(F.col(c).isin(kept), F.col(c))
         train, test = train.withColumn(c, capped), test.withColumn(c, capped)
     return train, test
 
@@ -261,10 +269,12 @@ def metrics(run: ForestRun) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mean and sample standard deviation per numeric feature (what the imputer and
-    scaler learn), one aggregate pass, long form (feature, mean, std)."""
+    """Mean and population standard deviation per numeric feature, one aggregate pass, long form (feature, mean, std).
+
+    Spark's scaler divides by the sample deviation; the ratio is the same for all rows of a feature, so the forest's
+    splits are the same."""
     one = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c)).alias("mean"),
-                            F.stddev_samp(F.col(c)).alias("std")).alias(f"s{i}") for i, c in enumerate(columns)])
+                            F.stddev_pop(F.col(c)).alias("std")).alias(f"s{i}") for i, c in enumerate(columns)])
     return one.select(F.explode(F.array(*[F.col(f"s{i}") for i in range(len(columns))])).alias("s")).select("s.*")
 
 
@@ -296,16 +306,12 @@ def importances(run: ForestRun, top: int | None = TOP_IMPORTANCES) -> DataFrame:
 
 
 def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``n`` (actual, predicted) test rows, chosen by a row hash (P13): a k-row top-k.
+    """At most ``n`` (actual, predicted) test rows, those with the smallest seeded row hash (P13): a k-row top-k.
 
-    The hash includes the row id, so copies of one row are drawn individually and
-    a hot group of copies takes its fair share of the sample, not all of it.
+    Copies of one row have different hashes, so a hot group of copies takes its fair share of the sample.
     """
-    cols = [run.target, *run.numeric, *run.text]
-    h = F.xxhash64(*[F.col(c) for c in cols], F.monotonically_increasing_id())
-    return (run.predictions.select(F.col(run.target).alias("actual"), F.col("prediction").alias("predicted"),
-                                   h.alias("__h"))
-            .orderBy("__h", "actual", "predicted").limit(n).drop("__h"))
+    return (run.predictions.select(F.col(run.target).alias("actual"), F.col("prediction").alias("predicted"), ROW_HASH)
+            .orderBy(ROW_HASH, "actual", "predicted").limit(n).drop(ROW_HASH))
 
 
 def sample_trend(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
