@@ -21,9 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadlens.functions.cleaning import (EDGE_SPACE_RE, NON_PRINTABLE_RE, NUMBER_RE, clean_string, compact_date,
-                                         compact_datetime, eu_number, mm_ss_seconds, short_label, thousands_label,
-                                         to_double)
+from loadlens.functions.cleaning import (clean_string, compact_date, compact_datetime, eu_number, mm_ss_seconds,
+                                         parse_datetime_text, short_label, thousands_label, to_double)
 from loadlens.operators import aggregates as agg
 from loadlens.operators import anomaly, density, filters, kpis, timeseries
 from loadlens.sources.loader import preview, profile
@@ -82,16 +81,25 @@ SQL_SPINE = ("SELECT CASE WHEN range < 6 THEN '00--06' ELSE lpad(CAST(range AS V
              "lpad(CAST((range + 1) % 24 AS VARCHAR), 2, '0') END AS TIME_RANGE, range - 5 AS ord FROM range(5, 24)")
 
 
+# The oracle's own statement of numbers, blanks and printable characters, apart from the patterns in the code.
+SQL_DECIMAL = "^[ \\t\\n\\r]*[-+]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][-+]?[0-9]+)?[ \\t\\n\\r]*$"
+SQL_BLANKS = ("chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||' '||chr(133)||chr(160)"
+              "||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)"
+              "||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)")
+SQL_UNPRINTABLE = "[^ -~\\x{09}-\\x{0D}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+
+
 def sql_to_double(s: str) -> str:
-    v = f"CASE WHEN regexp_matches({s}, '{NUMBER_RE}') THEN TRY_CAST(trim({s}) AS DOUBLE) END"
-    v = f"CASE WHEN isinf({v}) AND NOT regexp_matches({s}, '(?i)inf') THEN NULL ELSE {v} END"
-    return f"COALESCE(CASE WHEN isnan({v}) THEN 0.0 ELSE {v} END, 0.0)"
+    word = f"lower(ltrim(ltrim({s}, '+'), '-'))"
+    return (f"CASE WHEN regexp_matches({s}, '{SQL_DECIMAL}') THEN "
+            f"CASE WHEN isinf(TRY_CAST(trim({s}) AS DOUBLE)) THEN 0.0 ELSE COALESCE(TRY_CAST(trim({s}) AS DOUBLE), 0.0) END "
+            f"WHEN {word} IN ('inf', 'infinity') THEN CASE WHEN {s}[1] = '-' THEN '-inf'::DOUBLE ELSE 'inf'::DOUBLE END "
+            f"ELSE 0.0 END")
 
 
 def sql_clean_string(s: str, default: str = "Non défini") -> str:
-    t = f"regexp_replace(CAST({s} AS VARCHAR), '{EDGE_SPACE_RE}', '', 'g')"
-    t = f"regexp_replace(regexp_replace({t}, '{NON_PRINTABLE_RE}', ' ', 'g'), '{EDGE_SPACE_RE}', '', 'g')"
-    return f"CASE WHEN {t} IS NULL OR {t} = '' OR {t} = 'nan' THEN '{default}' ELSE {t} END"
+    t = f"trim(regexp_replace(CAST({s} AS VARCHAR), '{SQL_UNPRINTABLE}', ' ', 'g'), {SQL_BLANKS})"
+    return f"CASE WHEN {t} IS NULL OR {t} IN ('', 'nan') THEN '{default}' ELSE {t} END"
 
 
 def sql_short_label(s: str, n: int = 70) -> str:
@@ -432,9 +440,7 @@ def q4(spark, d):
 SELECT c_mktsegment, COUNT(*) AS n_users, COUNT(*) / CAST(SUM(COUNT(*)) OVER () AS DOUBLE) AS share
 FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment""")
 def n1(spark, d):
-    # user types are a small code domain: the share is a window over a handful of rows,
-    # computed from the one aggregate (share_of_total would aggregate twice)
-    return agg.share_of_small(agg.count_by(table(spark, d, "customer"), "c_mktsegment", "n_users"), "n_users")
+    return agg.share_of_total(agg.count_by(table(spark, d, "customer"), "c_mktsegment", "n_users"), "n_users")
 
 
 @register("N2_count_by_date", """
@@ -621,6 +627,29 @@ def f11c(spark, d):
     return _trailing(spark, d, "1m")
 
 
+@register("F11_trailing_1h", _trailing_sql("INTERVAL 1 HOUR"))
+def f11e(spark, d):
+    return _trailing(spark, d, "1h")
+
+
+@register("F11_trailing_6m", _trailing_sql("INTERVAL 6 MONTH"))
+def f11f(spark, d):
+    return _trailing(spark, d, "6m")
+
+
+@register("F11_trailing_1y_of_orders", """
+SELECT COUNT(*) AS n_rows, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_value FROM orders
+WHERE o_orderdate >= (SELECT MAX(o_orderdate) FROM orders) - INTERVAL 1 YEAR""")
+def f11g(spark, d):
+    r = filters.trailing_range(table(spark, d, "orders"), "o_orderdate", "1y")
+    return r.agg(F.count(F.lit(1)).alias("n_rows"), agg.exact_sum("o_totalprice", DEC).alias("sum_value"))
+
+
+@register("F11_all_rows", f"SELECT COUNT(*) AS n_rows, {xsum('value')} AS sum_value FROM events")
+def f11h(spark, d):
+    return _trailing(spark, d, "all")
+
+
 @register("F11_year_to_date", """
 SELECT COUNT(*) AS n_rows, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS sum_value FROM orders
 WHERE o_orderdate >= date_trunc('year', (SELECT MAX(o_orderdate) FROM orders))""")
@@ -678,6 +707,82 @@ def c6(spark, d):
     return ev.select("event_id", compact_datetime(date_txt, time_int).alias("full_datetime"))
 
 
+# === the same functions on dirty cells built from the tables ==================================
+
+@register("C4_european_number_with_thousands", """
+SELECT event_id, CASE WHEN event_type = 'error' THEN 0.0 ELSE round(value * 1000, 2) END AS parsed FROM events""")
+def c4b(spark, d):
+    ev = table(spark, d, "events")
+    eu = F.translate(F.format_number(F.round(F.col("value") * 1000, 2).cast("decimal(20,2)"), 2), ",.", ".,")
+    cell = F.when(F.col("event_type") == "error", F.concat(eu, F.lit(" EUR"))).otherwise(eu)
+    return ev.select("event_id", cell.alias("eu")).select("event_id", eu_number("eu").alias("parsed"))
+
+
+@register("C5_dirty_mm_ss", """
+SELECT event_id, CAST(CASE WHEN event_type = 'error' THEN 0 WHEN user_id % 5 = 0 THEN 0 WHEN user_id % 5 = 1 THEN event_id % 90
+       ELSE (user_id % 70) * 60 + event_id % 90 END AS DOUBLE) AS seconds FROM events""")
+def c5b(spark, d):
+    m, s = (F.col("user_id") % 70).cast("string"), (F.col("event_id") % 90).cast("string")
+    cell = F.when(F.col("event_type") == "error", F.concat(m, F.lit(":x"))) \
+        .when(F.col("user_id") % 5 == 0, F.concat(m, F.lit(":"), s, F.lit(":00"))) \
+        .when(F.col("user_id") % 5 == 1, F.concat(F.lit(" "), s)).otherwise(F.concat(m, F.lit(":"), s))
+    return table(spark, d, "events").select("event_id", cell.alias("t")).select("event_id", mm_ss_seconds("t").alias("seconds"))
+
+
+@register("C6_dirty_compact_date_time", """
+SELECT event_id, CASE WHEN event_type <> 'error' AND user_id % 4 < 2 THEN date_trunc('day', ts) + INTERVAL 9 HOUR + INTERVAL 5 MINUTE
+       END AS full_datetime FROM events""")
+def c6b(spark, d):
+    ev = table(spark, d, "events")
+    date = F.when(F.col("event_type") == "error", F.lit("20241340")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    time = F.when(F.col("user_id") % 4 == 0, F.lit("90500")).when(F.col("user_id") % 4 == 1, F.lit("090500")) \
+        .when(F.col("user_id") % 4 == 2, F.lit("250000"))
+    return ev.select("event_id", compact_datetime(date, time).alias("full_datetime"))
+
+
+@register("C7_date_time_text", """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS parsed FROM events""")
+def c7(spark, d):
+    text = F.when(F.col("event_type") == "error", F.lit("not a date")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return table(spark, d, "events").select("event_id", text.alias("t")).select("event_id", parse_datetime_text("t").alias("parsed"))
+
+
+@register("C2_clean_dirty_cells", f"""
+SELECT event_id, {sql_clean_string("CASE WHEN event_type = 'error' THEN 'nan' WHEN user_id % 4 = 0 THEN chr(160) || chr(9) "
+                                   "WHEN user_id % 4 = 1 THEN NULL WHEN user_id % 4 = 2 THEN ' é' || chr(7) || event_type || ' ü ' "
+                                   "ELSE event_type || chr(160) || 'x' || chr(10) END")} AS cell FROM events""")
+def c2c(spark, d):
+    cell = F.when(F.col("event_type") == "error", F.lit("nan")).when(F.col("user_id") % 4 == 0, F.lit("\u00a0\t")) \
+        .when(F.col("user_id") % 4 == 1, F.lit(None)) \
+        .when(F.col("user_id") % 4 == 2, F.concat(F.lit(" é\x07"), F.col("event_type"), F.lit(" ü "))) \
+        .otherwise(F.concat(F.col("event_type"), F.lit("\u00a0x\n")))
+    return table(spark, d, "events").select("event_id", cell.alias("raw")).select("event_id", clean_string("raw").alias("cell"))
+
+
+@register("U4_hour_bucket_mean_with_missing_hours", f"""
+WITH a AS (SELECT {sql_bucket('ts')} AS TIME_RANGE, {xavg('value')} AS avg_value FROM events
+           WHERE ts IS NOT NULL AND hour(ts) BETWEEN 8 AND 17 GROUP BY 1),
+s AS ({SQL_SPINE})
+SELECT s.TIME_RANGE, COALESCE(a.avg_value, 0) AS avg_value FROM s LEFT JOIN a ON s.TIME_RANGE = a.TIME_RANGE
+ORDER BY s.ord""")
+def u4b(spark, d):
+    ev = table(spark, d, "events").filter(F.hour("ts").between(8, 17))
+    return timeseries.bucket_metrics_on_spine(timeseries.with_hour_bucket(ev, "ts"), "TIME_RANGE",
+                                              [("avg_value", "avg", "value")], DEC)
+
+
+@register("M2_null_and_placeholder_accounts", f"""
+WITH k AS (SELECT CASE WHEN event_type = 'error' THEN 'Compte Inconnu' WHEN user_id % 3 = 0 THEN NULL
+                       ELSE CAST(user_id AS VARCHAR) END AS account, value FROM events)
+SELECT account, {xavg('value')} AS avg_value FROM k WHERE account IS NOT NULL AND account <> 'Compte Inconnu'
+GROUP BY account ORDER BY avg_value DESC, account""")
+def m2b(spark, d):
+    account = F.when(F.col("event_type") == "error", F.lit("Compte Inconnu")) \
+        .when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string"))
+    ev = filters.exclude_value(table(spark, d, "events").select(account.alias("account"), "value"), "account", "Compte Inconnu")
+    return agg.sort_by(agg.group_metrics(ev, "account", [("avg_value", "avg", "value")], DEC), "avg_value", "account")
+
+
 # === profile / preview ======================================================================
 
 @register("S6_profile_customer", """
@@ -708,10 +813,15 @@ _FOREST_RUNS: dict[tuple[str, str], regression.ForestRun] = {}
 
 
 def forest_run(spark: SparkSession, d: str) -> regression.ForestRun:
-    """Fit once per session and table folder; the three forest outputs share it."""
+    """Fit once per session and table folder; the forest outputs share it.
+
+    The target depends on the features (quantity after discount and tax), so the metrics tell whether the forest learns.
+    """
     key = (spark.sparkContext.applicationId, d)
     if key not in _FOREST_RUNS:
-        _FOREST_RUNS[key] = regression.fit_forest(table(spark, d, "lineitem"), P_TARGET, P_FEATURES)
+        li = table(spark, d, "lineitem").withColumn(
+            "net_quantity", F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+        _FOREST_RUNS[key] = regression.fit_forest(li, "net_quantity", P_FEATURES)
     return _FOREST_RUNS[key]
 
 
@@ -735,9 +845,9 @@ def p2(spark, d):
 
 @register("P6_numeric_feature_stats", f"""
 SELECT feature, round(mean, {ROUND}) AS mean, round(std, {ROUND}) AS std FROM (
-  SELECT 'l_quantity' AS feature, AVG(l_quantity) AS mean, STDDEV_SAMP(l_quantity) AS std FROM lineitem
-  UNION ALL SELECT 'l_discount', AVG(l_discount), STDDEV_SAMP(l_discount) FROM lineitem
-  UNION ALL SELECT 'l_tax', AVG(l_tax), STDDEV_SAMP(l_tax) FROM lineitem) s""")
+  SELECT 'l_quantity' AS feature, AVG(l_quantity) AS mean, STDDEV_POP(l_quantity) AS std FROM lineitem
+  UNION ALL SELECT 'l_discount', AVG(l_discount), STDDEV_POP(l_discount) FROM lineitem
+  UNION ALL SELECT 'l_tax', AVG(l_tax), STDDEV_POP(l_tax) FROM lineitem) s""")
 def p6(spark, d):
     s = regression.numeric_stats(table(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"])
     return s.select("feature", F.round("mean", ROUND).alias("mean"), F.round("std", ROUND).alias("std"))
@@ -753,23 +863,37 @@ def p7(spark, d):
     return regression.text_modes(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"])
 
 
-@register("P11_P14_metrics_of_group_mean_predictor", f"""
-WITH m AS (SELECT l_quantity, AVG(l_extendedprice) AS pred FROM lineitem GROUP BY l_quantity),
-j AS (SELECT l.l_extendedprice AS y, m.pred AS p FROM lineitem l JOIN m ON l.l_quantity = m.l_quantity
-      WHERE l.l_extendedprice IS NOT NULL),
-a AS (SELECT AVG(y) AS my FROM j)
+@register("P11_P14_metrics_of_linear_predictor", f"""
+WITH m AS (SELECT regr_slope({P_TARGET}, l_quantity) AS a, regr_intercept({P_TARGET}, l_quantity) AS b FROM lineitem),
+j AS (SELECT {P_TARGET} AS y, m.a * l_quantity + m.b AS p FROM lineitem, m WHERE {P_TARGET} IS NOT NULL),
+t AS (SELECT AVG(y) AS my FROM j)
 SELECT COUNT(*) AS n_test, round(1 - SUM((y - p) * (y - p)) / SUM((y - my) * (y - my)), {ROUND}) AS r2,
        round(AVG(abs(y - p)), {ROUND}) AS mae, round(regr_slope(p, y), {ROUND}) AS trend_slope,
-       round(regr_intercept(p, y), {ROUND}) AS trend_intercept
-FROM j, a""")
+       round(regr_intercept(p, y), 3) AS trend_intercept
+FROM j, t""")
 def p11(spark, d):
     li = table(spark, d, "lineitem").filter(F.col(P_TARGET).isNotNull())
-    # predictor: the mean target per quantity (a hash aggregate joined back on the key;
-    # AQE broadcasts the per-key means when small and splits skewed keys otherwise)
-    means = li.groupBy("l_quantity").agg(F.avg(P_TARGET).alias("pred"))
-    j = li.join(means, "l_quantity").select(F.col(P_TARGET).alias("y"), F.col("pred").alias("p"))
+    # predictor: the least-squares line, its two coefficients a scalar subquery (one partial aggregate per task)
+    line = li.agg(F.struct(F.regr_slope(P_TARGET, "l_quantity").alias("a"),
+                           F.regr_intercept(P_TARGET, "l_quantity").alias("b")).alias("m")).scalar()
+    j = li.select(F.col(P_TARGET).alias("y"), "l_quantity", line.alias("m")) \
+        .select("y", (F.col("m.a") * F.col("l_quantity") + F.col("m.b")).alias("p"))
     m = regression.regression_metrics(j, "y", "p")
-    return m.select("n_test", *[F.round(c, ROUND).alias(c) for c in ("r2", "mae", "trend_slope", "trend_intercept")])
+    return m.select("n_test", *[F.round(c, ROUND).alias(c) for c in ("r2", "mae", "trend_slope")],
+                    F.round("trend_intercept", 3).alias("trend_intercept"))
+
+
+@register("P5_split_of_rows_and_copies", """
+SELECT 'rows' AS part, COUNT(*) AS n, true AS near_80_percent FROM lineitem
+UNION ALL SELECT 'copies', COUNT(*), true FROM (SELECT l_returnflag FROM lineitem)""")
+def p5(spark, d):
+    """The training share over whole rows, and over a projection that is copies of few distinct rows."""
+    def part(name: str, df: DataFrame) -> DataFrame:
+        flagged = regression.with_row_hash(df).select(regression.in_training().cast("int").alias("t"))
+        return flagged.agg(F.lit(name).alias("part"), F.count("t").alias("n"),
+                           (F.abs(F.avg("t") - 0.8) < 0.01).alias("near_80_percent"))
+    li = table(spark, d, "lineitem")
+    return part("rows", li).unionByName(part("copies", li.select("l_returnflag")))
 
 
 @register("P_forest_metrics")

@@ -3,10 +3,10 @@
 Input is the dict produced by ``sources.load_all`` (source key -> cleaned
 DataFrame). Each section returns an ordered dict of named, lazy DataFrames —
 the table behind every chart of the original reports. An output is left
-out when its columns are missing (checked on the schema, no job). The
-"metric total > 0" evidence guards of a section share one aggregate pass over
-its source (one row of sums to the driver); a failing guard yields the
-output's empty form. Everything else stays lazy.
+out when its columns are missing (checked on the schema). The "metric total > 0"
+evidence guards of a section are one scalar subquery over its source; a failing
+guard yields the output's empty form. Building a section runs no job (but for
+``ml_section``, which fits).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import as_text, ms_to_seconds, short_label
@@ -90,24 +90,25 @@ def kpi_section(spark: SparkSession, dfs: Mapping[str, DataFrame]) -> dict[str,
 
 
 class _Totals:
-    """Evidence totals of one source: every metric sum a section's guards need, in
-    one aggregate pass (one row to the driver), instead of one scan per output."""
+    """Evidence totals of one source: every metric sum a section's guards need, as one scalar subquery (a partial
+    aggregate per task, one row). Building it runs no job; it is evaluated with the output that uses it."""
 
     def __init__(self, df: DataFrame | None, cols: Sequence[str]):
-        present = sorted({c for c in cols if _has(df, c)})
-        row = df.agg(*[F.sum(F.col(c)).alias(c) for c in present]).first() if present else None
-        self.sums = {c: (row[c] or 0.0) for c in present} if row is not None else {}
+        self.present = sorted({c for c in cols if _has(df, c)})
+        self.sums = df.agg(F.struct(*[F.sum(F.col(c)).alias(c) for c in self.present]).alias("sums")).scalar() \
+            if self.present else None
 
-    def positive(self, cols: Sequence[str]) -> bool:
-        return sum(self.sums.get(c, 0.0) for c in cols) > 0
+    def positive(self, cols: Sequence[str]) -> Column:
+        known = [c for c in cols if c in self.present]
+        return sum((F.coalesce(self.sums[c], F.lit(0.0)) for c in known), F.lit(0.0)) > 0
 
 
 def _guard(result: DataFrame, totals: _Totals, cols: Sequence[str]) -> DataFrame:
-    """The output, or its empty form when the metric total of the input is not > 0."""
-    return result if totals.positive(cols) else result.limit(0)
+    """The output; empty when the metric total of the input is not > 0."""
+    return result.filter(totals.positive(cols))
 
 
-def memory_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def memory_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("memory")
     out: dict[str, DataFrame] = {}
     if src is None:
@@ -120,12 +121,12 @@ def memory_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
                                             list(MEMORY_METRICS))
     if _has(src, "ACCOUNT", "USEDBYTES"):
         keyed = filters.exclude_value(src, "ACCOUNT", MEMORY_ACCOUNT_DEFAULT).select(
-            as_text("ACCOUNT").alias("ACCOUNT_DISPLAY"), "USEDBYTES")
+            as_text("ACCOUNT").alias("account_label"), "USEDBYTES")
         # one aggregate gives frequency and mean per account; the 6 most frequent are a k-row top-k
-        g = agg.group_metrics(keyed, "ACCOUNT_DISPLAY", [("__n", "count", "*"), ("USEDBYTES", "avg", "USEDBYTES")])
-        top = agg.top_k(g, "__n", "ACCOUNT_DISPLAY", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
-        out["avg_usedbytes_by_account"] = _guard(agg.sort_by(top, "USEDBYTES", "ACCOUNT_DISPLAY"), tot, ["USEDBYTES"])
-        out["usedbytes_density"] = _guard(density.kde(src, "USEDBYTES"), tot, ["USEDBYTES"])
+        g = agg.group_metrics(keyed, "account_label", [("__n", "count", "*"), ("USEDBYTES", "avg", "USEDBYTES")])
+        top = agg.top_k(g, "__n", "account_label", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
+        out["avg_usedbytes_by_account"] = _guard(agg.sort_by(top, "USEDBYTES", "account_label"), tot, ["USEDBYTES"])
+        out["usedbytes_density"] = _guard(density.kde(src, "USEDBYTES", bins=bins), tot, ["USEDBYTES"])
     if _has(src, "FULL_DATETIME", "USEDBYTES"):
         out["hourly_usedbytes"] = _guard(timeseries.hourly_mean(src, "FULL_DATETIME", "USEDBYTES",
                                                                 hour_col="FULL_DATETIME"), tot, ["USEDBYTES"])
@@ -140,22 +141,21 @@ def transactions_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     tot = _Totals(src, ("CPUTI", "RESPTI", *IO_COUNTS, *IO_BUFFERS, *COMM_METRICS))
     if _has(src, "ACCOUNT", "CPUTI"):
         top = agg.grouped_top_k(src, "ACCOUNT", [("CPUTI", "avg", "CPUTI")], "CPUTI", 10)
-        out["top_accounts_by_cpu"] = _guard(top.withColumn("CPUTI_SECONDS", ms_to_seconds("CPUTI")), tot, ["CPUTI"])
+        out["top_accounts_by_cpu"] = _guard(top.withColumn("cpu_seconds", ms_to_seconds("CPUTI")), tot, ["CPUTI"])
     if _has(src, "REPORT", "RESPTI"):
         top = agg.grouped_top_k(src, "REPORT", [("RESPTI", "avg", "RESPTI")], "RESPTI", 10)
         out["top_reports_by_resp"] = _guard(agg.share_of_small(top, "RESPTI"), tot, ["RESPTI"])
     if _has(src, "ACCOUNT"):
-        out["transactions_per_account"] = agg.top_k(agg.count_by(src, "ACCOUNT", "TRANSACTION_COUNT"),
-                                                    "TRANSACTION_COUNT", "ACCOUNT", 10)
+        out["transactions_per_account"] = agg.top_k(agg.count_by(src, "ACCOUNT", "n_transactions"),
+                                                    "n_transactions", "ACCOUNT", 10)
     if _has(src, "FULL_DATETIME", "RESPTI"):
-        b = timeseries.with_hour_bucket(src, "FULL_DATETIME")
+        b = timeseries.with_hour_bucket(src, "FULL_DATETIME", "hour_bucket")
         out["resp_by_hour_bucket"] = _guard(timeseries.bucket_metrics_on_spine(
-            b, "TIME_RANGE", [("RESPTI", "avg", "RESPTI")], seconds=["RESPTI"]), tot, ["RESPTI"])
+            b, "hour_bucket", [("RESPTI", "avg", "RESPTI")], seconds=["RESPTI"]), tot, ["RESPTI"])
     if _has(src, "RESPTI", "CPUTI"):
         extra = [c for c in ("ACCOUNT", "ENTRY_ID") if c in src.columns]
         pairs = src.filter((F.col("RESPTI") > 0) & (F.col("CPUTI") > 0)).select("CPUTI", "RESPTI", *extra)
-        ok = tot.positive(["CPUTI"]) and tot.positive(["RESPTI"])
-        out["cpu_vs_resp_points"] = pairs if ok else pairs.limit(0)
+        out["cpu_vs_resp_points"] = pairs.filter(tot.positive(["CPUTI"]) & tot.positive(["RESPTI"]))
     for name, cols, order, k in (("io_counts_long", IO_COUNTS, "PHYREADCNT", 10),
                                  ("io_buffers_records_long", IO_BUFFERS, "READDIRREC", 10),
                                  ("comm_metrics_long", COMM_METRICS, "DSQLCNT", 4)):
@@ -221,14 +221,14 @@ def hitlist_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def workprocess_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("performance")
     out: dict[str, DataFrame] = {}
     if src is None:
         return out
     tot = _Totals(src, ("WP_CPU_SECONDS",))
     if _has(src, "WP_CPU_SECONDS"):
-        out["cpu_seconds_density"] = _guard(density.kde(src, "WP_CPU_SECONDS"), tot, ["WP_CPU_SECONDS"])
+        out["cpu_seconds_density"] = _guard(density.kde(src, "WP_CPU_SECONDS", bins=bins), tot, ["WP_CPU_SECONDS"])
     if _has(src, "WP_TYP"):
         out["count_by_type"] = agg.sort_by(agg.count_by(src, "WP_TYP", "count"), "count", "WP_TYP")
     if _has(src, "WP_TYP", "WP_CPU_SECONDS"):
@@ -237,7 +237,8 @@ def workprocess_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SERVER) -> dict[str, DataFrame]:
+def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SERVER,
+                     bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("sql_trace_summary")
     out: dict[str, DataFrame] = {}
     if src is None:
@@ -248,11 +249,11 @@ def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SE
                           ("top_statements_by_records", "sum", "RECPROCNUM")):
         if _has(src, "SQLSTATEM", col):
             top = agg.grouped_top_k(src, "SQLSTATEM", [(col, fn, col)], col, 10)
-            out[name] = _guard(top.withColumn("SQLSTATEM_SHORT", short_label("SQLSTATEM")), tot, [col])
+            out[name] = _guard(top.withColumn("statement_label", short_label("SQLSTATEM")), tot, [col])
     if _has(src, "SERVERNAME", "AVGTPERREC"):
         srv = filters.contains_ci(src, "SERVERNAME", server_text)
         # the guard here is on the matching servers only
-        out["avg_time_per_record_density"] = _guard(density.kde(srv, "AVGTPERREC"), _Totals(srv, ["AVGTPERREC"]),
+        out["avg_time_per_record_density"] = _guard(density.kde(srv, "AVGTPERREC", bins=bins), _Totals(srv, ["AVGTPERREC"]),
                                                     ["AVGTPERREC"])
     return out
 
@@ -277,8 +278,7 @@ def users_section(dfs: Mapping[str, DataFrame], f: Filters | None = None,
     if f and f.accounts and "BNAME" in u.columns:
         u = filters.in_values(u, "BNAME", f.accounts)
     if _has(u, "USTYP"):
-        # USTYP is a one-letter type code: a small domain, so the share window sees a handful of rows
-        out["count_by_user_type"] = agg.share_of_small(agg.count_by(u, "USTYP", "count"), "count")
+        out["count_by_user_type"] = agg.share_of_total(agg.count_by(u, "USTYP", "count"), "count")
     if _has(u, "GLTGB_DATE"):
         out["count_by_validity_date"] = agg.count_by(u, "GLTGB_DATE", "count").orderBy("GLTGB_DATE")
     if _has(full, "BNAME", "GLTGB_DATE"):
@@ -306,8 +306,8 @@ ML_SOURCES = ("hitlist_db", "memory", "times", "usertcode", "performance", "sql_
 
 
 def ml_section(dfs: Mapping[str, DataFrame], target: str, source: str = ML_SOURCES[0],
-               num_trees: int = regression.NUM_TREES, max_depth: int = regression.DEFAULT_MAX_DEPTH
-               ) -> dict[str, DataFrame]:
+               num_trees: int = regression.NUM_TREES, max_depth: int = regression.DEFAULT_MAX_DEPTH,
+               max_categories: int | None = None, seed: int = regression.SEED) -> dict[str, DataFrame]:
     """Random-forest regression of ``target`` on the other columns of one source (P1-P14).
 
     Fits when called (the pipeline fit is a series of Spark jobs); the returned
@@ -321,7 +321,8 @@ def ml_section(dfs: Mapping[str, DataFrame], target: str, source: str = ML_SOURC
         return {}
     if target not in regression.numeric_columns(src):
         raise ValueError(f"{target!r} is not a numeric column of {source}")
-    run = regression.fit_forest(src, target, num_trees=num_trees, max_depth=max_depth)
+    run = regression.fit_forest(src, target, num_trees=num_trees, max_depth=max_depth,
+                                max_categories=max_categories, seed=seed)
     spark = src.sparkSession
     return {
         "metrics": regression.metrics(run),

@@ -8,11 +8,12 @@ import pytest
 from conftest import SF001
 
 import __spark_entry__ as entry_mod
+from loadlens.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-SQL = entry_mod.oracle_sql()
-QUERIES = entry_mod.queries()
+SQL = dict(catalog.ORACLE_SQL)      # the training-data queries have tests of their own
+QUERIES = dict(catalog.QUERIES)
 SLOW = {"P_forest_metrics", "P12_forest_importances", "P13_forest_actual_vs_predicted_sample",
         "P14_forest_sample_trend_line"}
 
@@ -40,6 +41,10 @@ def test_entry(spark):
     assert df.count() == 10 and df.columns == ["l_suppkey", "sum_extendedprice", "sum_quantity", "sum_tax"]
 
 
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(SQL) <= set(entry_mod.oracle_sql())
+
+
 def test_every_query_has_an_oracle_or_is_model_based():
     assert set(QUERIES) - set(SQL) == SLOW
 
@@ -58,7 +63,7 @@ def test_query_matches_oracle(spark, con, name):
 def test_forest_queries_run(spark):
     outs = {name: QUERIES[name](spark, SF001).collect() for name in sorted(SLOW)}
     m = outs["P_forest_metrics"][0]
-    assert m["n_train"] + m["n_test"] == 6000 and m["mae"] > 0
+    assert m["n_train"] + m["n_test"] == 6000 and m["mae"] > 0 and m["r2"] > 0.95
     assert 0 < len(outs["P12_forest_importances"]) <= 10
     assert len(outs["P13_forest_actual_vs_predicted_sample"]) == 500
     assert outs["P14_forest_sample_trend_line"][0]["n_points"] == 500
