@@ -7,7 +7,7 @@ choice among the bytes left. Escapes are estimated by method D: of n occurrences
 times has (2 c - 1) / 2 n and the escape d / 2 n. The score of a text is the log10 probability of its bytes (A-Z in
 lower case) and of its end, from the pretrained counts.
 
-Nothing of the corpus goes to the driver or to all tasks. Documents are dealt to blocks of about ``BLOCK_BYTES``; each
+Nothing of the corpus goes to the driver or to all tasks. Documents are dealt to blocks of bounded size; each
 block lists its distinct words and (ORDER + 1)-grams with their counts. Counts are summed over all blocks by key, the
 trie's levels are tables derived from one another by grouping and joined suffix to suffix, and each block gets back
 the values of its own keys alone. A word or gram is one row per block, whatever its frequency.
@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadlens.llm.arrays import LOWER, column, raw, word_array
+from loadlens.llm.blocks import block_count, dealt, documents, packed
 from loadlens.llm.tables import materialise
 
-ORDER = 5
-BLOCK_BYTES = 24 << 20
-CHUNK_BYTES = 4 << 20
+ORDER = 4
+CHUNK_BYTES = 1 << 20
 #: Bytes that UTF-8 never uses: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -72,59 +72,65 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     return zip(edges, edges[1:])
 
 
-def in_order(docs: pa.Table) -> pa.Table:
-    """The rows of a block in an order that does not depend on how they arrived."""
-    return docs.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-
-
-def block_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """The lower-case words of a block, numbered by first appearance, and the row of each."""
-    data, off = raw(texts)
-    words, doc = word_array(LOWER[data], off)
-    return words.dictionary_encode(), doc
+def block_words(texts: pa.Array) -> tuple[pa.Array, list[np.ndarray], list[np.ndarray]]:
+    """The distinct lower-case words of a block by first appearance, and per chunk of rows the number and the row of
+    each word."""
+    parts, numbers, rows = [], [], []
+    for a, z in _chunks(texts):
+        data, off = raw(texts.slice(a, z - a))
+        words, doc = word_array(LOWER[data], off)
+        coded = words.dictionary_encode()
+        parts.append(coded.dictionary)
+        numbers.append(coded.indices.to_numpy(zero_copy_only=False))
+        rows.append((doc + a).astype(np.int32))
+    whole = pa.concat_arrays(parts).dictionary_encode()
+    index = whole.indices.to_numpy(zero_copy_only=False)
+    at = 0
+    for i, part in enumerate(parts):
+        numbers[i] = index[at:at + len(part)][numbers[i]]
+        at += len(part)
+    return whole.dictionary, numbers, rows
 
 
 FEATURES = "block int, slot long, word binary, n long"
 
 
-def _features(docs: pa.Table) -> pa.Table:
+def _features(pieces: pa.Table) -> pa.Table:
     """The distinct words (slot -1, -2, ...) and grams (slot = code) of a block with their counts in training rows."""
-    docs = in_order(docs)
+    docs = documents(pieces)
     texts, train = column(docs, "text"), ~column(docs, "held_out").to_numpy(zero_copy_only=False)
-    words, doc = block_words(texts)
-    index = words.indices.to_numpy(zero_copy_only=False)
-    n_word = np.bincount(index[train[doc]], minlength=len(words.dictionary)).astype(np.int64)
+    words, numbers, rows = block_words(texts)
+    n_word = np.zeros(len(words), np.int64)
+    for number, row in zip(numbers, rows):
+        n_word += np.bincount(number[train[row]], minlength=len(words))
+    del numbers, rows
     parts = []
     for a, z in _chunks(texts):
         code, at = context_codes(*raw(texts.slice(a, z - a)))
         trains = np.repeat(train[a:z], np.diff(at))
-        for rows, counted in ((code[trains], True), (code[~trains], False)):
-            rows = np.sort(rows)
-            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
-            parts.append((rows[first], np.diff(np.append(first, len(rows))) if counted
+        for some, counted in ((code[trains], True), (code[~trains], False)):
+            some = np.sort(some)
+            first = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]])) if len(some) else some
+            parts.append((some[first], np.diff(np.append(first, len(some))) if counted
                           else np.zeros(len(first), np.int64)))
     code, n_code = _merge(parts)
     total = len(n_word) + len(code)
-    block = column(docs, "block")[0].as_py()
+    block = column(pieces, "block")[0].as_py()
     return pa.table({
         "block": pa.array(np.full(total, block, np.int32)),
         "slot": pa.array(np.concatenate([-1 - np.arange(len(n_word)), code])),
-        "word": pa.concat_arrays([words.dictionary.cast(pa.binary()), pa.nulls(len(code), pa.binary())]),
+        "word": pa.concat_arrays([words.cast(pa.binary()), pa.nulls(len(code), pa.binary())]),
         "n": pa.array(np.concatenate([n_word, n_code]))})
 
 
-def dealt(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, held_out and the block of each document; as many blocks as the bytes of the table ask for."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
+def dealt_with_folds(docs: DataFrame) -> DataFrame:
+    """doc_id, text, block and held_out: crc32(doc_id as text) mod 10 is 0, or there is no id."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       (F.coalesce(fold, F.lit(0)) == 0).alias("held_out"),
-                       F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"))
+    return dealt(docs, block_count(docs)).withColumn("held_out", F.coalesce(fold, F.lit(0)) == 0)
 
 
-def block_features(blocks: DataFrame) -> DataFrame:
-    return blocks.groupBy("block").applyInArrow(_features, FEATURES)
+def block_features(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("block").applyInArrow(_features, FEATURES)
 
 
 def gram_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -133,9 +139,10 @@ def gram_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
     Level k holds the suffixes of k + 1 bytes with their counts, and the code length that an escape from their context
     costs (``lower``). A row's context has at most 256 rows, so no window partition grows with the data.
     """
-    levels = [grams.select("code", "n")]
+    levels = [materialise(grams.select("code", "n"), "lm-level")]
     for k in range(order - 1, -1, -1):
-        levels.append(levels[-1].groupBy(F.col("code").bitwiseAND(_mask(k)).alias("code")).agg(F.sum("n").alias("n")))
+        shorter = levels[-1].groupBy(F.col("code").bitwiseAND(_mask(k)).alias("code")).agg(F.sum("n").alias("n"))
+        levels.append(materialise(shorter, "lm-level"))
     levels.reverse()
     # level 0: one context, at most 256 rows
     level = _context(levels[0], F.lit(0).cast("long")) \
@@ -209,17 +216,22 @@ class Lookup:
 SCORED = "doc_id long, held_out boolean, n_words long, n_known_words long, word_logs double, score double"
 
 
-def _score(docs: pa.Table, values: pa.Table) -> pa.Table:
+def _score(pieces: pa.Table, values: pa.Table) -> pa.Table:
     """Sums of each document from the values of its block's words and grams."""
-    docs = in_order(docs)
+    docs = documents(pieces)
     texts = column(docs, "text")
     slot, value = column(values, "slot").to_numpy(), column(values, "value").to_numpy()
     is_word = slot < 0
     count = np.zeros(int(is_word.sum()))
     count[-1 - slot[is_word]] = value[is_word]
-    words, doc = block_words(texts)
-    c = count[words.indices.to_numpy(zero_copy_only=False)]
+    _, numbers, rows = block_words(texts)
     n = len(texts)
+    logs = np.log10(count + 0.1)
+    n_words, n_known, word_logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+    for number, row in zip(numbers, rows):
+        n_words += np.bincount(row, minlength=n)
+        n_known += np.bincount(row[count[number] > 0], minlength=n)
+        word_logs += np.bincount(row, logs[number], n)
     table = Lookup(slot[~is_word], value[~is_word])
     score = np.zeros(n)
     for a, z in _chunks(texts):
@@ -227,9 +239,7 @@ def _score(docs: pa.Table, values: pa.Table) -> pa.Table:
         if z > a:
             score[a:z] = np.add.reduceat(table[code], at[:-1], dtype=np.float64)
     return pa.table({"doc_id": column(docs, "doc_id"), "held_out": column(docs, "held_out"),
-                     "n_words": pa.array(np.bincount(doc, minlength=n).astype(np.int64)),
-                     "n_known_words": pa.array(np.bincount(doc, c > 0, minlength=n).astype(np.int64)),
-                     "word_logs": pa.array(np.bincount(doc, np.log10(c + 0.1), minlength=n).astype(np.float64)),
+                     "n_words": pa.array(n_words), "n_known_words": pa.array(n_known), "word_logs": pa.array(word_logs),
                      "score": pa.array(score)})
 
 
@@ -238,8 +248,9 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
     Trains on the documents whose crc32(doc_id as text) mod 10 is not 0 and scores all of them.
     """
-    blocks = dealt(docs)
-    features = materialise(block_features(blocks), "lm-features")
+    blocks = dealt_with_folds(docs)
+    pieces = packed(blocks)
+    features = materialise(block_features(pieces), "lm-features")
     grams = features.where("slot >= 0")
     model = gram_model(grams.groupBy(F.col("slot").alias("code")).agg(F.sum("n").alias("n")), order)
     gram_values = grams.select("block", "slot").join(model.withColumnRenamed("code", "slot"), "slot") \
@@ -256,7 +267,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_words = features.where("slot < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kinds = values.where("known").count() + (n_docs > 0)
     total = n_words + n_docs
-    scored = blocks.groupBy("block").cogroup(values.select("block", "slot", "value").groupBy("block")) \
+    scored = pieces.groupBy("block").cogroup(values.select("block", "slot", "value").groupBy("block")) \
         .applyInArrow(lambda left, right: _score(left, right), SCORED)
     unit = F.lit(float(np.log10(total + 0.1 * (kinds + 1))))
     n_tokens = F.col("n_words") + 1
