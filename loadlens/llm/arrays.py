@@ -69,8 +69,8 @@ def byte_batches(batches: Iterable[pa.RecordBatch], name: str = "text",
                 yield batch.slice(a, b - a)
 
 
-def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(space mask, first byte, end byte, document index) of every word; words never cross documents."""
+def word_edges(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(space mask, first byte, end byte) of every word; words never cross documents."""
     space = SPACE[data]
     start, end = ~space, ~space
     start[1:] &= space[:-1]
@@ -79,8 +79,13 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     cut = cut[(cut > 0) & (cut < len(data))]
     start[cut] = ~space[cut]
     end[cut - 1] = ~space[cut - 1]
-    first = np.flatnonzero(start)
-    return space, first, np.flatnonzero(end) + 1, np.searchsorted(off, first, "right") - 1
+    return space, np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_edges``, with the document index of every word."""
+    space, first, end = word_edges(data, off)
+    return space, first, end, np.searchsorted(off, first, "right") - 1
 
 
 def word_array(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:

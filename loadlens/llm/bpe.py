@@ -32,7 +32,7 @@ from loadlens.llm.arrays import byte_batches, column, raw
 from loadlens.llm.tokens import library_tokenizer
 from loadlens.llm.units import UnitEncoder
 
-BPE_BATCH_BYTES = 16 << 20
+BPE_BATCH_BYTES = 8 << 20
 NEVER = 1 << 60
 MEMO_PAIRS = 1_000_000
 

@@ -34,7 +34,8 @@ MAGIC = b"TOKSHARD"
 #: magic, shard number, ids, documents, bytes per id, hash levels, indexed keys; big-endian, so that SQL can read it
 HEADER = struct.Struct(">8sQQQIIQ")
 GAMMA = 1.5
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
+JOINED = 64
 NO_KEY = np.iinfo(np.int64).min
 
 
@@ -137,10 +138,45 @@ class Shard:
         return self.ids[self.off[doc]:self.off[doc + 1]]
 
 
+class LibraryEncoder:
+    """Ids of units from the library. Units that are one word of letters are encoded many at a time, with a space
+    between; the tokens that carry the end-of-word suffix part them again."""
+
+    def __init__(self, path: str):
+        self.tok = library_tokenizer(path)
+        suffix = getattr(self.tok.model, "end_of_word_suffix", None)
+        vocab = self.tok.get_vocab()
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def __call__(self, units: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(units)
+        words, rest = [], []
+        for i, u in enumerate(units):
+            plain = self.ends is not None and u.isalpha() and u.lower().isalpha() and max(u) < "\u0300"
+            (words if plain else rest).append(i)
+        groups = [words[k:k + JOINED] for k in range(0, len(words), JOINED)]
+        joined = self._encode([" ".join([units[i] for i in g]) for g in groups])
+        for g, ids in zip(groups, joined):
+            end = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(end) == len(g):
+                for i, a, z in zip(g, [0, *end], end):
+                    out[i] = ids[a:z]
+            else:
+                rest += g
+        for i, ids in zip(rest, self._encode([units[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> UnitEncoder:
-    tok = library_tokenizer(path)
-    return UnitEncoder(lambda units: [x.ids for x in tok.encode_batch_fast(units, add_special_tokens=False)])
+    return UnitEncoder(LibraryEncoder(path))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int) -> None:
