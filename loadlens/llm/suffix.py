@@ -224,8 +224,9 @@ def suffix_array(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
 def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most: int = 2 * LENGTH) -> np.ndarray:
     """For each position, the bytes (at most ``most``) it has in common with its predecessor in ``order``.
 
-    Kasai's rule along diagonals: if the predecessor of i is one after that of i - 1, the prefix is one shorter. Only
-    the others, and ``heads`` (where the text's parts begin), are compared, eight bytes at a time.
+    Kasai's rule along diagonals: if the predecessor of i is one after that of i - 1 and those two have something in
+    common, i has one byte less. Only where that says nothing (a diagonal begins, or its last prefix has ended), and at
+    ``heads`` (where the text's parts begin), bytes are compared, eight at a time.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -236,19 +237,26 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     wide = np.zeros(n + most + 8, np.uint8)
     wide[:n] = text
     words = np.lib.stride_tricks.sliding_window_view(wide, 8)
-    at = np.flatnonzero(fresh & (before >= 0))
+    at = np.flatnonzero(fresh)
+    ends = np.append(at[1:], n)  # of each diagonal
+    at, ends = at[before[at] >= 0], ends[before[at] >= 0]
     common = np.zeros(n, np.int64)
-    live = at
-    for depth in range(0, most, 8):
-        a, b = live + depth, before[live] + depth
-        same = (words[a] == words[b]).all(axis=1)
-        part = live[~same]
-        if len(part):
-            common[part] = depth + np.argmin(words[a[~same]] == words[b[~same]], axis=1)
-        live = live[same]
-        common[live] = depth + 8
-        if not len(live):
-            break
+    while len(at):
+        fresh[at] = True
+        live = at
+        for depth in range(0, most, 8):
+            a, b = live + depth, before[live] + depth
+            same = (words[a] == words[b]).all(axis=1)
+            part = live[~same]
+            if len(part):
+                common[part] = depth + np.argmin(words[a[~same]] == words[b[~same]], axis=1)
+            live = live[same]
+            common[live] = depth + 8
+            if not len(live):
+                break
+        # the byte after a prefix differs; a prefix cut at ``most`` is taken up again while it still counts
+        at = at + np.where(common[at] < most, common[at] + 1, most - LENGTH)
+        at, ends = at[at < ends], ends[at < ends]
     position = np.arange(n)
     source = np.maximum.accumulate(np.where(fresh, position, 0))
     return np.maximum(common[source] - (position - source), 0)
