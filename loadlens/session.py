@@ -39,15 +39,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster names this folder; we only read it. A private temporary folder
-    is created solely for a local-mode session that has none (tests).
+    The cluster names this folder; we only read it, and only jobs that write a
+    checkpoint ask for it. A private temporary folder is created solely for a
+    local-mode session that has none (tests).
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)

@@ -64,9 +64,12 @@ def bucket_metrics_stream(stream: DataFrame, ts: str, metrics: Sequence[tuple[st
              .select(F.col("d.start").cast("timestamp_ntz").alias("day"), label_col, *[m[0] for m in metrics]))
 
 
-def start(df: DataFrame, name: str, output_mode: str = "append", sink: str = "memory",
+def start(df: DataFrame, name: str, output_mode: str = "append", sink: str = "parquet",
           path: str | None = None, available_now: bool = False) -> StreamingQuery:
-    """Start a streaming query with its checkpoint under the shared checkpoint folder."""
+    """Start a streaming query with its checkpoint under the shared checkpoint folder.
+
+    The ``memory`` sink keeps the whole result on the driver: for tests and small previews only.
+    """
     spark = df.sparkSession
     w = (df.writeStream.queryName(name).outputMode(output_mode)
          .option("checkpointLocation", f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}"))

@@ -131,7 +131,7 @@ def test_streaming_hourly_mean_equals_batch(spark, tmp_path):
     s = stream.read_export_stream(spark, str(src), events.schema, max_files_per_trigger=1)
     name = f"hourly_{uuid.uuid4().hex[:8]}"      # fresh checkpoint: a reused name resumes the old stream
     q = stream.start(stream.hourly_mean_stream(s, "ts", "value", "2 hours"), name, output_mode="complete",
-                     available_now=True)
+                     sink="memory", available_now=True)
     q.awaitTermination(120)
     got = {r["hour"]: r["value"] for r in spark.sql(f"SELECT * FROM {name}").collect()}
     want = {r["hour"]: r["value"] for r in hourly_mean(events, "ts", "value").collect()}
@@ -146,7 +146,7 @@ def test_streaming_bucket_totals(spark, tmp_path):
     s = stream.read_export_stream(spark, str(src), events.schema)
     name = f"bucket_{uuid.uuid4().hex[:8]}"
     q = stream.start(stream.bucket_metrics_stream(s, "ts", [("n", "count", "*")]), name,
-                     output_mode="complete", available_now=True)
+                     output_mode="complete", sink="memory", available_now=True)
     q.awaitTermination(120)
     total = spark.sql(f"SELECT SUM(n) AS n FROM {name}").first()["n"]
     assert total == events.count()
@@ -164,7 +164,7 @@ def test_streaming_append_mode_emits_final_windows(spark, tmp_path):
     s = stream.read_export_stream(spark, str(src), events.schema, max_files_per_trigger=1)
     name = f"append_{uuid.uuid4().hex[:8]}"
     q = stream.start(stream.hourly_mean_stream(s, "ts", "value", "1 hour"), name, output_mode="append",
-                     available_now=True)
+                     sink="memory", available_now=True)
     q.awaitTermination(180)
     got = {r["hour"]: (r["value"], r["n_rows"]) for r in spark.sql(f"SELECT * FROM {name}").collect()}
     want = {r["hour"]: r["value"] for r in hourly_mean(events, "ts", "value").collect()}
