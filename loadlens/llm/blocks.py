@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from loadlens.llm.arrays import byte_batches, column
 
-BLOCK_BYTES = 24 << 20
-PACK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
+PACK_BYTES = 8 << 20
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:

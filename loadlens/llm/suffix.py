@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadlens.llm.arrays import binary_array, column, raw
+from loadlens.llm.arrays import binary_array, column, give_back, raw
 from loadlens.llm.blocks import block_count, dealt, documents, pack, packed, unpack
 
 LENGTH = 100
@@ -102,6 +102,7 @@ def _anchor_counts(pieces: pa.Table) -> pa.Table:
         best = _sliding(reach, SPAN, np.maximum)[:len(grams)]
         found.append(grams[(best == grams) & (grams > 0)])
     value, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    give_back()
     return pa.table({"block": pa.array(np.full(len(value), column(pieces, "block")[0].as_py(), np.int32)),
                      "anchor": pa.array(value.view(np.int64)), "n": pa.array(count)})
 
@@ -488,7 +489,9 @@ def _merge_or_pass(pieces: pa.Table) -> pa.Table:
     shard = column(pieces, "shard")[0].as_py()
     if shard < 0:
         return pa.table({"block": pa.array([-1 - shard] * pieces.num_rows, pa.int32()), "piece": column(pieces, "piece")})
-    return _merge_shard(pieces)
+    out = _merge_shard(pieces)
+    give_back()
+    return out
 
 
 def repeated_digests(docs: DataFrame) -> DataFrame:
