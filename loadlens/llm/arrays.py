@@ -5,6 +5,7 @@ Every function works on one Arrow batch inside a task, so memory is bounded by t
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def column(batch, name: str) -> pa.Array:
@@ -53,7 +54,24 @@ def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def byte_batches(batches: Iterable[pa.RecordBatch], name: str = "text",
                  limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slice batches so that each holds about ``limit`` bytes of column ``name``; a longer text is alone in its batch."""
+    """Slice batches so that each holds about ``limit`` bytes of column ``name``; a longer text is alone in its batch.
+
+    When the last one is done, the worker gives back what it no longer uses.
+    """
+    yield from _slices(batches, name, limit)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and the next stage runs beside it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own counsel
+        pass
+
+
+def _slices(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -102,5 +120,6 @@ def per_doc(doc: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.nd
 
 def mask_counts(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     """How many True bytes each document has."""
-    total = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
-    return total[off[1:]] - total[off[:-1]]
+    total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=total[1:])
+    return (total[off[1:]] - total[off[:-1]]).astype(np.int64)

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import LOWER, column, raw, word_array
+from loadlens.llm.arrays import LOWER, column, give_back, raw, word_array
 from loadlens.llm.blocks import block_count, dealt, documents, packed
 from loadlens.llm.tables import materialise
 
@@ -116,6 +116,7 @@ def _features(pieces: pa.Table) -> pa.Table:
     code, n_code = _merge(parts)
     total = len(n_word) + len(code)
     block = column(pieces, "block")[0].as_py()
+    give_back()
     return pa.table({
         "block": pa.array(np.full(total, block, np.int32)),
         "slot": pa.array(np.concatenate([-1 - np.arange(len(n_word)), code])),
@@ -238,6 +239,7 @@ def _score(pieces: pa.Table, values: pa.Table) -> pa.Table:
         code, at = context_codes(*raw(texts.slice(a, z - a)))
         if z > a:
             score[a:z] = np.add.reduceat(table[code], at[:-1], dtype=np.float64)
+    give_back()
     return pa.table({"doc_id": column(docs, "doc_id"), "held_out": column(docs, "held_out"),
                      "n_words": pa.array(n_words), "n_known_words": pa.array(n_known), "word_logs": pa.array(word_logs),
                      "score": pa.array(score)})

@@ -199,6 +199,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int) -
             keys.append(key)
             ids.append(out)
             counts.append(np.diff(off) + 1)
+        _encoder(tokenizer_path).forget()
         if keys:
             off = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
             blob = pack_shard(TaskContext.get().partitionId(), np.concatenate(keys), np.concatenate(ids), off, width)

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 
 from loadlens.llm.arrays import SPACE, binary_array, byte_batches, column, raw
 
-TOKEN_BATCH_BYTES = 16 << 20
-#: Pieces remembered by a worker from one batch to the next (a cache: it never changes a count).
-MEMO_PIECES = 400_000
+TOKEN_BATCH_BYTES = 8 << 20
+#: Pieces remembered from one batch of a task to the next (a cache: it never changes a count).
+MEMO_PIECES = 300_000
 MEMO_PIECE_BYTES = 48
 
 
@@ -73,6 +73,10 @@ class PieceCounter:
         self.path = path
         self.memo: dict[bytes, int] = {}
 
+    def forget(self) -> None:
+        """Empty the cache, at the end of a task."""
+        self.memo = {}
+
     def _encode(self, pieces: list[str]) -> list[int]:
         if self.path.endswith(".model"):
             return [len(x) for x in piece_tokenizer(self.path).encode(pieces, num_threads=1)]
@@ -122,5 +126,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
             yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), pa.array(size), pa.array(count),
                                               pa.array(count > limit)],
                                              ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        counter(tokenizer_path).forget()
     return docs.select("doc_id", "text").mapInArrow(
         run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

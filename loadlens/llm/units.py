@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from loadlens.llm.arrays import LOWER, binary_array, raw, word_edges
 
-#: Units remembered by a worker from one batch to the next (a cache in two generations: it never changes an id).
+#: Units remembered from one batch of a task to the next (a cache in two generations: it never changes an id).
 MEMO_UNITS = 150_000
 MEMO_UNIT_BYTES = 48
 
@@ -61,6 +61,10 @@ class UnitEncoder:
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Empty the cache, at the end of a task."""
+        self.memo, self.older = {}, {}
+
     def _ids(self, units: list[bytes]) -> list[bytes]:
         """The ids of each unit as uint32 bytes."""
         if len(self.memo) > MEMO_UNITS:
