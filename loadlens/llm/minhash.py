@@ -9,9 +9,9 @@ Steps, all on narrow rows keyed by id:
 1. Documents with equal shingle sets form a class; its smallest id stands for it from here on.
 2. Half keys that no other class shares are dropped; the remaining ones are paired into table keys.
 3. Each class is verified against the bucket partner it meets in most tables, in star groups of bounded size.
-4. Buckets whose members are not all connected by then hold the only pairs still in question. Of their members, those
+4. Half keys whose holders are not all connected by then hold the only pairs still in question. Of their holders, those
    with so many shingles found nowhere else among them that no similarity can reach the threshold are out (exact).
-5. What is left is compared in full: families of connected buckets, in blocks of at most ``BLOCK`` documents against
+5. What is left is compared in full: families connected by half keys, in blocks of at most ``BLOCK`` documents against
    one another, each block pair giving at most one edge per document. No pair list is ever written.
 
 Shingles are compared by 64-bit hashes of their words. The smallest id reachable is the component.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import LOWER, byte_batches, column, raw, word_array
+from loadlens.llm.arrays import LOWER, byte_batches, column, give_back, raw, word_array
 from loadlens.llm.graph import components
 from loadlens.llm.tables import materialise
 
@@ -198,6 +198,8 @@ def _verify_star(percent: int):
             common = total[off[1:]] - total[off[:-1]]
             hit = _similar(common, np.diff(off), len(centre), percent) & (doc != doc[c])
             out += [(int(d), int(doc[c])) for d in doc[hit]]
+        if len(members) > 1 << 17:
+            give_back()
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
@@ -237,18 +239,31 @@ def _compare_all(percent: int):
                 if x != y:
                     root[max(x, y)] = min(x, y)
                     edges.append((int(doc[i]), int(doc[j])))
+        if count > 100:
+            give_back()
         a, b = zip(*edges) if edges else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
     return run
 
 
-def _open_buckets(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """key, doc, n, comp of the buckets whose members are in more than one component."""
-    named = buckets.select("key", "doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left") \
-        .select("key", "doc", "n", F.coalesce("root", "doc").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
-                                     F.min("n").alias("least")).where("low < high").select("key", "least")
-    return named.join(mixed, "key")
+def _shared_halves(classes: DataFrame, buckets: DataFrame) -> DataFrame:
+    """pos, half, doc and n of the half keys of all classes in buckets: 2 m rows a class instead of its tables."""
+    return classes.join(buckets.select("doc").distinct(), "doc", "left_semi") \
+        .select("doc", "n", F.posexplode("halves").alias("pos", "half"))
+
+
+def _open_halves(halves: DataFrame, roots: DataFrame, m: int) -> DataFrame:
+    """The half keys whose holders are in more than one component, of the classes with such a half key of either
+    collection. Two classes of different components that share a table are both among them, with the halves of that
+    table."""
+    named = halves.select("pos", "half", "doc", "n").join(roots.withColumnRenamed("node", "doc"), "doc", "left") \
+        .select("pos", "half", "doc", "n", F.coalesce("root", "doc").alias("comp"))
+    mixed = named.groupBy("pos", "half").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                             F.min("n").alias("least")).where("low < high").select("pos", "half", "least")
+    rows = named.join(mixed, ["pos", "half"])
+    both = rows.groupBy("doc").agg(F.min("pos").alias("first"), F.max("pos").alias("last")) \
+        .where((F.col("first") < m) & (F.col("last") >= m)).select("doc")
+    return rows.join(both, "doc", "left_semi")
 
 
 def _alive(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,10 +289,11 @@ def _alive(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(100 * s >= percent * (F.greatest("least", s) + F.col("n") - s)).select("doc").distinct()
 
 
-def _full_comparison(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges from comparing all that still share an open bucket."""
-    low = open_rows.groupBy("key").agg(F.min("doc").alias("low"))
-    family = components(open_rows.join(low, "key").select(F.col("doc").alias("a"), F.col("low").alias("b")))
+def _full_comparison(open_rows: DataFrame, sets: DataFrame, percent: int, m: int) -> DataFrame:
+    """Edges from comparing all that still share an open half key of the first collection."""
+    first = open_rows.where(F.col("pos") < m)
+    low = first.groupBy("pos", "half").agg(F.min("doc").alias("low"))
+    family = components(first.join(low, ["pos", "half"]).select(F.col("doc").alias("a"), F.col("low").alias("b")))
     member = open_rows.select("doc", "comp").distinct().join(family.withColumnRenamed("node", "doc"), "doc", "left") \
         .select("doc", "comp", F.coalesce("root", "doc").alias("family"))
     size = member.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
@@ -310,12 +326,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .groupBy("centre", "part").applyInArrow(_verify_star(percent), EDGE)
     edges = materialise(stars.unionByName(same_id), "links")
     roots = components(edges)
-    open_rows = materialise(_open_buckets(buckets, roots), "open")
+    halves = _shared_halves(classes.select("doc", "n", "halves"), buckets)
+    open_rows = materialise(_open_halves(halves, roots, m), "open")
     if not open_rows.isEmpty():
         alive = _alive(open_rows, sets, percent)
-        open_rows = materialise(_open_buckets(open_rows.join(alive, "doc", "left_semi"), roots), "open")
+        open_rows = materialise(_open_halves(open_rows.join(alive, "doc", "left_semi"), roots, m), "open")
     if not open_rows.isEmpty():
-        more = _full_comparison(open_rows, sets, percent)
+        more = _full_comparison(open_rows, sets, percent, m)
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     final = classes.select("s1", "s2", "doc").join(roots.withColumnRenamed("node", "doc"), "doc", "left") \
         .select("s1", "s2", F.coalesce("root", "doc").alias("component"))

@@ -40,6 +40,7 @@ GRAM = 24
 SPAN = LENGTH - GRAM + 1       # grams in a window
 CHUNK_BYTES = 2 << 20
 RUN_BYTES = 3 << 19
+BLOCK_BYTES = 8 << 20
 SHARDS_PER_BLOCK = 2
 LAST = (1 << 63) - 1
 _BYTE = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
@@ -174,6 +175,7 @@ def _regions(shards: int):
                 "row": pa.array(row[pick].astype(np.int32)), "key": pa.array(key[row[pick]]),
                 "start": pa.array(place[pick] - off[row[pick]]), "n": pa.array(n[pick].astype(np.int32)),
                 "content": content.take(pa.array(pick))}))))
+        give_back()
         return _pieces("shard", out)
     return run
 
@@ -451,6 +453,7 @@ def _finish(digest: bool):
             table["text"] = _texts(column(docs, "text"), data, off, first, last)
             if "rest" in docs.column_names:
                 table["rest"] = column(docs, "rest")
+        give_back()
         return pa.table(table)
     return run
 
@@ -472,7 +475,7 @@ def _texts(texts: pa.Array, data: np.ndarray, off: np.ndarray, first: np.ndarray
 
 
 def _solve(docs: DataFrame, digest: bool, schema: str | T.StructType) -> DataFrame:
-    n = block_count(docs)
+    n = block_count(docs, BLOCK_BYTES)
     shards = SHARDS_PER_BLOCK * n
     pieces = packed(dealt(docs, n, rest=not digest))
     # an anchor is one row per block, so a window partition has at most as many rows as there are blocks

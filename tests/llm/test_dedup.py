@@ -132,7 +132,7 @@ def repeats(df):
 
 @pytest.mark.parametrize(("blocks", "run"), [(1, 3 << 19), (3, 3 << 19), (4, 600)])
 def test_repeats_of_made_texts(spark, monkeypatch, blocks, run):
-    monkeypatch.setattr(suffix, "block_count", lambda df: blocks)
+    monkeypatch.setattr(suffix, "block_count", lambda df, size: blocks)
     monkeypatch.setattr(suffix, "RUN_BYTES", run)
     rng = random.Random(blocks)
     base = ["".join(rng.choice("abc ") for _ in range(400)) for _ in range(6)]
@@ -152,7 +152,7 @@ def test_repeats_of_made_texts(spark, monkeypatch, blocks, run):
 
 
 def test_repeats_query_on_the_table(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "block_count", lambda df: 4)
+    monkeypatch.setattr(suffix, "block_count", lambda df, size: 4)
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect())
     assert sorted(tuple(r) for r in queries.op6_suffix_dedup(spark, SF001).collect()) == brute_repeats(docs)
 
