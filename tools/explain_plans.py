@@ -21,8 +21,9 @@ SHOWN = {
     "U4_hour_bucket_mean_on_spine": "hour buckets on the 19-row spine: bounded broadcast join",
     "F10_rows_of_top5_frequent_accounts": "semi-join with a broadcast top-k key list",
     "X3_overlay_m3": "threshold as a scalar subquery, no join",
-    "M3_density_of_value": "density: weighted values expanded over the grid inside one stage, no join",
-    "P11_P14_metrics_of_group_mean_predictor": "per-key means joined back; AQE picks broadcast vs sort-merge",
+    "M3_density_of_value": "density: weighted values in even partitions, expanded over the reach of their kernel",
+    "N1_count_by_user_type_share": "share of a total that is a scalar subquery, no one-task window over the groups",
+    "P11_P14_metrics_of_linear_predictor": "metrics of a line whose coefficients are a scalar subquery: no join",
     "C2_clean_document_text": "row-level cleaning: one projection of built-in expressions",
 }
 
