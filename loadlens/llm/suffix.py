@@ -7,15 +7,16 @@ earlier start), judged on the input. Strings never cross documents.
    so an anchor that occurs once in the corpus rules out its windows (exact). Anchors are counted by block.
 2. Runs of windows with a repeated anchor, as byte regions, go to the shard of their anchor: equal windows always meet.
 3. A shard first drops regions that equal an earlier one as a whole. Of the rest, anchors with several regions are put
-   into suffix arrays of at most ``RUN_BYTES``: sorted by 8 bytes, then refined group by group by the rank of the
+   into suffix arrays of about ``RUN_BYTES``: sorted by 8 bytes, then refined group by group by the rank of the
    suffix further on with doubled depth (Larsson-Sadakane) to LENGTH bytes. Common prefixes of neighbours follow
    Kasai's rule: along a diagonal of neighbour pairs the prefix shrinks by one per byte, so only the head of each
-   diagonal is compared. Where an anchor's regions fill several arrays, these are merged by binary search of their
-   sorted windows.
-4. Back in the blocks the removed windows are united into byte spans.
+   diagonal is compared.
+4. An anchor whose regions might exceed ``RUN_BYTES`` (a passage that many documents share in different contexts) goes
+   to no single shard: its distinct windows of each block are dealt by a hash of their LENGTH bytes, and compared there.
+5. Back in the blocks the removed windows are united into byte spans.
 
-The blocks are dealt by hash; one query, whose text exchange is shared by the steps. A region that very many documents
-share is one region per block before it reaches its shard.
+The blocks are dealt by hash; one query, whose text exchange is shared by the steps. A region or a spread window that
+very many documents share is one row per block before it reaches its shard.
 
 Edge cases: a null or empty text, or one shorter than LENGTH, loses nothing. Rows without an id come after all others;
 rows that share an id count as several documents, in a fixed order. An empty table gives an empty result.
@@ -42,6 +43,8 @@ CHUNK_BYTES = 2 << 20
 RUN_BYTES = 3 << 19
 BLOCK_BYTES = 8 << 20
 SHARDS_PER_BLOCK = 2
+#: Shards of the windows that are dealt one by one: each byte of a block is at most one window.
+SPREAD_PER_BLOCK = 8
 LAST = (1 << 63) - 1
 _BYTE = np.random.default_rng(5).integers(1, 1 << 64, 256, dtype=np.uint64)
 
@@ -114,14 +117,98 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - size, size) + np.repeat(start, size)
 
 
-def _regions(shards: int):
+def _window_hashes(data: np.ndarray) -> np.ndarray:
+    """A hash of the LENGTH bytes from each position on, put together from the powers of two in LENGTH."""
+    part, w, out, have = _BYTE[data], 1, None, 0
+    while True:
+        if LENGTH & w:
+            out = part if out is None else out[:len(part) - have] * np.uint64(0xD6E8FEB86659FD93 + 2 * w) + part[have:]
+            have += w
+        if have == LENGTH:
+            break
+        part = part[:-w] * np.uint64(0x9E3779B97F4A7C15 + 2 * w) + part[w:]
+        w *= 2
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(29))
+
+
+def _runs(region: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, start, count) of each run of successive windows of one region."""
+    cut = np.ones(len(start), dtype=bool)
+    cut[1:] = (region[1:] != region[:-1]) | (start[1:] != start[:-1] + 1)
+    head = np.flatnonzero(cut)
+    return region[head], start[head], np.diff(np.append(head, len(start)))
+
+
+def _spread(content: pa.Array, n: np.ndarray, row: np.ndarray, start: np.ndarray, key: np.ndarray, block: int,
+            shards: int, spread: int) -> list[tuple[int, bytes]]:
+    """The distinct windows of a block's regions (in their order), packed by shards from ``shards`` on that a hash of
+    the whole window gives. Windows that are the block's second are removed here."""
+    data, off = raw(content)
+    region = np.repeat(np.arange(len(n)), n)
+    inner = _ranges(np.zeros(len(n), np.int64), n)
+    place = off[:-1][region] + inner
+    h = np.empty(len(place), np.uint64)
+    at = 0
+    for a, z in _chunks(off):
+        count = int(n[a:z].sum())
+        if count:
+            h[at:at + count] = _window_hashes(data[off[a]:off[z]])[place[at:at + count] - off[a]]
+        at += count
+    view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
+    by = np.argsort(h, kind="stable")
+    twice = np.flatnonzero(h[by][1:] == h[by][:-1])
+    again = np.zeros(len(place), dtype=bool)
+    for a in range(0, len(twice), 1 << 15):
+        some = twice[a:a + (1 << 15)]
+        again[by[some + 1]] = (view[place[by[some + 1]]] == view[place[by[some]]]).all(axis=1)
+    out = []
+    if again.any():
+        gone, first, count = _runs(region[again], inner[again])
+        out.append((-1 - block, pack(_removed(row[gone], start[gone] + first, count))))
+    lead = np.flatnonzero(~again)
+    shard = (h[lead] % np.uint64(spread)).astype(np.int64) + shards
+    lead, shard = lead[np.argsort(shard, kind="stable")], np.sort(shard)
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    for a, z in zip(first, np.append(first[1:], len(shard))):
+        pick = lead[a:z]
+        which = region[pick]
+        out.append((int(shard[a]), pack(pa.table({
+            "window": binary_array(view[place[pick]].ravel(), np.arange(len(pick) + 1) * LENGTH),
+            "block": pa.array(np.full(len(pick), block, np.int32)), "row": pa.array(row[which].astype(np.int32)),
+            "key": pa.array(key[which]), "start": pa.array(start[which] + inner[pick])}))))
+    return out
+
+
+def _merge_windows(pieces: pa.Table) -> pa.Table:
+    """Which of a shard's windows have an earlier equal, packed by block."""
+    table = unpack(pieces)
+    block, row, key, start = (column(table, c).to_numpy() for c in ("block", "row", "key", "start"))
+    same = column(table, "window").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    del table
+    by = np.lexsort((start, row, block, key, same))
+    gone = by[1:][same[by[1:]] == same[by[:-1]]]
+    gone = gone[np.lexsort((start[gone], row[gone], block[gone]))]
+    # windows of one row that follow each other
+    home = block[gone].astype(np.int64) << 32 | row[gone]
+    home, begin, count = _runs(home, start[gone])
+    row, home = home & 0xFFFFFFFF, home >> 32
+    edges = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else home
+    return _pieces("block", [(int(home[a]), pack(_removed(row[a:z], begin[a:z], count[a:z])))
+                             for a, z in zip(edges, np.append(edges[1:], len(home)))])
+
+
+def _regions(shards: int, spread: int):
     def run(pieces: pa.Table, repeated: pa.Table) -> pa.Table:
         """The regions of a block's windows with repeated anchors, packed by shard. Equal regions of a block are sent
-        once, with the first place; the others are removed here (a piece for shard -1, the block itself)."""
-        known = np.sort(column(repeated, "anchor").to_numpy().view(np.uint64)) if repeated.num_rows else None
+        once, with the first place; the others are removed here (a piece for shard -1, the block itself). Regions of
+        ``wide`` anchors are sent window by window."""
         out: list[tuple[int, bytes]] = []
-        if known is None or not pieces.num_rows:
+        if not repeated.num_rows or not pieces.num_rows:
             return _pieces("shard", out)
+        known = column(repeated, "anchor").to_numpy().view(np.uint64)
+        wide = column(repeated, "wide").to_numpy(zero_copy_only=False)[np.argsort(known)]
+        known = np.sort(known)
         docs = documents(pieces)
         block = column(pieces, "block")[0].as_py()
         key = column(docs, "doc_id").fill_null(LAST).to_numpy()
@@ -164,6 +251,12 @@ def _regions(shards: int):
         if again.any():
             out.append((-1 - block, pack(_removed(row[again], place[again] - off[row[again]], n[again]))))
         lead = np.flatnonzero(~again)
+        many = wide[np.searchsorted(known, h[lead])]
+        if many.any():
+            pick = lead[many]
+            out += _spread(content.take(pa.array(pick)), n[pick], row[pick], place[pick] - off[row[pick]],
+                           key[row[pick]], block, shards, spread)
+            lead = lead[~many]
         shard = (h[lead] % np.uint64(shards)).astype(np.int64)
         order = lead[np.argsort(shard, kind="stable")]
         shard = np.sort(shard)
@@ -265,12 +358,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     return np.maximum(common[source] - (position - source), 0)
 
 
-def _classes(content: pa.Array, n: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every window of the regions (region by region): whether an equal window has a smaller order, its region, and
-    the windows' leading member (order) in suffix-array order of the distinct windows, as (keys, leaders).
-
-    Returns (removed flag per window, 100-byte keys of distinct windows in order, least order of each).
-    """
+def _classes(content: pa.Array, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """For every window of the regions (region by region): whether an equal window has a smaller order."""
     data, off = raw(content)
     size = np.diff(off)
     text = np.zeros(len(data) + len(n), np.uint8)
@@ -291,11 +380,9 @@ def _classes(content: pa.Array, n: np.ndarray, rank: np.ndarray) -> tuple[np.nda
     group, own, order = group[is_window], own[is_window], order[is_window]
     least = np.full(int(group[-1]) + 1 if len(group) else 0, LAST, np.int64)
     np.minimum.at(least, group, own)
-    lead = own == least[group]
     removed = np.zeros(len(text), dtype=bool)
-    removed[order[~lead]] = True
-    keys = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-    return removed[place], (keys, order[lead]), own[lead]
+    removed[order[own != least[group]]] = True
+    return removed[place]
 
 
 def _merge_shard(pieces: pa.Table) -> pa.Table:
@@ -323,33 +410,21 @@ def _merge_shard(pieces: pa.Table) -> pa.Table:
     parts = [(again, start[again], n[again].astype(np.int64))]
     if len(lead):
         size = n[lead].astype(np.int64) + LENGTH
-        run = np.cumsum(size) // RUN_BYTES
-        # an anchor's regions stay in one run where they fit
+        # an anchor's regions stay in one run; those of an anchor that reaches a shard are at most RUN_BYTES
         begin = np.concatenate([[True], group[1:] != group[:-1]])
-        run_of_group = run[np.flatnonzero(begin)]
-        small = np.bincount(group, size)[group] <= RUN_BYTES
-        at_group = np.cumsum(begin) - 1
-        run = np.where(small, run_of_group[at_group], run)
-        earlier: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        run = (np.cumsum(size) // RUN_BYTES)[np.flatnonzero(begin)][np.cumsum(begin) - 1]
         flags = np.zeros(int(n[lead].sum()), dtype=bool)
         offsets = np.concatenate([[0], np.cumsum(n[lead].astype(np.int64))])
         edges = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
         for a, z in zip(edges, np.append(edges[1:], len(lead))):
             pick = lead[a:z]
             content = code.dictionary.take(pa.array(same[pick]))
-            removed, (keys, at), least = _classes(content, n[pick].astype(np.int64), order[pick])
-            flags[offsets[a]:offsets[z]] = removed
-            if not small[a:z].all():
-                _merge_runs(earlier, flags, offsets, a, z, keys, at, least, n[pick].astype(np.int64), small[a:z])
+            flags[offsets[a]:offsets[z]] = _classes(content, n[pick].astype(np.int64), order[pick])
         gone = np.flatnonzero(flags)
         if len(gone):
-            cut = np.concatenate([[True], (gone[1:] != gone[:-1] + 1)])
-            region = np.searchsorted(offsets, gone, "right") - 1
-            cut[1:] |= region[1:] != region[:-1]
-            head = np.flatnonzero(cut)
-            count = np.diff(np.append(head, len(gone)))
-            which = lead[region[head]]
-            parts.append((which, start[which] + gone[head] - offsets[region[head]], count))
+            region, first, count = _runs(np.searchsorted(offsets, gone, "right") - 1, gone)
+            which = lead[region]
+            parts.append((which, start[which] + first - offsets[region], count))
     which = np.concatenate([p[0] for p in parts])
     begins, counts = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     by = np.argsort(block[which], kind="stable")
@@ -381,30 +456,6 @@ def _periodic(contents: pa.Array, which: np.ndarray, n: np.ndarray) -> np.ndarra
     return out
 
 
-def _merge_runs(earlier, flags, offsets, a, z, keys, at, least, n, small) -> None:
-    """Flag the windows of a run that a run before it (of the same anchors) has too, by binary search in its windows.
-
-    ``earlier`` keeps the sorted distinct windows of the runs so far; regions come in their order within an anchor, so
-    an equal window in an earlier run has the smaller order.
-    """
-    # text position -> window number in the run
-    place = _ranges(np.concatenate([[0], np.cumsum(n + LENGTH)[:-1]]), n)
-    number = np.full(int(place[-1]) + 1 if len(place) else 0, -1, np.int64)
-    number[place] = np.arange(len(place))
-    split = np.repeat(~small, n)
-    window = number[at]
-    use = split[window]
-    mine = np.ascontiguousarray(keys[at[use]]).view(f"S{LENGTH}").ravel()
-    window = window[use]
-    by = np.argsort(mine, kind="stable")
-    mine, window = mine[by], window[by]
-    for theirs in earlier.setdefault(0, []):
-        slot = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-        flags[offsets[a] + window[theirs[slot] == mine]] = True
-    if len(mine):
-        earlier[0].append(mine)
-
-
 def _finish(digest: bool):
     def run(pieces: pa.Table, removed: pa.Table) -> pa.Table:
         """The spans of each document of a block, and what is left of its text."""
@@ -477,24 +528,31 @@ def _texts(texts: pa.Array, data: np.ndarray, off: np.ndarray, first: np.ndarray
 def _solve(docs: DataFrame, digest: bool, schema: str | T.StructType) -> DataFrame:
     n = block_count(docs, BLOCK_BYTES)
     shards = SHARDS_PER_BLOCK * n
+    # an anchor has at most one region of SPAN windows for each of its positions
+    most = max(1, RUN_BYTES // (SPAN + LENGTH))
     pieces = packed(dealt(docs, n, rest=not digest))
     # an anchor is one row per block, so a window partition has at most as many rows as there are blocks
     counted = pieces.groupBy("block").applyInArrow(_anchor_counts, "block int, anchor long, n long") \
-        .withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1").select("block", "anchor")
+        .withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1") \
+        .select("block", "anchor", (F.col("total") > most).alias("wide"))
     regions = pieces.groupBy("block").cogroup(counted.groupBy("block")) \
-        .applyInArrow(_regions(shards), "shard int, piece binary")
-    merged = regions.groupBy("shard").applyInArrow(_merge_or_pass, "block int, piece binary")
+        .applyInArrow(_regions(shards, SPREAD_PER_BLOCK * n), "shard int, piece binary")
+    merged = regions.groupBy("shard").applyInArrow(_merge_or_pass(shards), "block int, piece binary")
     return pieces.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_finish(digest), schema)
 
 
-def _merge_or_pass(pieces: pa.Table) -> pa.Table:
-    """A shard's regions are merged; what a block has settled by itself (shard -1 - block) goes back to it."""
-    shard = column(pieces, "shard")[0].as_py()
-    if shard < 0:
-        return pa.table({"block": pa.array([-1 - shard] * pieces.num_rows, pa.int32()), "piece": column(pieces, "piece")})
-    out = _merge_shard(pieces)
-    give_back()
-    return out
+def _merge_or_pass(shards: int):
+    def run(pieces: pa.Table) -> pa.Table:
+        """A shard's regions, or its windows (from ``shards`` on), are merged; what a block has settled by itself (shard
+        -1 - block) goes back to it."""
+        shard = column(pieces, "shard")[0].as_py()
+        if shard < 0:
+            return pa.table({"block": pa.array([-1 - shard] * pieces.num_rows, pa.int32()),
+                             "piece": column(pieces, "piece")})
+        out = _merge_shard(pieces) if shard < shards else _merge_windows(pieces)
+        give_back()
+        return out
+    return run
 
 
 def repeated_digests(docs: DataFrame) -> DataFrame:

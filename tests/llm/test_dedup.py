@@ -151,6 +151,42 @@ def test_repeats_of_made_texts(spark, monkeypatch, blocks, run):
     assert repeats(texts(spark, rows, extra=True)) == sorted(brute_repeats(rows))
 
 
+def test_a_passage_in_many_contexts_is_spread_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "block_count", lambda df, size: 3)
+    monkeypatch.setattr(suffix, "RUN_BYTES", 20_000)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, tails = word(371), [word(60) for _ in range(5)]
+    rows = [(i, word(150) + passage + rng.choice(tails) * (i % 2) + word(150)) for i in range(500)]
+    df = texts(spark, rows)
+    pieces = suffix.packed(suffix.dealt(df, 3))
+    found = collections.Counter()
+    anchors = pieces.groupBy("block").applyInArrow(suffix._anchor_counts, "block int, anchor long, n long")
+    for r in anchors.collect():
+        found[r["anchor"]] += r["n"]
+    assert max(found.values()) >= 500  # regions that went to one shard
+    sent = []
+    merge = suffix._merge_or_pass
+
+    def watched(shards):
+        sent.append(shards)
+        return merge(shards)
+    monkeypatch.setattr(suffix, "_merge_or_pass", watched)
+    assert repeats(df) == sorted(brute_repeats(rows))
+    # the regions of a block as they are sent: none of a wide anchor, and windows in many shards
+    wide = {a for a, n in found.items() if n > 20_000 // (suffix.SPAN + suffix.LENGTH)}
+    block = [r for r in pieces.collect() if r["block"] == 0]
+    table = pa.table({"block": pa.array([0] * len(block), pa.int32()), "piece": [bytes(r["piece"]) for r in block]})
+    known = pa.table({"block": pa.array([0] * len(found), pa.int32()), "anchor": list(found),
+                      "wide": [a in wide for a in found]})
+    parts = suffix._regions(sent[0], 24)(table, known).to_pylist()
+    for part in parts:
+        if 0 <= part["shard"] < sent[0]:
+            assert not wide & set(suffix.unpack(pa.table({"piece": [part["piece"]]}))["anchor"].to_pylist())
+    sizes = [len(suffix.unpack(pa.table({"piece": [p["piece"]]}))) for p in parts if p["shard"] >= sent[0]]
+    assert len(sizes) == 24 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 def test_repeats_query_on_the_table(spark, monkeypatch):
     monkeypatch.setattr(suffix, "block_count", lambda df, size: 4)
     docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect())
