@@ -48,6 +48,10 @@ def op7_content_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeated_chunks(read(spark, sf_dir, "documents"))
 
 
+def op7_united_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_chunks(read(spark, sf_dir, "documents"), tables=chunks.UNITED)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_passages(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_content_chunks": op7_content_chunks,
+    "op7_united_chunks": op7_united_chunks,
     "op8_decontamination": op8_decontamination,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,

@@ -276,3 +276,55 @@ def test_chunks_join_to_the_texts():
     assert b"".join(data[a:z].tobytes() for a, z in zip(start, end)) == data.tobytes()
     assert [(a - off[k], data[a:z].tobytes()) for k in [7] for a, z in zip(start, end) if off[k] <= a < off[k + 1]] \
         == brute_chunks(batch[7])
+
+
+def test_planted_passages_are_found_by_the_united_chunks(spark):
+    """Passages of 51 words, each put into two other documents."""
+    rng = random.Random(7)
+    some = [t.split() for t in (r["text"] for r in spark.read.parquet(f"{SF001}/documents.parquet").collect())]
+    some = [w for w in some if len(w) > 200]
+    trials = 1500
+    rows, spans = [], []
+    for k in range(trials):
+        while True:  # not a few words over and over: their chunks never fall into step
+            at = rng.choice(some)
+            j = rng.randrange(len(at) - 51)
+            passage = " ".join(at[j:j + 51])
+            if len(set(at[j:j + 51])) >= 25:
+                break
+        for side in range(2):
+            words = [f"{w}{k}{'ab'[side]}" for w in rng.choice(some)[:rng.randint(20, 60)]]  # nothing else in common
+            before = " ".join(words) + " "
+            rows.append((2 * k + side, before + passage + " " + " ".join(words[::-1])))
+            spans.append((len(before.encode()), len((before + passage).encode())))
+
+    def missed(tables):
+        hit = set()
+        for r in chunks.repeated_chunks(texts(spark, rows), tables=tables).collect():
+            a, z = spans[r["doc_id"]]
+            if r["start"] < z and r["start"] + r["n_bytes"] > a:
+                hit.add(r["doc_id"] // 2)
+        return trials - len(hit)
+    one, three = missed(1), missed(chunks.UNITED)
+    print("missed of", trials, one, three)
+    assert one > 0 and three <= trials // 500
+
+
+def test_united_chunks_equal_the_chunks_of_all_tables(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()][:300] + \
+        [(10 ** 6, "a" * 2000), (10 ** 6 + 1, "tiny"), (10 ** 6 + 2, "tiny"), (10 ** 6 + 3, "")]
+    rows = []
+    for i, t in docs:
+        data = t.encode()
+        off = np.array([0, len(data)])
+        spans = {(a, z) for k in range(chunks.UNITED) for a, z in zip(*(e.tolist() for e in chunks.chunk_edges(
+            np.frombuffer(data, np.uint8), off, gear=chunks.gear_table(k))))}
+        rows += [(i, a, data[a:z]) for a, z in sorted(spans)]
+    first, seen, want = {}, set(), collections.Counter()
+    for i, a, c in sorted(rows):
+        first.setdefault(c, i)
+        if first[c] < i or (i, c) in seen:
+            want[i, a, len(c), first[c]] += 1
+        seen.add((i, c))
+    got = chunks.repeated_chunks(texts(spark, docs), tables=chunks.UNITED).collect()
+    assert collections.Counter(tuple(r) for r in got) == want
