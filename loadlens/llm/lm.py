@@ -31,7 +31,8 @@ from loadlens.llm.arrays import LOWER, column, give_back, raw, word_array
 from loadlens.llm.blocks import block_count, dealt, documents, packed
 from loadlens.llm.tables import materialise
 
-ORDER = 4
+ORDER = 5
+CODEC = "zstd"
 CHUNK_BYTES = 1 << 20
 #: Bytes that UTF-8 never uses: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
@@ -140,10 +141,10 @@ def gram_model(grams: DataFrame, order: int = ORDER) -> DataFrame:
     Level k holds the suffixes of k + 1 bytes with their counts, and the code length that an escape from their context
     costs (``lower``). A row's context has at most 256 rows, so no window partition grows with the data.
     """
-    levels = [materialise(grams.select("code", "n"), "lm-level")]
+    levels = [materialise(grams.select("code", "n"), "lm-level", CODEC)]
     for k in range(order - 1, -1, -1):
         shorter = levels[-1].groupBy(F.col("code").bitwiseAND(_mask(k)).alias("code")).agg(F.sum("n").alias("n"))
-        levels.append(materialise(shorter, "lm-level"))
+        levels.append(materialise(shorter, "lm-level", CODEC))
     levels.reverse()
     # level 0: one context, at most 256 rows
     level = _context(levels[0], F.lit(0).cast("long")) \
@@ -252,18 +253,19 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """
     blocks = dealt_with_folds(docs)
     pieces = packed(blocks)
-    features = materialise(block_features(pieces), "lm-features")
+    features = materialise(block_features(pieces), "lm-features", CODEC)
     grams = features.where("slot >= 0")
     model = gram_model(grams.groupBy(F.col("slot").alias("code")).agg(F.sum("n").alias("n")), order)
+    # blocks look values up in single precision; rounded here they pack better
     gram_values = grams.select("block", "slot").join(model.withColumnRenamed("code", "slot"), "slot") \
-        .select("block", "slot", F.col("logp").alias("value"), F.lit(False).alias("known"))
+        .select("block", "slot", F.col("logp").cast("float").cast("double").alias("value"), F.lit(False).alias("known"))
     # a word is one row per block, so a window partition has at most as many rows as there are blocks
     word = Window.partitionBy("word")
     word_values = features.where("slot < 0").select(
         "block", "slot", F.sum("n").over(word).cast("double").alias("value"),
         (F.row_number().over(word.orderBy("block")) == 1).alias("first")) \
         .select("block", "slot", "value", (F.col("first") & (F.col("value") > 0)).alias("known"))
-    values = materialise(gram_values.unionByName(word_values), "lm-values")
+    values = materialise(gram_values.unionByName(word_values), "lm-values", CODEC)
 
     n_docs = blocks.where("not held_out").count()
     n_words = features.where("slot < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

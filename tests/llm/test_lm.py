@@ -81,6 +81,12 @@ def test_small_corpus_equals_the_direct_model(spark, monkeypatch):
     check(lm.score_documents(texts(spark, pairs, extra=True)).collect(), pairs)
 
 
+def test_the_model_has_contexts_of_five_bytes(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text").collect()
+    pairs = [(r["doc_id"], r["text"][:300]) for r in docs[100:130]]
+    check(lm.score_documents(texts(spark, pairs)).collect(), pairs, order=5)
+
+
 def test_probabilities_of_a_context_sum_to_one(spark):
     """Over all 256 symbols, for seen and unseen contexts."""
     code, _ = lm.context_codes(*raw(pa.array(["abracadabra", "abba"])), order=2)
