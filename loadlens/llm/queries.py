@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from loadlens.llm import bpe, chunks, decontaminate, lm, minhash, quality, suffix, tokenfiles, tokens, warc
+from loadlens.llm import bpe, chunks, conversations, decontaminate, lm, minhash, pii, quality, spelling, suffix, tokenfiles, \
+    tokens, warc
+from loadlens.llm.oracles import ORACLE_SQL
 from loadlens.llm.tables import read, shared_folder
 
 
@@ -67,6 +68,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                                              "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(read(spark, sf_dir, "conversations")))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.word_forms(spelling.damaged_words(read(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_archive": op1_warc_archive,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
+    "op11_personal_data": op11_personal_data,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
