@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType
 
@@ -59,9 +59,12 @@ def exclude_value(df: DataFrame, column: str, value) -> DataFrame:
 
 def contains_ci(df: DataFrame, column: str, text: str | None) -> DataFrame:
     """Case-insensitive literal substring match; empty text means no filter."""
-    if not text:
-        return df
-    return df.filter(F.lower(F.col(column)).contains(text.lower()))
+    return df.filter(matches_ci(column, text)) if text else df
+
+
+def matches_ci(column: str, text: str | None) -> Column:
+    """The predicate of ``contains_ci``."""
+    return F.lower(F.col(column)).contains(text.lower()) if text else F.lit(True)
 
 
 def null_rows(df: DataFrame, column: str) -> DataFrame:

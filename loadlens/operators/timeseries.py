@@ -57,12 +57,15 @@ def bucket_metrics_on_spine(df: DataFrame, label_col: str, metrics: Sequence[Met
     they are filtered out before the aggregate (a pushed-down IN list), so the
     broadcast aggregate has at most 19 rows whatever the label column holds.
     """
-    on_spine = df.filter(F.col(label_col).isin(bucket_labels()))
-    agg = group_metrics(on_spine, label_col, metrics, decimal_scale)
-    spine = bucket_spine(df.sparkSession, label_col)
-    names = [m[0] for m in metrics]
+    known = df.filter(F.col(label_col).isin(bucket_labels()))
+    return on_spine(group_metrics(known, label_col, metrics, decimal_scale), label_col, [m[0] for m in metrics], seconds)
+
+
+def on_spine(agg: DataFrame, label_col: str, names: Sequence[str], seconds: Sequence[str] = ()) -> DataFrame:
+    """Bucket metrics (one row per label) laid on the spine; see ``bucket_metrics_on_spine``."""
+    spine = bucket_spine(agg.sparkSession, label_col)
     # Both sides are bounded: 19 spine rows, at most 19 aggregate rows.
-    joined = spine.join(F.broadcast(agg), on=label_col, how="left")
+    joined = spine.join(F.broadcast(agg.filter(F.col(label_col).isin(bucket_labels()))), on=label_col, how="left")
     cols = [F.col(label_col)] + [F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]
     cols += [ms_to_seconds(F.coalesce(F.col(n), F.lit(0.0))).alias(f"{n}_SECONDS") for n in seconds]
     return joined.orderBy("ord").select(*cols)
@@ -76,6 +79,10 @@ def bucket_metrics_ordered(df: DataFrame, label_col: str, metrics: Sequence[Metr
     With ``to_seconds`` every metric is divided by 1000.
     """
     agg = group_metrics(df, label_col, metrics, decimal_scale)
-    names = [m[0] for m in metrics]
+    return in_bucket_order(agg, label_col, [m[0] for m in metrics], to_seconds)
+
+
+def in_bucket_order(agg: DataFrame, label_col: str, names: Sequence[str], to_seconds: bool = False) -> DataFrame:
+    """Bucket metrics (one row per label) in the fixed order; see ``bucket_metrics_ordered``."""
     cols = [F.col(label_col)] + [(ms_to_seconds(n) if to_seconds else F.col(n)).alias(n) for n in names]
     return agg.orderBy(bucket_ordinal(label_col), F.col(label_col)).select(*cols)

@@ -3,10 +3,11 @@
 Input is the dict produced by ``sources.load_all`` (source key -> cleaned
 DataFrame). Each section returns an ordered dict of named, lazy DataFrames —
 the table behind every chart of the original reports. An output is left
-out when its columns are missing (checked on the schema). The "metric total > 0"
-evidence guards of a section are one scalar subquery over its source; a failing
-guard yields the output's empty form. Building a section runs no job (but for
-``ml_section``, which fits).
+out when its columns are missing (checked on the schema). All grouped outputs of a
+section and its "metric total > 0" evidence guards come from one pass over its
+source (``operators.onepass``), held from the first use until ``release()``; a
+failing guard yields the output's empty form. Building a section runs no job (but
+for ``ml_section``, which fits).
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import as_text, ms_to_seconds, short_label
+from loadlens.functions.timebuckets import hour_bucket
 from loadlens.operators import aggregates as agg
 from loadlens.operators import anomaly, density, filters, kpis, regression, timeseries
+from loadlens.operators.onepass import GroupedPass
 from loadlens.sources.specs import MEMORY_ACCOUNT_DEFAULT
 
 # --- fixed values: column groups and defaults of the original sections ----------------
@@ -89,172 +92,223 @@ def kpi_section(spark: SparkSession, dfs: Mapping[str, DataFrame]) -> dict[str,
     return {"kpis": k, "kpi_labels": kpis.kpi_labels(k)}
 
 
-class _Totals:
-    """Evidence totals of one source: every metric sum a section's guards need, as one scalar subquery (a partial
-    aggregate per task, one row). Building it runs no job; it is evaluated with the output that uses it."""
+class Section(dict):
+    """The named outputs of a section. Its grouped outputs share one held pass over the source; ``release`` frees it."""
 
-    def __init__(self, df: DataFrame | None, cols: Sequence[str]):
-        self.present = sorted({c for c in cols if _has(df, c)})
-        self.sums = df.agg(F.struct(*[F.sum(F.col(c)).alias(c) for c in self.present]).alias("sums")).scalar() \
-            if self.present else None
+    def __init__(self, grouped: GroupedPass | None = None):
+        super().__init__()
+        self.grouped = grouped
 
-    def positive(self, cols: Sequence[str]) -> Column:
-        known = [c for c in cols if c in self.present]
-        return sum((F.coalesce(self.sums[c], F.lit(0.0)) for c in known), F.lit(0.0)) > 0
+    def guarded(self, name: str, result: DataFrame, cols: Sequence[str]) -> None:
+        """Add an output; it is empty when the metric total of the input is not > 0."""
+        self[name] = result.filter(self.grouped.positive(cols))
 
+    def release(self) -> None:
+        if self.grouped is not None:
+            self.grouped.release()
 
-def _guard(result: DataFrame, totals: _Totals, cols: Sequence[str]) -> DataFrame:
-    """The output; empty when the metric total of the input is not > 0."""
-    return result.filter(totals.positive(cols))
+
+def _sums(cols: Sequence[str]) -> list[agg.MetricSpec]:
+    return [(c, "sum", c) for c in cols]
+
+
+def _means(cols: Sequence[str]) -> list[agg.MetricSpec]:
+    return [(c, "avg", c) for c in cols]
 
 
 def memory_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("memory")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, MEMORY_METRICS)
-    if _has(src, "ACCOUNT", *MEMORY_METRICS):
-        top = agg.grouped_top_k(src, "ACCOUNT", [(c, "sum", c) for c in MEMORY_METRICS], "USEDBYTES", 10)
-        out["top_accounts_by_usedbytes"] = _guard(agg.keep_if_positive_total(top, "USEDBYTES"), tot, ["USEDBYTES"])
-        out["memory_metrics_long"] = _guard(agg.to_long(top, "ACCOUNT", list(MEMORY_METRICS)), tot,
-                                            list(MEMORY_METRICS))
+        return Section()
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total(MEMORY_METRICS)
+    frequent = [("__n", "count", "*"), *_means(["USEDBYTES"])]
+    by_account, by_hour = _has(src, "ACCOUNT", *MEMORY_METRICS), _has(src, "FULL_DATETIME", "USEDBYTES")
+    if by_account:
+        once.by("ACCOUNT", _sums(MEMORY_METRICS))
+    if _has(src, "ACCOUNT", "USEDBYTES"):
+        once.by("ACCOUNT", frequent)
+    if by_hour:
+        once.by("FULL_DATETIME", _means(["USEDBYTES"]), timeseries.truncate_to_hour(src, "FULL_DATETIME"))
+    if by_account:
+        top = agg.top_k(once.groups("ACCOUNT", _sums(MEMORY_METRICS)), "USEDBYTES", "ACCOUNT", 10)
+        out.guarded("top_accounts_by_usedbytes", agg.keep_if_positive_total(top, "USEDBYTES"), ["USEDBYTES"])
+        out.guarded("memory_metrics_long", agg.to_long(top, "ACCOUNT", list(MEMORY_METRICS)), MEMORY_METRICS)
     if _has(src, "ACCOUNT", "USEDBYTES"):
-        keyed = filters.exclude_value(src, "ACCOUNT", MEMORY_ACCOUNT_DEFAULT).select(
-            as_text("ACCOUNT").alias("account_label"), "USEDBYTES")
-        # one aggregate gives frequency and mean per account; the 6 most frequent are a k-row top-k
-        g = agg.group_metrics(keyed, "account_label", [("__n", "count", "*"), ("USEDBYTES", "avg", "USEDBYTES")])
-        top = agg.top_k(g, "__n", "account_label", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
-        out["avg_usedbytes_by_account"] = _guard(agg.sort_by(top, "USEDBYTES", "account_label"), tot, ["USEDBYTES"])
-        out["usedbytes_density"] = _guard(density.kde(src, "USEDBYTES", bins=bins), tot, ["USEDBYTES"])
-    if _has(src, "FULL_DATETIME", "USEDBYTES"):
-        out["hourly_usedbytes"] = _guard(timeseries.hourly_mean(src, "FULL_DATETIME", "USEDBYTES",
-                                                                hour_col="FULL_DATETIME"), tot, ["USEDBYTES"])
+        keyed = filters.exclude_value(once.groups("ACCOUNT", frequent), "ACCOUNT", MEMORY_ACCOUNT_DEFAULT) \
+            .select(as_text("ACCOUNT").alias("account_label"), "__n", "USEDBYTES")
+        # frequency and mean come with the account's group; the 6 most frequent are a k-row top-k
+        top = agg.top_k(keyed, "__n", "account_label", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
+        out.guarded("avg_usedbytes_by_account", agg.sort_by(top, "USEDBYTES", "account_label"), ["USEDBYTES"])
+        out.guarded("usedbytes_density", density.kde(src, "USEDBYTES", bins=bins), ["USEDBYTES"])
+    if by_hour:
+        out.guarded("hourly_usedbytes", once.groups("FULL_DATETIME", _means(["USEDBYTES"])).orderBy("FULL_DATETIME"),
+                    ["USEDBYTES"])
     return out
 
 
 def transactions_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     src = dfs.get("usertcode")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, ("CPUTI", "RESPTI", *IO_COUNTS, *IO_BUFFERS, *COMM_METRICS))
+        return Section()
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total(("CPUTI", "RESPTI", *IO_COUNTS, *IO_BUFFERS, *COMM_METRICS))
+    counted = [("n_transactions", "count", "*")]
+    long_forms = [x for x in (("io_counts_long", IO_COUNTS, "PHYREADCNT", 10),
+                              ("io_buffers_records_long", IO_BUFFERS, "READDIRREC", 10),
+                              ("comm_metrics_long", COMM_METRICS, "DSQLCNT", 4)) if _has(src, "ACCOUNT", *x[1])]
+    if _has(src, "ACCOUNT"):
+        once.by("ACCOUNT", counted + (_means(["CPUTI"]) if _has(src, "CPUTI") else [])
+                + [m for _, cols, _, _ in long_forms for m in _sums(cols)])
+    if _has(src, "REPORT", "RESPTI"):
+        once.by("REPORT", _means(["RESPTI"]))
+    if _has(src, "FULL_DATETIME", "RESPTI"):
+        once.by("hour_bucket", _means(["RESPTI"]), hour_bucket("FULL_DATETIME"))
+
     if _has(src, "ACCOUNT", "CPUTI"):
-        top = agg.grouped_top_k(src, "ACCOUNT", [("CPUTI", "avg", "CPUTI")], "CPUTI", 10)
-        out["top_accounts_by_cpu"] = _guard(top.withColumn("cpu_seconds", ms_to_seconds("CPUTI")), tot, ["CPUTI"])
+        top = agg.top_k(once.groups("ACCOUNT", _means(["CPUTI"])), "CPUTI", "ACCOUNT", 10)
+        out.guarded("top_accounts_by_cpu", top.withColumn("cpu_seconds", ms_to_seconds("CPUTI")), ["CPUTI"])
     if _has(src, "REPORT", "RESPTI"):
-        top = agg.grouped_top_k(src, "REPORT", [("RESPTI", "avg", "RESPTI")], "RESPTI", 10)
-        out["top_reports_by_resp"] = _guard(agg.share_of_small(top, "RESPTI"), tot, ["RESPTI"])
+        top = agg.top_k(once.groups("REPORT", _means(["RESPTI"])), "RESPTI", "REPORT", 10)
+        out.guarded("top_reports_by_resp", agg.share_of_small(top, "RESPTI"), ["RESPTI"])
     if _has(src, "ACCOUNT"):
-        out["transactions_per_account"] = agg.top_k(agg.count_by(src, "ACCOUNT", "n_transactions"),
-                                                    "n_transactions", "ACCOUNT", 10)
+        out["transactions_per_account"] = agg.top_k(once.groups("ACCOUNT", counted), "n_transactions", "ACCOUNT", 10)
     if _has(src, "FULL_DATETIME", "RESPTI"):
-        b = timeseries.with_hour_bucket(src, "FULL_DATETIME", "hour_bucket")
-        out["resp_by_hour_bucket"] = _guard(timeseries.bucket_metrics_on_spine(
-            b, "hour_bucket", [("RESPTI", "avg", "RESPTI")], seconds=["RESPTI"]), tot, ["RESPTI"])
+        out.guarded("resp_by_hour_bucket", timeseries.on_spine(once.groups("hour_bucket", _means(["RESPTI"])),
+                                                               "hour_bucket", ["RESPTI"], seconds=["RESPTI"]), ["RESPTI"])
     if _has(src, "RESPTI", "CPUTI"):
         extra = [c for c in ("ACCOUNT", "ENTRY_ID") if c in src.columns]
         pairs = src.filter((F.col("RESPTI") > 0) & (F.col("CPUTI") > 0)).select("CPUTI", "RESPTI", *extra)
-        out["cpu_vs_resp_points"] = pairs.filter(tot.positive(["CPUTI"]) & tot.positive(["RESPTI"]))
-    for name, cols, order, k in (("io_counts_long", IO_COUNTS, "PHYREADCNT", 10),
-                                 ("io_buffers_records_long", IO_BUFFERS, "READDIRREC", 10),
-                                 ("comm_metrics_long", COMM_METRICS, "DSQLCNT", 4)):
-        if _has(src, "ACCOUNT", *cols):
-            top = agg.grouped_top_k(src, "ACCOUNT", [(c, "sum", c) for c in cols], order, k)
-            out[name] = _guard(agg.to_long(top, "ACCOUNT", list(cols)), tot, list(cols))
+        out["cpu_vs_resp_points"] = pairs.filter(once.positive(["CPUTI"]) & once.positive(["RESPTI"]))
+    for name, cols, order, k in long_forms:
+        top = agg.top_k(once.groups("ACCOUNT", _sums(cols)), order, "ACCOUNT", k)
+        out.guarded(name, agg.to_long(top, "ACCOUNT", list(cols)), cols)
     return out
 
 
 def hourly_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     src = dfs.get("times")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, ("PHYCALLS", *TOTAL_IO_PARTS, *HOURLY_TIMES))
+        return Section()
+    with_io = _has(src, "TIME", *TOTAL_IO_PARTS)
+    io = "__TOTAL_IO"
+    if with_io:
+        src = src.withColumn(io, sum((F.col(c) for c in TOTAL_IO_PARTS[1:]), F.col(TOTAL_IO_PARTS[0])))
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total(("PHYCALLS", *TOTAL_IO_PARTS, *HOURLY_TIMES))
+    wanted = [*(_sums(["PHYCALLS"]) if _has(src, "PHYCALLS") else []), *([("TOTAL_IO", "sum", io)] if with_io else []),
+              *(_means(HOURLY_TIMES) if _has(src, *HOURLY_TIMES) else [])]
+    if _has(src, "TIME"):
+        once.by("TIME", wanted)
     if _has(src, "TIME", "PHYCALLS"):
-        out["phycalls_by_time"] = _guard(timeseries.bucket_metrics_on_spine(
-            src, "TIME", [("PHYCALLS", "sum", "PHYCALLS")]), tot, ["PHYCALLS"])
-    if _has(src, "TIME", *TOTAL_IO_PARTS):
-        io = src.withColumn("TOTAL_IO", sum((F.col(c) for c in TOTAL_IO_PARTS[1:]), F.col(TOTAL_IO_PARTS[0])))
-        out["top_times_by_total_io"] = _guard(
-            agg.grouped_top_k(io, "TIME", [("TOTAL_IO", "sum", "TOTAL_IO")], "TOTAL_IO", 5), tot, list(TOTAL_IO_PARTS))
+        out.guarded("phycalls_by_time", timeseries.on_spine(once.groups("TIME", _sums(["PHYCALLS"])), "TIME",
+                                                            ["PHYCALLS"]), ["PHYCALLS"])
+    if with_io:
+        top = agg.top_k(once.groups("TIME", [("TOTAL_IO", "sum", io)]), "TOTAL_IO", "TIME", 5)
+        out.guarded("top_times_by_total_io", top, TOTAL_IO_PARTS)
     if _has(src, "TIME", *HOURLY_TIMES):
-        wide = timeseries.bucket_metrics_ordered(src, "TIME", [(c, "avg", c) for c in HOURLY_TIMES], to_seconds=True)
-        out["mean_times_by_time_long"] = _guard(agg.to_long(wide, "TIME", list(HOURLY_TIMES)), tot,
-                                                list(HOURLY_TIMES))
+        wide = timeseries.in_bucket_order(once.groups("TIME", _means(HOURLY_TIMES)), "TIME", HOURLY_TIMES,
+                                          to_seconds=True)
+        out.guarded("mean_times_by_time_long", agg.to_long(wide, "TIME", list(HOURLY_TIMES)), HOURLY_TIMES)
     return out
 
 
 def tasks_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     src = dfs.get("tasktimes")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, (*TASK_TIMES, "PHYCALLS"))
-    if _has(src, "ENTRY_ID", *TASK_TIMES):
-        top = agg.grouped_top_k(src, "ENTRY_ID", [(c, "avg", c) for c in TASK_TIMES], "RESPTI", 10)
-        out["mean_times_by_entry_long"] = _guard(agg.to_long(top, "ENTRY_ID", list(TASK_TIMES)), tot,
-                                                 list(TASK_TIMES))
-    if _has(src, "ENTRY_ID", "PHYCALLS"):
-        out["top_entries_by_phycalls"] = _guard(
-            agg.grouped_top_k(src, "ENTRY_ID", [("PHYCALLS", "sum", "PHYCALLS")], "PHYCALLS", 10), tot, ["PHYCALLS"])
+        return Section()
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total((*TASK_TIMES, "PHYCALLS"))
+    times, calls = _has(src, "ENTRY_ID", *TASK_TIMES), _has(src, "ENTRY_ID", "PHYCALLS")
+    if times:
+        once.by("ENTRY_ID", _means(TASK_TIMES))
+    if calls:
+        once.by("ENTRY_ID", _sums(["PHYCALLS"]))
+    if times:
+        top = agg.top_k(once.groups("ENTRY_ID", _means(TASK_TIMES)), "RESPTI", "ENTRY_ID", 10)
+        out.guarded("mean_times_by_entry_long", agg.to_long(top, "ENTRY_ID", list(TASK_TIMES)), TASK_TIMES)
+    if calls:
+        out.guarded("top_entries_by_phycalls",
+                    agg.top_k(once.groups("ENTRY_ID", _sums(["PHYCALLS"])), "PHYCALLS", "ENTRY_ID", 10), ["PHYCALLS"])
     return out
 
 
 def hitlist_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     src = dfs.get("hitlist_db")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, (*HITLIST_TIMES, "DBCALLS", "ROLLOUTCNT"))
-    if _has(src, "REPORT", *HITLIST_TIMES):
-        top = agg.grouped_top_k(src, "REPORT", [(c, "avg", c) for c in HITLIST_TIMES], "RESPTI", 10)
-        out["mean_times_by_report_long"] = _guard(agg.to_long(top, "REPORT", list(HITLIST_TIMES)), tot,
-                                                  list(HITLIST_TIMES))
-    if _has(src, "REPORT", "DBCALLS"):
-        out["top_reports_by_dbcalls"] = _guard(
-            agg.grouped_top_k(src, "REPORT", [("DBCALLS", "sum", "DBCALLS")], "DBCALLS", 10), tot, ["DBCALLS"])
-    if _has(src, "ACCOUNT", "ROLLOUTCNT"):
-        out["top_accounts_by_rollouts"] = _guard(
-            agg.grouped_top_k(src, "ACCOUNT", [("ROLLOUTCNT", "sum", "ROLLOUTCNT")], "ROLLOUTCNT", 10), tot,
-            ["ROLLOUTCNT"])
+        return Section()
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total((*HITLIST_TIMES, "DBCALLS", "ROLLOUTCNT"))
+    times, calls = _has(src, "REPORT", *HITLIST_TIMES), _has(src, "REPORT", "DBCALLS")
+    rollouts = _has(src, "ACCOUNT", "ROLLOUTCNT")
+    if times:
+        once.by("REPORT", _means(HITLIST_TIMES))
+    if calls:
+        once.by("REPORT", _sums(["DBCALLS"]))
+    if rollouts:
+        once.by("ACCOUNT", _sums(["ROLLOUTCNT"]))
+    if times:
+        top = agg.top_k(once.groups("REPORT", _means(HITLIST_TIMES)), "RESPTI", "REPORT", 10)
+        out.guarded("mean_times_by_report_long", agg.to_long(top, "REPORT", list(HITLIST_TIMES)), HITLIST_TIMES)
+    if calls:
+        out.guarded("top_reports_by_dbcalls",
+                    agg.top_k(once.groups("REPORT", _sums(["DBCALLS"])), "DBCALLS", "REPORT", 10), ["DBCALLS"])
+    if rollouts:
+        out.guarded("top_accounts_by_rollouts",
+                    agg.top_k(once.groups("ACCOUNT", _sums(["ROLLOUTCNT"])), "ROLLOUTCNT", "ACCOUNT", 10), ["ROLLOUTCNT"])
     return out
 
 
 def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("performance")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, ("WP_CPU_SECONDS",))
+        return Section()
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total(("WP_CPU_SECONDS",))
+    counted, timed = [("count", "count", "*")], _means(["WP_CPU_SECONDS"])
+    if _has(src, "WP_TYP"):
+        once.by("WP_TYP", counted + (timed if _has(src, "WP_CPU_SECONDS") else []))
     if _has(src, "WP_CPU_SECONDS"):
-        out["cpu_seconds_density"] = _guard(density.kde(src, "WP_CPU_SECONDS", bins=bins), tot, ["WP_CPU_SECONDS"])
+        out.guarded("cpu_seconds_density", density.kde(src, "WP_CPU_SECONDS", bins=bins), ["WP_CPU_SECONDS"])
     if _has(src, "WP_TYP"):
-        out["count_by_type"] = agg.sort_by(agg.count_by(src, "WP_TYP", "count"), "count", "WP_TYP")
+        out["count_by_type"] = agg.sort_by(once.groups("WP_TYP", counted), "count", "WP_TYP")
     if _has(src, "WP_TYP", "WP_CPU_SECONDS"):
-        g = agg.group_metrics(src, "WP_TYP", [("WP_CPU_SECONDS", "avg", "WP_CPU_SECONDS")])
-        out["mean_cpu_by_type"] = _guard(agg.sort_by(g, "WP_CPU_SECONDS", "WP_TYP"), tot, ["WP_CPU_SECONDS"])
+        out.guarded("mean_cpu_by_type", agg.sort_by(once.groups("WP_TYP", timed), "WP_CPU_SECONDS", "WP_TYP"),
+                    ["WP_CPU_SECONDS"])
     return out
 
 
 def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SERVER,
                      bins: int | None = None) -> dict[str, DataFrame]:
     src = dfs.get("sql_trace_summary")
-    out: dict[str, DataFrame] = {}
     if src is None:
-        return out
-    tot = _Totals(src, ("EXECTIME", "TIMEPEREXE", "RECPROCNUM"))
-    for name, fn, col in (("top_statements_by_exectime", "sum", "EXECTIME"),
-                          ("top_statements_by_time_per_exec", "avg", "TIMEPEREXE"),
-                          ("top_statements_by_records", "sum", "RECPROCNUM")):
-        if _has(src, "SQLSTATEM", col):
-            top = agg.grouped_top_k(src, "SQLSTATEM", [(col, fn, col)], col, 10)
-            out[name] = _guard(top.withColumn("statement_label", short_label("SQLSTATEM")), tot, [col])
-    if _has(src, "SERVERNAME", "AVGTPERREC"):
+        return Section()
+    # the density's guard is on the matching servers only: their values, and nothing elsewhere
+    matching = "__AVGTPERREC"
+    with_density = _has(src, "SERVERNAME", "AVGTPERREC")
+    if with_density:
+        here = filters.matches_ci("SERVERNAME", server_text)
+        src = src.withColumn(matching, F.when(here, F.col("AVGTPERREC")))
+    once = GroupedPass(src)
+    out = Section(once)
+    once.total(("EXECTIME", "TIMEPEREXE", "RECPROCNUM", matching))
+    shown = [x for x in (("top_statements_by_exectime", "sum", "EXECTIME"),
+                         ("top_statements_by_time_per_exec", "avg", "TIMEPEREXE"),
+                         ("top_statements_by_records", "sum", "RECPROCNUM")) if _has(src, "SQLSTATEM", x[2])]
+    for _, fn, col in shown:
+        once.by("SQLSTATEM", [(col, fn, col)])
+    for name, fn, col in shown:
+        top = agg.top_k(once.groups("SQLSTATEM", [(col, fn, col)]), col, "SQLSTATEM", 10)
+        out.guarded(name, top.withColumn("statement_label", short_label("SQLSTATEM")), [col])
+    if with_density:
         srv = filters.contains_ci(src, "SERVERNAME", server_text)
-        # the guard here is on the matching servers only
-        out["avg_time_per_record_density"] = _guard(density.kde(srv, "AVGTPERREC", bins=bins), _Totals(srv, ["AVGTPERREC"]),
-                                                    ["AVGTPERREC"])
+        out.guarded("avg_time_per_record_density", density.kde(srv, "AVGTPERREC", bins=bins), [matching])
     return out
 
 

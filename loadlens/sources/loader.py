@@ -18,6 +18,7 @@ from pyspark.sql.types import (DateType, DoubleType, StringType, StructField, St
 
 from loadlens.functions.cleaning import (clean_column_names, clean_string, compact_date, compact_datetime,
                                          eu_number, mm_ss_seconds, parse_datetime_text, to_double)
+from loadlens.sources.csv_ranges import fits_one_range, read_quoted_csv
 from loadlens.sources.specs import CATALOG, SourceSpec
 
 log = logging.getLogger(__name__)
@@ -48,13 +49,16 @@ def detect_format(path: str) -> str:
 def read_raw(spark: SparkSession, path: str, fmt: str | None = None, multi_line: bool = True) -> DataFrame:
     """CSV: header row, every column read as text (no inference), missing-value texts as null; Parquet: as stored.
 
-    Quoted CSV fields may hold doubled quotes, separators and line breaks. A file with quoted line breaks cannot be
-    split, so it is read by one task; pass ``multi_line=False`` for files known to have none (or use Parquet for large
-    data).
+    Quoted CSV fields may hold doubled quotes, separators and line breaks; such files are read in parallel by byte
+    ranges (``csv_ranges``). Files of one range in all, and with ``multi_line=False`` files known to have no line break
+    in quotes, are read by Spark's reader as they are: one scan, no pass over the quotes before it, the same rows.
     """
     fmt = fmt or detect_format(path)
     if fmt == "csv":
-        raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line).csv(path)
+        if multi_line and not fits_one_range(spark, path):
+            raw = read_quoted_csv(spark, path)
+        else:
+            raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line).csv(path)
         return raw.select(*[missing_to_null(F.col(f"`{c.replace('`', '``')}`")).alias(c) for c in raw.columns])
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -152,9 +156,9 @@ def load_source(spark: SparkSession, spec: SourceSpec | str, path: str, fmt: str
     return clean_frame(raw.toDF(*clean_column_names(raw.columns)), spec)
 
 
-def load_all(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
+def load_all(spark: SparkSession, paths: Mapping[str, str], multi_line: bool = True) -> dict[str, DataFrame]:
     """Load every catalogued source named in ``paths`` (source key -> file path)."""
-    return {key: load_source(spark, CATALOG[key], path) for key, path in paths.items()}
+    return {key: load_source(spark, CATALOG[key], path, multi_line=multi_line) for key, path in paths.items()}
 
 
 def all_empty(frames: Mapping[str, DataFrame]) -> bool:
