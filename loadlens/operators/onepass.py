@@ -1,11 +1,12 @@
 """Several group-bys and the grand total of one source in one scan.
 
 A report section groups the same rows by account, by report, by hour bucket and as a whole. ``GroupedPass`` collects
-these wishes and answers them with one plan: GROUPING SETS over the keys and the empty set, i.e.
+these wishes and answers them with one plan, grouping sets over the keys and the empty set:
 
-    scan -> Expand (a copy of the read columns per set) -> HashAggregate(partial) -> Exchange -> HashAggregate(final)
+    scan -> Generate (a row per set: its number and key) -> HashAggregate(partial) -> Exchange -> HashAggregate(final)
 
-The partial step combines map-side, so a hot key and the grand total ship one row per task each. The grouped table is
+(Spark's own GROUPING SETS would do the same by Expand, but a second use of such a plan in one query, as the guards need
+it, is not recognised as the held table.) The partial step combines map-side, so a hot key and the grand total ship one row per task each. The grouped table is
 held (MEMORY_AND_DISK, computed at the first use, recomputed from the source if an executor is lost); every output
 and every evidence guard is a filter on its set number. The size of what is held is that of the grouped keys, never of
 the rows. ``release`` gives it back.
@@ -32,6 +33,7 @@ class GroupedPass:
         self.keys: dict[str, Column] = {}
         self.metrics: dict[tuple[str, str], str] = {}
         self._held: DataFrame | None = None
+        self._sums: Column | None = None
 
     def _metric(self, func: str, column: str) -> str:
         if self._held is not None:
@@ -53,10 +55,8 @@ class GroupedPass:
                 self._metric("sum", c)
 
     def _set_number(self, name: str | None) -> int:
-        """What grouping_id() gives the rows of a set: a bit for every key that is not in it, the first key highest."""
-        n = len(self.keys)
-        every = (1 << n) - 1
-        return every if name is None else every - (1 << (n - 1 - list(self.keys).index(name)))
+        """The number of a key's set; the grand total comes last."""
+        return len(self.keys) if name is None else list(self.keys).index(name)
 
     @property
     def held(self) -> DataFrame:
@@ -74,9 +74,16 @@ class GroupedPass:
         aggs = [metric_expr(func, place.get(c, c), alias) for (func, c), alias in self.metrics.items()]
         if not keys:
             return rows.agg(*(aggs or [F.count(F.lit(1)).alias("n")])).withColumn("set", F.lit(0))
-        sets = [[F.col(k)] for k in keys] + [[]]
-        return rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.grouping_id().alias("set"), *aggs) \
-            .withColumn("set", F.col("set").cast("int"))
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        none = {k: F.lit(None).cast(kinds[k]).alias(k) for k in keys}
+        sets = [F.struct(F.lit(i).alias("set"), *[F.col(k) if j == i else none[k] for j, k in enumerate(keys)])
+                for i in range(len(keys) + 1)]
+        laid = rows.select(*[F.col(c) for c in place.values()], F.inline(F.array(*sets)))
+        own = [(F.col("set") == i) & F.col(k).isNotNull() for i, k in enumerate(keys)]
+        wanted = F.col("set") == len(keys)
+        for cond in own:
+            wanted |= cond
+        return laid.filter(wanted).groupBy("set", *keys).agg(*aggs)
 
     def groups(self, name: str, metrics: Sequence[MetricSpec], alias: str | None = None) -> DataFrame:
         """One row per non-null key: the key (named ``alias`` or ``name``) and the metrics under their aliases."""
@@ -94,8 +101,10 @@ class GroupedPass:
         known = [self.metrics["sum", c] for c in columns if ("sum", c) in self.metrics]
         if not known:
             return F.lit(False)
-        evidence = sum((F.coalesce(F.col(m).cast("double"), F.lit(0.0)) for m in known), F.lit(0.0))
-        return F.coalesce(self.totals().select((F.max(evidence) > 0).alias("ok")).scalar(), F.lit(False))
+        if self._sums is None:  # one scalar subquery for all guards
+            sums = [m for (func, _), m in self.metrics.items() if func == "sum"]
+            self._sums = self.totals().select(F.struct(*sums).alias("sums")).scalar()
+        return sum((F.coalesce(self._sums[m].cast("double"), F.lit(0.0)) for m in known), F.lit(0.0)) > 0
 
     def release(self) -> None:
         if self._held is not None:
