@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loadlens.llm.arrays import byte_batches, column
+from loadlens.llm.blocks import block_count
 from loadlens.llm.tokens import library_tokenizer
 from loadlens.llm.units import UnitEncoder
 
@@ -35,6 +36,8 @@ MAGIC = b"TOKSHARD"
 HEADER = struct.Struct(">8sQQQIIQ")
 GAMMA = 1.5
 BATCH_BYTES = 4 << 20
+#: Text bytes of one key range.
+SHARD_BYTES = 32 << 20
 JOINED = 64
 NO_KEY = np.iinfo(np.int64).min
 
@@ -180,11 +183,12 @@ def _encoder(path: str) -> UnitEncoder:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int) -> None:
-    """Encode whole texts and write one shard per key range (the session's shuffle partitions; about 32 MB of text
-    each is a good size, since a task holds its shard's ids)."""
+    """Encode whole texts and write one shard per key range. A task holds its shard's ids, so there are as many ranges as
+    the bytes of the texts ask for (``SHARD_BYTES`` each), and the session's shuffle partitions at least."""
     tok = library_tokenizer(tokenizer_path)
     width = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    ranged = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")) \
+    parts = max(block_count(docs, SHARD_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id", F.xxhash64("text")) \
         .sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +258,26 @@ def read_documents(spark: SparkSession, path: str, payload: bool = False) -> Dat
 
 
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
-    """doc_id and ids of each distinct key that the files hold: every shard looks up the keys of its own range.
+    """doc_id and ids of each distinct key that the files hold, one row a key: of repeated keys the first row.
 
-    Keys are joined to shards by range after both are cut to the shards' key ranges, so no shard sees all keys.
+    The files are ranges in key order, so a key can only begin in the first file whose last key is not smaller. That
+    file is found by binary search over the files' bounds (16 bytes a file, the only thing that is sent to all tasks);
+    keys then meet their file by its number, so no file sees all keys. Keys without a file have no row.
     """
-    bounds = shard_files(spark, path).mapInArrow(_bounds, "shard long, low long, high long")
-    routed = keys.select(F.col("doc_id").alias("key")).where("key is not null").distinct() \
-        .join(F.broadcast(bounds), F.col("key").between(F.col("low"), F.col("high")))  # one row per file
+    bounds = shard_files(spark, path).mapInArrow(_bounds, "shard long, low long, high long").toPandas() \
+        .sort_values("shard")  # one row per file
+    sent = spark.sparkContext.broadcast(tuple(bounds[c].to_numpy(np.int64) for c in ("shard", "low", "high")))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, low, high = sent.value
+        for b in batches:
+            key = column(b, "key").to_numpy()
+            at = np.searchsorted(high, key, "left")
+            inside = at < len(high)
+            inside[inside] = low[at[inside]] <= key[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(key[inside]), pa.array(shard[at[inside]])], ["key", "shard"])
+    routed = keys.select(F.col("doc_id").cast("long").alias("key")).where("key is not null").distinct() \
+        .mapInArrow(route, "key long, shard long")
     wanted = routed.groupBy("shard").agg(F.collect_list("key").alias("wanted"))  # at most a shard's keys each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +292,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
                                                   pa.list_(pa.int64()))], ["doc_id", "ids"])
     files = shard_files(spark, path).withColumn(
         "shard", F.conv(F.hex(F.substring("content", 9, 8)), 16, 10).cast("long"))
-    return files.join(wanted, "shard").select("content", "wanted").mapInArrow(run, "doc_id long, ids array<long>") \
-        .distinct()
+    return files.join(wanted, "shard").select("content", "wanted").mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

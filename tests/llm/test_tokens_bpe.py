@@ -181,6 +181,27 @@ def test_token_files_of_odd_rows_and_lookup(spark, tmp_path, extra):
     assert set(found) == {1, 4, 7} and found[7] == [*library(WORD, [ODD[-1][1]])[0].ids, 1]
 
 
+def test_lookup_of_keys_over_several_files(spark, tmp_path):
+    """A key that fills whole files has one row, its first; unknown keys inside and outside the ranges have none."""
+    path = str(tmp_path / "shards")
+    pairs = [(5, f"text number {i}") for i in range(400)] + [(10 * i, f"other {i}") for i in range(1, 31)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        tokenfiles.write_shards(texts(spark, pairs), WORD, path, end_id=1)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert tokenfiles.shard_files(spark, path).count() > 4
+    keys = spark.createDataFrame([(k,) for k in (5, 5, 10, 300, -1, 7, 15, 299, 301, None)], "doc_id long")
+    df = tokenfiles.lookup(spark, path, keys)
+    assert "NestedLoop" not in df._jdf.queryExecution().toString()
+    found = df.collect()
+    assert sorted(r["doc_id"] for r in found) == [5, 10, 300]
+    first = min((r for r in tokenfiles.read_documents(spark, path, payload=True).collect() if r["doc_id"] == 5),
+                key=lambda r: r["start"])
+    assert {r["doc_id"]: r["ids"] for r in found}[5] == first["ids"]
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "shards")
     tokenfiles.write_shards(texts(spark, []), WORD, path, end_id=1)
