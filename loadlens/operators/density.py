@@ -18,6 +18,13 @@ to the final merge. The only join is with the ``grid`` points themselves.
 each value moves at most half a bin width, i.e. (max-min)/(2*bins)); the
 (bin, weight) table is bounded by ``bins`` rows per task, which caps the
 kernel work at ``bins * grid`` per task whatever the data size.
+
+``kde_by_convolution`` is the form for large data: values are laid on a fine grid by linear binning (a value
+gives each of its two neighbours the share 1 - distance), which is a mergeable aggregate of bounded size, and
+the grid's weights are convolved with the kernel once. No value is shuffled. The fine step d is at most h / 16,
+and linear binning errs by at most d^2 / 8 times the kernel's largest second derivative, so
+
+    |density - exact density| <= (d / h)^2 / (8 h sqrt(2 pi)) <= 4.9e-4 / (h sqrt(2 pi))   at every point.
 """
 
 from __future__ import annotations
@@ -30,6 +37,9 @@ from pyspark.sql import functions as F
 DEFAULT_GRID = 500
 #: exp(-z^2 / 2) is 0 in double arithmetic beyond this z.
 KERNEL_REACH = 38.7
+#: Fine cells in a step of the curve's grid, at least; and in a bandwidth, at least.
+CELLS_PER_STEP = 16
+CELLS_PER_BANDWIDTH = 16
 
 
 def _weighted_stats(weighted: DataFrame):
@@ -76,13 +86,18 @@ def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float |
          F.col("st.sd") * F.pow(F.col("st.n").cast("double"), F.lit(-0.2)))
     shape = [F.col("st.lo").alias("lo"), F.col("st.hi").alias("hi"), F.col("st.n").alias("n"), h.alias("h")]
 
-    def grid_x(i: Column) -> Column:
-        return F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(float(grid))
-
     # The kernel work of a row is large for its bytes, so the rows are dealt evenly to a fixed number of partitions
     # that the adaptive planner does not merge by size.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ctx = weighted.repartition(parts).select("v", "w", st.alias("st")).filter(F.col("st.hi") > F.col("st.lo")) \
+    return _curve(weighted.repartition(parts), st, shape, grid)
+
+
+def _curve(weighted: DataFrame, st: Column, shape: list[Column], grid: int) -> DataFrame:
+    """The curve of (v, w) rows; ``st`` is a scalar subquery with n, lo, hi, ``shape`` names lo, hi, n and h."""
+    def grid_x(i: Column) -> Column:
+        return F.col("lo") + i * (F.col("hi") - F.col("lo")) / F.lit(float(grid))
+
+    ctx = weighted.select("v", "w", st.alias("st")).filter(F.col("st.hi") > F.col("st.lo")) \
         .select("v", "w", *shape)
     # grid points at which the kernel of v is not exactly 0 in double arithmetic
     step = (F.col("hi") - F.col("lo")) / F.lit(float(grid))
@@ -96,7 +111,36 @@ def kde(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float |
     contrib = F.col("w") * F.exp(F.lit(-0.5) * z * z) / norm
     dens = expanded.select("i", contrib.alias("c")).groupBy("i").agg(F.sum("c").alias("density"))
     # every grid point appears, also where no kernel reaches; at most ``grid`` rows on either side
-    points = df.sparkSession.range(grid).select(F.col("id").cast("int").alias("i"), st.alias("st")) \
+    points = weighted.sparkSession.range(grid).select(F.col("id").cast("int").alias("i"), st.alias("st")) \
         .filter(F.col("st.hi") > F.col("st.lo")).select("i", *shape)
     return points.join(F.broadcast(dens), "i", "left") \
         .select("i", grid_x(F.col("i")).alias("x"), F.coalesce("density", F.lit(0.0)).alias("density")).orderBy("i")
+
+
+def kde_by_convolution(df: DataFrame, column: str, grid: int = DEFAULT_GRID, bandwidth: float | None = None) -> DataFrame:
+    """Density curve as rows (i, x, density) by linear binning and one convolution (error bound: see the module).
+
+    Two scans of the column with partial aggregates: count, extremes and deviation; then per fine cell the number of
+    values and the sum of their distances from its lower edge. Null and NaN are no values; empty unless max > min.
+    """
+    if grid < 2:
+        raise ValueError("grid must be >= 2")
+    v = F.col(column).cast("double")
+    vals = df.select(v.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    st = vals.agg(F.struct(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                           F.stddev_samp("v").alias("sd")).alias("st")).scalar()
+    h = F.lit(float(bandwidth)) if bandwidth else F.col("st.sd") * F.pow(F.col("st.n").cast("double"), F.lit(-0.2))
+    step = (F.col("st.hi") - F.col("st.lo")) / F.lit(float(grid))
+    cells = F.greatest(F.lit(float(CELLS_PER_STEP)), F.ceil(F.lit(float(CELLS_PER_BANDWIDTH)) * step / h).cast("double"))
+    width = step / cells
+    laid = vals.select("v", st.alias("st")).filter(F.col("st.hi") > F.col("st.lo")) \
+        .select(((F.col("v") - F.col("st.lo")) / width).alias("at"), (cells * grid).alias("most"))
+    cell = F.least(F.floor("at"), F.col("most") - 1).cast("long")
+    lower = laid.select(cell.alias("cell"), (F.col("at") - cell).alias("over")) \
+        .groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.sum("over").alias("over"))
+    shares = F.array(F.struct(F.col("cell"), (F.col("k") - F.col("over")).alias("w")),
+                     F.struct((F.col("cell") + 1).alias("cell"), F.col("over").alias("w")))
+    nodes = lower.select(F.inline(shares)).groupBy("cell").agg(F.sum("w").alias("w"))
+    weighted = nodes.select("cell", "w", st.alias("st")).select((F.col("st.lo") + F.col("cell") * width).alias("v"), "w")
+    shape = [F.col("st.lo").alias("lo"), F.col("st.hi").alias("hi"), F.col("st.n").alias("n"), h.alias("h")]
+    return _curve(weighted, st, shape, grid)

@@ -121,6 +121,24 @@ FROM g, w, st WHERE st.hi > st.lo
 GROUP BY g.i, st.lo, st.hi ORDER BY 1"""
 
 
+def sql_kde_by_convolution(source: str) -> str:
+    """The curve from values laid on a fine grid by linear binning, stated anew."""
+    grid = float(density.DEFAULT_GRID)
+    return f"""
+WITH v AS (SELECT v FROM ({source}) s WHERE v IS NOT NULL AND NOT isnan(v)),
+r AS (SELECT count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS h FROM v),
+st AS (SELECT *, greatest(16.0, ceil(16.0 * ((hi - lo) / {grid}) / h)) AS cells FROM r WHERE hi > lo),
+p AS (SELECT (v.v - st.lo) / ((st.hi - st.lo) / {grid} / st.cells) AS pos, st.cells * {grid} AS most FROM v, st),
+c AS (SELECT least(floor(pos), most - 1) AS cell, pos FROM p),
+n AS (SELECT cell, 1 - (pos - cell) AS w FROM c UNION ALL SELECT cell + 1, pos - cell FROM c),
+w AS (SELECT st.lo + cell * ((st.hi - st.lo) / {grid} / st.cells) AS v, sum(w) AS w FROM n, st GROUP BY 1),
+g AS (SELECT range AS i FROM range(0, {density.DEFAULT_GRID}))
+SELECT CAST(g.i AS INTEGER) AS i, round(st.lo + g.i * (st.hi - st.lo) / {grid}, {ROUND}) AS x,
+       round(sum(w.w * exp(-0.5 * pow((st.lo + g.i * (st.hi - st.lo) / {grid} - w.v) / st.h, 2))
+                 / (st.n * st.h * sqrt(2 * pi()))), {ROUND_DENSITY}) AS density
+FROM g, w, st GROUP BY g.i, st.lo, st.hi"""
+
+
 # A numeric export column with junk in it: the JSON value of ``props``, except on
 # error events, where the whole raw JSON text stands in for a garbled cell.
 SQL_RAW_K = "CASE WHEN event_type = 'error' THEN props ELSE json_extract_string(props, '$.k') END"
@@ -130,8 +148,8 @@ def raw_k() -> Column:
     return F.when(F.col("event_type") == "error", F.col("props")).otherwise(F.get_json_object("props", "$.k"))
 
 
-def rounded_kde(df: DataFrame, column: str) -> DataFrame:
-    k = density.kde(df, column)
+def rounded_kde(df: DataFrame, column: str, curve=density.kde) -> DataFrame:
+    k = curve(df, column)
     return k.select(F.col("i").cast("int").alias("i"), F.round("x", ROUND).alias("x"),
                     F.round("density", ROUND_DENSITY).alias("density"))
 
@@ -174,6 +192,11 @@ def m3(spark, d):
     return rounded_kde(table(spark, d, "events"), "value")
 
 
+@register("M3_density_by_convolution", sql_kde_by_convolution("SELECT value AS v FROM events"))
+def m3_convolution(spark, d):
+    return rounded_kde(table(spark, d, "events"), "value", density.kde_by_convolution)
+
+
 @register("M4_hourly_mean", f"""
 SELECT date_trunc('hour', ts) AS hour, {xavg('value')} AS avg_value
 FROM events WHERE ts IS NOT NULL GROUP BY 1 ORDER BY 1""")
@@ -383,6 +406,12 @@ def w1(spark, d):
     return rounded_kde(ev, "cpu_seconds")
 
 
+@register("W1_density_by_convolution", sql_kde_by_convolution(f"SELECT CAST({SQL_MMSS_OF_TS} AS DOUBLE) AS v FROM events"))
+def w1_convolution(spark, d):
+    ev = table(spark, d, "events").select(mm_ss_seconds(F.date_format("ts", "mm:ss")).alias("cpu_seconds"))
+    return rounded_kde(ev, "cpu_seconds", density.kde_by_convolution)
+
+
 @register("W2_count_by_type", """
 SELECT event_type, COUNT(*) AS n_rows FROM events WHERE event_type IS NOT NULL GROUP BY event_type
 ORDER BY n_rows DESC, event_type ASC""")
@@ -424,6 +453,13 @@ def q2(spark, d):
     return rounded_kde(ev, "value")
 
 
+@register("Q2_density_by_convolution", sql_kde_by_convolution(
+    "SELECT value AS v FROM events WHERE contains(lower(event_type), lower('CLICK'))"))
+def q2_convolution(spark, d):
+    ev = filters.contains_ci(table(spark, d, "events"), "event_type", "CLICK")
+    return rounded_kde(ev, "value", density.kde_by_convolution)
+
+
 @register("Q3_time_per_exec_by_statement_top10", _statement_sql(xavg("n_chars"), "avg_n_chars"))
 def q3(spark, d):
     return _statement_top(spark, d, "avg", "n_chars", "avg_n_chars")

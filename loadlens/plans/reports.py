@@ -116,7 +116,12 @@ def _means(cols: Sequence[str]) -> list[agg.MetricSpec]:
     return [(c, "avg", c) for c in cols]
 
 
-def memory_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
+def _density(df: DataFrame, column: str, bins: int | None, exact: bool) -> DataFrame:
+    """A section's curve: by convolution, unless the exact one or equal-width bins are asked for."""
+    return density.kde(df, column, bins=bins) if bins or exact else density.kde_by_convolution(df, column)
+
+
+def memory_section(dfs: Mapping[str, DataFrame], bins: int | None = None, exact: bool = False) -> dict[str, DataFrame]:
     src = dfs.get("memory")
     if src is None:
         return Section()
@@ -141,7 +146,7 @@ def memory_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dic
         # frequency and mean come with the account's group; the 6 most frequent are a k-row top-k
         top = agg.top_k(keyed, "__n", "account_label", TOP_ACCOUNTS_FOR_MEAN).drop("__n")
         out.guarded("avg_usedbytes_by_account", agg.sort_by(top, "USEDBYTES", "account_label"), ["USEDBYTES"])
-        out.guarded("usedbytes_density", density.kde(src, "USEDBYTES", bins=bins), ["USEDBYTES"])
+        out.guarded("usedbytes_density", _density(src, "USEDBYTES", bins, exact), ["USEDBYTES"])
     if by_hour:
         out.guarded("hourly_usedbytes", once.groups("FULL_DATETIME", _means(["USEDBYTES"])).orderBy("FULL_DATETIME"),
                     ["USEDBYTES"])
@@ -264,7 +269,7 @@ def hitlist_section(dfs: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -> dict[str, DataFrame]:
+def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None, exact: bool = False) -> dict[str, DataFrame]:
     src = dfs.get("performance")
     if src is None:
         return Section()
@@ -275,7 +280,7 @@ def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -
     if _has(src, "WP_TYP"):
         once.by("WP_TYP", counted + (timed if _has(src, "WP_CPU_SECONDS") else []))
     if _has(src, "WP_CPU_SECONDS"):
-        out.guarded("cpu_seconds_density", density.kde(src, "WP_CPU_SECONDS", bins=bins), ["WP_CPU_SECONDS"])
+        out.guarded("cpu_seconds_density", _density(src, "WP_CPU_SECONDS", bins, exact), ["WP_CPU_SECONDS"])
     if _has(src, "WP_TYP"):
         out["count_by_type"] = agg.sort_by(once.groups("WP_TYP", counted), "count", "WP_TYP")
     if _has(src, "WP_TYP", "WP_CPU_SECONDS"):
@@ -285,7 +290,7 @@ def workprocess_section(dfs: Mapping[str, DataFrame], bins: int | None = None) -
 
 
 def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SERVER,
-                     bins: int | None = None) -> dict[str, DataFrame]:
+                     bins: int | None = None, exact: bool = False) -> dict[str, DataFrame]:
     src = dfs.get("sql_trace_summary")
     if src is None:
         return Section()
@@ -308,7 +313,7 @@ def sqltrace_section(dfs: Mapping[str, DataFrame], server_text: str = DEFAULT_SE
         out.guarded(name, top.withColumn("statement_label", short_label("SQLSTATEM")), [col])
     if with_density:
         srv = filters.contains_ci(src, "SERVERNAME", server_text)
-        out.guarded("avg_time_per_record_density", density.kde(srv, "AVGTPERREC", bins=bins), [matching])
+        out.guarded("avg_time_per_record_density", _density(srv, "AVGTPERREC", bins, exact), [matching])
     return out
 
 
