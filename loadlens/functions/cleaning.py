@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, NumericType, StringType
 
@@ -146,10 +146,59 @@ def compact_datetime(date_c: Column | str, time_c: Column | str) -> Column:
 
 
 def parse_datetime_text(c: Column | str) -> Column:
-    """Fallback: an existing date-time text column -> timestamp_ntz (invalid -> null)."""
+    """A date-time text in ISO form -> timestamp_ntz (invalid -> null); see ``parse_datetime_column`` for other forms."""
     return _tc(_col(c).cast("string"), "timestamp_ntz")
 
 
+# fixed values: the written forms of a date-time column that are told apart, in the order that settles ties (a date that
+# can be read either way is month first); None is the ISO form. The time part may be missing.
+_TIME = "[ H:m[:s]]"
+DATETIME_FORMS = (
+    None,
+    f"M/d/yyyy{_TIME}", f"d/M/yyyy{_TIME}", f"d.M.yyyy{_TIME}", f"M-d-yyyy{_TIME}", f"d-M-yyyy{_TIME}",
+    f"yyyy/M/d{_TIME}", f"yyyy.M.d{_TIME}",
+    f"d MMM yyyy{_TIME}", f"d MMMM yyyy{_TIME}", f"MMM d, yyyy{_TIME}", f"MMMM d, yyyy{_TIME}", f"d-MMM-yyyy{_TIME}",
+    "M/d/yyyy h:m[:s] a", "d/M/yyyy h:m[:s] a",
+    f"M/d/yy{_TIME}", f"d/M/yy{_TIME}", f"d.M.yy{_TIME}", f"d-MMM-yy{_TIME}",
+)
+#: Two-digit years from here on belong to the century before.
+PIVOT_YEAR = 2069
+
+
+def _by_form(text: Column, form: str | None) -> Column:
+    if form is None:
+        return _tc(text, "timestamp_ntz")
+    ts = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    if "yyyy" in form:
+        return ts
+    return F.when(F.year(ts) >= PIVOT_YEAR, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
+
+
+def datetime_form(df: DataFrame, column: str) -> Column:
+    """The form that parses most cells of a text column, as its number in DATETIME_FORMS: a scalar subquery.
+
+    One pass with a partial aggregate counts for every form the cells that it parses; ties go to the form listed first.
+    Null if no cell has any of the forms. A form is the column's, not the cell's: 3/4 is read like the rest of its column.
+    """
+    text = F.trim(F.col(f"`{column}`").cast("string"))
+    votes = [F.count(_by_form(text, form)).alias(f"n{i}") for i, form in enumerate(DATETIME_FORMS)]
+    ranked = [F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(DATETIME_FORMS))]
+    best = F.array_max(F.array(*ranked))
+    return df.agg(*votes).select(F.when(best["n"] > 0, -best["i"]).alias("form")).scalar()
+
+
+def parse_datetime_column(df: DataFrame, column: str) -> Column:
+    """A text column read in the form that most of its cells have -> timestamp_ntz; cells of another form -> null.
+
+    Lazy: the vote is evaluated with the output. Each cell is parsed once, by the winner.
+    """
+    text, form = F.trim(F.col(f"`{column}`").cast("string")), datetime_form(df, column)
+    parsed = F.lit(None).cast("timestamp_ntz")
+    for i, f in reversed(list(enumerate(DATETIME_FORMS))):
+        parsed = F.when(form == i, _by_form(text, f)).otherwise(parsed)
+    return parsed
+
+
 def compact_date(c: Column | str) -> Column:
     """``yyyyMMdd`` -> date; the ``00000000`` sentinel and invalid text -> null."""
     s = F.nullif(_col(c).cast("string"), F.lit(ZERO_DATE))

@@ -17,12 +17,13 @@ bit-identical to the SQL; other floating results are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadlens.functions.cleaning import (clean_string, compact_date, compact_datetime, eu_number, mm_ss_seconds,
-                                         parse_datetime_text, short_label, thousands_label, to_double)
+                                         parse_datetime_column, parse_datetime_text, short_label, thousands_label, to_double)
 from loadlens.operators import aggregates as agg
 from loadlens.operators import anomaly, density, filters, kpis, timeseries
 from loadlens.sources.loader import preview, profile
@@ -783,6 +784,30 @@ def c7(spark, d):
     return table(spark, d, "events").select("event_id", text.alias("t")).select("event_id", parse_datetime_text("t").alias("parsed"))
 
 
+# Columns written in one form, with junk on error events and every 50th cell in another form: the vote finds the form,
+# all other cells are null. The SQL states which cells those are.
+_FORMS = {"day_first": ("dd/MM/yyyy HH:mm:ss", "second"), "dotted": ("d.M.yyyy H:mm", "minute"),
+          "month_name": ("d MMM yyyy HH:mm:ss", "second"), "two_digit_year": ("dd/MM/yy HH:mm", "minute"),
+          "year_first": ("yyyy/MM/dd HH:mm:ss", "second"), "twelve_hours": ("MM/dd/yyyy hh:mm:ss a", "second")}
+
+
+def _inferred(spark, d):
+    ev = table(spark, d, "events")
+    out = []
+    for name, (form, _) in _FORMS.items():
+        text = F.when(F.col("event_type") == "error", F.lit("not a date")) \
+            .when(F.col("event_id") % 50 == 7, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")) \
+            .otherwise(F.date_format("ts", form))
+        column = ev.select("event_id", text.alias("t"))
+        out.append(column.select(F.lit(name).alias("column"), "event_id", parse_datetime_column(column, "t").alias("parsed")))
+    return reduce(DataFrame.unionByName, out)
+
+
+register("C7_inferred_date_time_forms", "\nUNION ALL ".join(
+    f"SELECT '{name}' AS \"column\", event_id, CASE WHEN event_type <> 'error' AND event_id % 50 <> 7 "
+    f"THEN date_trunc('{unit}', ts) END AS parsed FROM events" for name, (_, unit) in _FORMS.items()))(_inferred)
+
+
 @register("C2_clean_dirty_cells", f"""
 SELECT event_id, {sql_clean_string("CASE WHEN event_type = 'error' THEN 'nan' WHEN user_id % 4 = 0 THEN chr(160) || chr(9) "
                                    "WHEN user_id % 4 = 1 THEN NULL WHEN user_id % 4 = 2 THEN ' é' || chr(7) || event_type || ' ü ' "

@@ -17,7 +17,7 @@ from pyspark.sql.types import (DateType, DoubleType, StringType, StructField, St
                                TimestampType)
 
 from loadlens.functions.cleaning import (clean_column_names, clean_string, compact_date, compact_datetime,
-                                         eu_number, mm_ss_seconds, parse_datetime_text, to_double)
+                                         eu_number, mm_ss_seconds, parse_datetime_column, to_double)
 from loadlens.sources.csv_ranges import fits_one_range, read_quoted_csv
 from loadlens.sources.specs import CATALOG, SourceSpec
 
@@ -108,7 +108,7 @@ def clean_frame(df: DataFrame, spec: SourceSpec) -> DataFrame:
     if spec.date_time and all(c in present for c in spec.date_time):
         exprs[dt] = compact_datetime(*spec.date_time).alias(dt)
     elif dt in present and not isinstance(types[dt], (TimestampType, TimestampNTZType)):
-        exprs[dt] = parse_datetime_text(dt).alias(dt)
+        exprs[dt] = parse_datetime_column(df, dt).alias(dt)
 
     if spec.compact_date:
         src, dst = spec.compact_date
