@@ -7,15 +7,19 @@ of points counts.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.functions.timebuckets import hour_bucket
+from loadlens.operators import aggregates as agg
+from loadlens.operators import regression
 from loadlens.plans import reports
 from loadlens.plans.catalog import SQL_SPINE, register, sql_bucket, table
-from loadlens.sources.loader import clean_frame
+from loadlens.session import checkpoint_dir
+from loadlens.sources.loader import all_empty, clean_frame, load_all
 from loadlens.sources.specs import CATALOG
 
 DIGITS = 3
@@ -265,3 +269,78 @@ def r_anomalies(spark, d):
     limit = out["threshold"].withColumn("k", F.lit("all"))
     return _union(_long("limit", limit, "k", "threshold", "n_anomalies"), _long("rows", out["anomalies"], "REPORT", "RESPTI"),
                   _count("overlay", out["overlay"]))
+
+
+# --- exports written as CSV and loaded again (S1-S4, C1, F14), critical columns (C9), a forced tree (P7-P12) ------------
+
+_ORDERS = ("(SELECT CASE WHEN o_custkey % 11 = 0 THEN 'Compte Inconnu' ELSE 'a \"' || (o_custkey % 50) || '\",' || chr(10) || 'x' END "
+           "AS acc, o_totalprice AS v, o_orderpriority AS p FROM orders) o")
+
+
+@register("S_load_all_csv_exports", _all(
+    _sql("memory", "acc", _ORDERS, {"USEDBYTES": "SUM(v)", "n": "COUNT(*)"}),
+    _sql("tasks", "p", f"(SELECT * FROM {_ORDERS} WHERE p IN ('1-URGENT', '5-LOW')) t", {"RESPTI": "SUM(v)"}),
+    "SELECT 'missing' AS output, 'performance' AS key, 'rows' AS metric, CAST(0 AS DOUBLE) AS value",
+    "SELECT 'gate', 'all', 'empty', CAST(0 AS DOUBLE)"))
+def r_load_csv(spark, d):
+    """Tables written as CSV into the shared folder (headers to be cleaned, quoted line breaks, missing-value texts), read
+    by ``load_all`` with a source that does not exist, and filtered by task type."""
+    o = table(spark, d, "orders")
+    account = F.when(F.col("o_custkey") % 11 == 0, F.lit("NULL")).otherwise(
+        F.concat(F.lit('a "'), F.col("o_custkey") % 50, F.lit('",\nx')))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/exports-{uuid.uuid4().hex}"
+    o.select(account.alias(" ACCOUNT."), F.col("o_totalprice").alias("USEDBYTES "), F.lit("1").alias("(MAXBYTES)")) \
+        .write.csv(f"{folder}/memory.csv", header=True, quote='"', escape='"')
+    o.select(F.col("o_orderpriority").alias("TASKTYPE"), F.col("o_orderpriority").alias("TIME"),
+             F.col("o_totalprice").alias("RESPTI"), F.lit("1").alias("COUNT"), F.lit("x").alias("CPUTI")) \
+        .write.csv(f"{folder}/tasktimes.csv", header=True, quote='"', escape='"')
+    frames = load_all(spark, {"memory": f"{folder}/memory.csv", "tasktimes": f"{folder}/tasktimes.csv",
+                              "performance": f"{folder}/no-such-file.csv"})
+    chosen = reports.apply_filters(frames, reports.Filters(tasktypes=["1-URGENT", "5-LOW"]))
+    memory = agg.group_metrics(chosen["memory"], "ACCOUNT", [("USEDBYTES", "sum", "USEDBYTES"), ("n", "count", "*")])
+    tasks = agg.group_metrics(chosen["tasktimes"], "TIME", [("RESPTI", "sum", "RESPTI")])
+    gate = spark.range(1).select(F.lit("gate").alias("output"), F.lit("all").alias("key"), F.lit("empty").alias("metric"),
+                                 F.lit(float(all_empty(frames))).alias("value"))
+    missing = _count("missing", frames["performance"]).withColumn("key", F.lit("performance"))
+    return _union(_long("memory", memory, "ACCOUNT", "USEDBYTES", "n"), _long("tasks", tasks, "TIME", "RESPTI"), missing, gate)
+
+
+@register("C9_rows_without_critical_columns", """
+SELECT 'usertcode' AS source, event_id, event_type AS account FROM events WHERE event_type <> 'error'
+UNION ALL SELECT 'hitlist_db', event_id, event_type FROM events WHERE user_id % 3 <> 0
+UNION ALL SELECT 'memory', event_id, CASE WHEN event_type = 'error' THEN 'Compte Inconnu' ELSE event_type END FROM events""")
+def c9(spark, d):
+    """Rows with missing cells go into the sources' cleaning: an account that is cleaned after the drop drops its row, one
+    that is cleaned before has a default; a date that cannot be read drops the row where it is critical."""
+    ev = table(spark, d, "events")
+    account = F.when(F.col("event_type") != "error", F.col("event_type"))
+    day = F.when(F.col("user_id") % 3 == 0, F.lit("20241399")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    numbers = [F.lit("1").alias(c) for c in ("RESPTI", "PROCTI", "CPUTI", "DBCALLS", "COUNT", "USEDBYTES")]
+    raw = {"usertcode": ev.select("event_id", account.alias("ACCOUNT"), *numbers),
+           "hitlist_db": ev.select("event_id", F.col("event_type").alias("ACCOUNT"), *numbers, day.alias("ENDDATE"),
+                                   F.date_format("ts", "Hmmss").alias("ENDTIME")),
+           "memory": ev.select("event_id", account.alias("ACCOUNT"), *numbers)}
+    return _union(*[clean_frame(df, CATALOG[name]).select(F.lit(name).alias("source"), "event_id",
+                                                          F.col("ACCOUNT").alias("account")) for name, df in raw.items()])
+
+
+@register("P7_P12_forced_split", """
+SELECT 'importance' AS part, 'event_type=' || event_type AS key, CAST(event_type = 'click' AS DOUBLE) AS value
+FROM (SELECT DISTINCT event_type FROM events)
+UNION ALL SELECT 'prediction', CASE WHEN event_type = 'click' THEN '10.0' ELSE '20.0' END,
+       CAST(CASE WHEN event_type = 'click' THEN 10.0 ELSE 20.0 END AS DOUBLE) FROM (SELECT DISTINCT event_type = 'click' AS c,
+       CASE WHEN event_type = 'click' THEN 'click' ELSE 'other' END AS event_type FROM events)
+UNION ALL SELECT 'metric', 'r2', CAST(1 AS DOUBLE) UNION ALL SELECT 'metric', 'mae', CAST(0 AS DOUBLE)""")
+def forced_split(spark, d):
+    """A target that one category decides: every tree has that one split, whatever the sample."""
+    ev = table(spark, d, "events").select(
+        "event_type", F.when(F.col("event_type") == "click", 10.0).otherwise(20.0).alias("target"))
+    run = regression.fit_forest(ev, "target", num_trees=3)
+    imp = regression.importances(run, top=None).select(F.lit("importance").alias("part"), F.col("feature").alias("key"),
+                                                       F.col("importance").alias("value"))
+    seen = run.predictions.select(F.lit("prediction").alias("part"), F.col("target").cast("string").alias("key"),
+                                  F.col("prediction").alias("value")).distinct()
+    m = regression.metrics(run)
+    score = m.select(F.lit("metric").alias("part"), F.inline(F.array(
+        *[F.struct(F.lit(c).alias("key"), F.round(c, 6).alias("value")) for c in ("r2", "mae")])))
+    return _union(imp, seen, score)
