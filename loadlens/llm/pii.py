@@ -581,8 +581,9 @@ def carriers(docs: DataFrame, rows: int = 400) -> list[str]:
     """Lines of the corpus for the labelled table: a line without digits of each of the ``rows`` documents with the
     smallest hash. A bounded training sample; what is searched is every text."""
     line = F.regexp_extract("text", r"(?m)^([^0-9@\n]{40,%d})" % CARRIER_CHARS, 1)
-    found = docs.where("doc_id is not null and text is not null").select("doc_id", "text") \
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select(line.alias("line")).where("line != ''")
+    # only the short lines take part in the top-k, never whole texts
+    found = docs.where("doc_id is not null").select("doc_id", line.alias("line")).where("line != ''") \
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(rows).select("line")
     return sorted({r[0] for r in found.collect()})
 
 
