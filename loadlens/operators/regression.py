@@ -84,24 +84,38 @@ def feature_profile(df: DataFrame, features: Sequence[str]) -> DataFrame:
 ROW_HASH = "__row_hash"
 
 
+def row_text(df: DataFrame, seed: int = SEED) -> Column:
+    """The seed and the texts of all columns, each behind a separator; a null is a mark of its own."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in df.columns]
+    return F.concat_ws("\x1f", F.lit(str(seed)), *cells)
+
+
 def with_row_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
-    """Add a 64-bit hash of the seed, all columns, and the row's number among its exact copies.
+    """Add a 60-bit hash of the seed, all columns, and the row's number among its exact copies.
 
-    It depends on nothing but the table's rows: not on files, partitions or cores. Copies are numbered by a window per
-    distinct row in two steps, so that a row repeated billions of times is no single task's work: within a salt (the
-    scan's own row ids spread it), then by the sizes of the salts before. Which copy has which number is immaterial.
+    It depends on nothing but the table's rows: not on files, partitions or cores; and as MD5 of texts it can be stated
+    in any SQL. Digests are counted first (a partial aggregate of 16-byte keys): a row whose digest is the only one has
+    number 1 and is not moved at all where few rows have copies. Copies are numbered by a window per distinct row in two
+    steps, so that a row repeated billions of times is no single task's work: within a salt (the scan's own row ids
+    spread it), then by the sizes of the salts before. Which copy has which number is immaterial.
     """
-    plain = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns])
-    rows = df.withColumn("__plain", plain).withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)))
-    numbered = rows.withColumn("__n", F.row_number().over(
+    rows = df.withColumn("__plain", F.md5(row_text(df, seed).cast("binary")))
+    twice = rows.groupBy("__plain").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__plain")
+    salted = rows.join(twice, "__plain", "left_semi") \
+        .withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)))
+    numbered = salted.withColumn("__n", F.row_number().over(
         Window.partitionBy("__plain", "__salt").orderBy(F.lit(1))))
-    # only rows with copies have salts before theirs; all others keep number 1
-    sizes = rows.groupBy("__plain", "__salt").agg(F.count(F.lit(1)).alias("__c"))
+    # both branches number the rows of one scan, whose splits are the same within a query
     before = Window.partitionBy("__plain").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy("__plain", "__salt").agg(F.max("__n").alias("__c"))
     first = sizes.withColumn("__first", F.sum("__c").over(before)).filter("__first > 0").drop("__c")
-    return numbered.join(first, ["__plain", "__salt"], "left") \
-        .withColumn(ROW_HASH, F.xxhash64("__plain", F.coalesce("__first", F.lit(0)) + F.col("__n"))) \
-        .drop("__plain", "__salt", "__n", "__first")
+    copies = numbered.join(first, ["__plain", "__salt"], "left") \
+        .withColumn("__n", F.coalesce("__first", F.lit(0)) + F.col("__n"))
+    alone = rows.join(twice, "__plain", "left_anti").withColumn("__n", F.lit(1).cast("long"))
+    own = F.md5(F.concat(F.col("__plain"), F.lit(":"), F.col("__n").cast("string")).cast("binary"))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return alone.select(*names, "__plain", "__n").unionByName(copies.select(*names, "__plain", "__n")) \
+        .select(*names, F.conv(F.substring(own, 1, 15), 16, 10).cast("long").alias(ROW_HASH))
 
 
 def in_training() -> Column:
@@ -305,15 +319,20 @@ def importances(run: ForestRun, top: int | None = TOP_IMPORTANCES) -> DataFrame:
     return ranked.limit(top) if top else ranked
 
 
-def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``n`` (actual, predicted) test rows, those with the smallest seeded row hash (P13): a k-row top-k.
+def sample_rows(test: DataFrame, actual: str, predicted: str, n: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``n`` (actual, predicted) rows, those with the smallest seeded row hash (P13): a k-row top-k.
 
     Copies of one row have different hashes, so a hot group of copies takes its fair share of the sample.
     """
-    return (run.predictions.select(F.col(run.target).alias("actual"), F.col("prediction").alias("predicted"), ROW_HASH)
+    return (test.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"), ROW_HASH)
             .orderBy(ROW_HASH, "actual", "predicted").limit(n).drop(ROW_HASH))
 
 
+def actual_vs_predicted_sample(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
+    """The plotted sample of the test part."""
+    return sample_rows(run.predictions, run.target, "prediction", n)
+
+
 def sample_trend(run: ForestRun, n: int = SAMPLE_ROWS) -> DataFrame:
     """Least-squares line predicted ~ actual over the plotted sample (P14): one row."""
     smp = actual_vs_predicted_sample(run, n)

@@ -944,17 +944,40 @@ def p11(spark, d):
                     F.round("trend_intercept", 3).alias("trend_intercept"))
 
 
-@register("P5_split_of_rows_and_copies", """
-SELECT 'rows' AS part, COUNT(*) AS n, true AS near_80_percent FROM lineitem
-UNION ALL SELECT 'copies', COUNT(*), true FROM (SELECT l_returnflag FROM lineitem)""")
+def sql_row_hash(columns: list[str], source: str) -> str:
+    """Every row of ``source`` with its hash: MD5 of the seed, the columns' texts and the number among its copies."""
+    cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in columns)
+    return (f"(SELECT *, CAST('0x' || substr(md5(plain || ':' || row_number() OVER (PARTITION BY plain)), 1, 15) AS BIGINT) "
+            f"AS h FROM (SELECT *, md5(concat_ws(chr(31), '{regression.SEED}', {cells})) AS plain FROM {source}) s)")
+
+
+_SPLIT = ["l_orderkey", "l_linenumber", "l_returnflag"]
+
+
+@register("P5_split_of_rows_and_copies", f"""
+SELECT 'rows' AS part, concat_ws('-', l_orderkey, l_linenumber) AS row, h % 10 < 8 AS train, 1 AS n
+FROM {sql_row_hash(_SPLIT, "lineitem")} a
+UNION ALL SELECT 'copies', l_returnflag, h % 10 < 8, COUNT(*) FROM {sql_row_hash(["l_returnflag"], "lineitem")} b GROUP BY 2, 3""")
 def p5(spark, d):
-    """The training share over whole rows, and over a projection that is copies of few distinct rows."""
-    def part(name: str, df: DataFrame) -> DataFrame:
-        flagged = regression.with_row_hash(df).select(regression.in_training().cast("int").alias("t"))
-        return flagged.agg(F.lit(name).alias("part"), F.count("t").alias("n"),
-                           (F.abs(F.avg("t") - 0.8) < 0.01).alias("near_80_percent"))
-    li = table(spark, d, "lineitem")
-    return part("rows", li).unionByName(part("copies", li.select("l_returnflag")))
+    """The training flag of every row, and how many copies of a few distinct rows go to either part."""
+    li = table(spark, d, "lineitem").select(*_SPLIT)
+    rows = regression.with_row_hash(li).select(
+        F.lit("rows").alias("part"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row"),
+        regression.in_training().alias("train"), F.lit(1).cast("long").alias("n"))
+    copies = regression.with_row_hash(li.select("l_returnflag")) \
+        .groupBy(F.col("l_returnflag").alias("row"), regression.in_training().alias("train")) \
+        .agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("copies"))
+    return rows.unionByName(copies)
+
+
+@register("P13_sample_of_test_rows", f"""
+SELECT l_orderkey AS actual, l_linenumber AS predicted FROM {sql_row_hash(_SPLIT, "lineitem")} a
+WHERE h % 10 >= 8 ORDER BY h, l_orderkey, l_linenumber LIMIT {regression.SAMPLE_ROWS}""")
+def p13_rows(spark, d):
+    """The plotted sample of test rows, with two columns of the table as actual and predicted values."""
+    hashed = regression.with_row_hash(table(spark, d, "lineitem").select(*_SPLIT))
+    test = hashed.filter(~regression.in_training())
+    return regression.sample_rows(test, "l_orderkey", "l_linenumber")
 
 
 @register("P_forest_metrics")
