@@ -15,9 +15,8 @@ asks for, so the forest's per-partition bagging does not depend on the cluster
 either. The prepared frame is persisted for the many passes of the fit,
 node-id caches and the predictions are checkpointed into the shared folder.
 Only bounded things reach the driver: one row of per-feature statistics, one
-mode per text column, the importance vector, and the distinct labels of the
-text features (one-hot encoding needs a slot for each; ``max_categories``
-bounds them on request).
+mode and one number of categories per text column, and the importance vector.
+The labels of text features stay in a distributed dictionary (``encoding``).
 """
 
 from __future__ import annotations
@@ -25,17 +24,18 @@ from __future__ import annotations
 import logging
 import time
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType,
                                TimestampNTZType, TimestampType)
 
+from loadlens.operators.encoding import SlotEncoder, category_counts, label_slots, slot_names
 from loadlens.session import checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -146,9 +146,14 @@ class ForestRun:
     train: DataFrame
     test: DataFrame
     predictions: DataFrame
-    feature_names: list[str] = field(default_factory=list)
+    names: DataFrame
     n_train: int = 0
 
+    @property
+    def feature_names(self) -> list[str]:
+        """The slot names in order, on the driver; for vectors of moderate size."""
+        return [r["feature"] for r in self.names.orderBy("position").collect()]
+
 
 def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None, num_trees: int = NUM_TREES,
                max_depth: int = DEFAULT_MAX_DEPTH, max_categories: int | None = None,
@@ -204,7 +209,11 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
             train, test = train.na.fill(fill), test.na.fill(fill)
             if max_categories:
                 train, test = _cap_categories(train, test, text, max_categories)
-        phase("modes")
+        slots, sizes = None, {}
+        if text:
+            slots = label_slots(train, text)
+            sizes = category_counts(slots, text)
+        phase("modes, slots")
 
         stages = []
         vec_inputs = []
@@ -217,10 +226,9 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
         if text:
             idx = [f"{c}__idx" for c in text]
             ohe = [f"{c}__ohe" for c in text]
-            stages += [StringIndexer(inputCols=text, outputCols=idx, handleInvalid="keep"),
-                       # the indexer's extra "unseen" index is the last slot, which dropLast removes:
-                       # an unseen category encodes as all zeros
-                       OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True)]
+            # the slot behind the last is for what training has not seen; dropLast removes it: all zeros
+            stages.append(SlotEncoder(slots, sizes, lambda rows: _dealt(rows, parts)))
+            stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
             vec_inputs += ohe
         stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features"))
         # node ids are cached between levels and checkpointed into the shared folder
@@ -237,7 +245,7 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
         # Every output (metrics, sample, trend) reads the test-part predictions: written once to the shared folder
         # while the persisted copy is there, so nothing stays cached and no executor is needed for them.
         predicted = model.transform(test).select(target, *numeric, *text, ROW_HASH, "features", "prediction")
-        names = _feature_names(predicted, numeric)
+        names = _slot_names(df.sparkSession, numeric, slots, sizes)
         preds = predicted.drop("features").checkpoint()
         phase("predict test part")
     finally:
@@ -260,21 +268,17 @@ def _cap_categories(train: DataFrame, test: DataFrame, text: Sequence[str], k: i
     return train, test
 
 
-def _feature_names(preds: DataFrame, numeric: Sequence[str]) -> list[str]:
-    """Slot names from the assembled vector's ML attribute metadata.
+def _dealt(df: DataFrame, parts: int) -> DataFrame:
+    """Rows in the order that the row hash gives, wherever a join has left them."""
+    if ROW_HASH not in df.columns:
+        return df
+    return df.repartition(parts, ROW_HASH).sortWithinPartitions(ROW_HASH)
 
-    Standardised numeric slots come first (generic ``__num_std_<i>`` names are
-    mapped back to the input columns); one-hot slots read ``column=category``.
-    """
-    meta = preds.schema["features"].metadata.get("ml_attr", {})
-    attrs = [a for group in meta.get("attrs", {}).values() for a in group]
-    names = [""] * meta.get("num_attrs", len(attrs))
-    for a in attrs:
-        n = a.get("name", "")
-        if n.startswith("__num_std_") and n[len("__num_std_"):].isdigit() and int(n[len("__num_std_"):]) < len(numeric):
-            n = numeric[int(n[len("__num_std_"):])]
-        names[a["idx"]] = n.replace("__ohe_", "=")
-    return names
+
+def _slot_names(spark, numeric: Sequence[str], slots: DataFrame | None, sizes: dict[str, int]) -> DataFrame:
+    """position, feature: the numeric columns come first, then the one-hot slots as ``column=category``."""
+    names = spark.createDataFrame([(i, c) for i, c in enumerate(numeric)], "position long, feature string")
+    return names if slots is None else names.unionByName(slot_names(slots, sizes, len(numeric)))
 
 
 def metrics(run: ForestRun) -> DataFrame:
@@ -308,13 +312,14 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def importances(run: ForestRun, top: int | None = TOP_IMPORTANCES) -> DataFrame:
     """Feature importances with names, largest first, top ``top`` (P12; ``None`` = all).
 
-    Generic names ``feature_<i>`` are used if the metadata does not match the vector size.
+    The names are joined to the vector's positions; a position without a name is ``feature_<i>``.
     """
     forest = run.model.stages[-1]
     imp = forest.featureImportances.toArray().tolist()        # one entry per feature slot
-    names = run.feature_names if len(run.feature_names) == len(imp) else [f"feature_{i}" for i in range(len(imp))]
     spark = run.predictions.sparkSession
-    df = spark.createDataFrame(list(zip(names, [float(v) for v in imp])), "feature string, importance double")
+    values = spark.createDataFrame([(i, float(v)) for i, v in enumerate(imp)], "position long, importance double")
+    df = values.join(run.names, "position", "left").select(
+        F.coalesce("feature", F.concat(F.lit("feature_"), "position")).alias("feature"), "importance")
     ranked = df.orderBy(F.col("importance").desc(), F.col("feature").asc())
     return ranked.limit(top) if top else ranked
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from loadlens.functions.cleaning import (clean_string, compact_date, compact_datetime, eu_number, mm_ss_seconds,
                                          parse_datetime_column, parse_datetime_text, short_label, thousands_label, to_double)
 from loadlens.operators import aggregates as agg
-from loadlens.operators import anomaly, density, filters, kpis, timeseries
+from loadlens.operators import anomaly, density, encoding, filters, kpis, timeseries
 from loadlens.sources.loader import preview, profile
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -944,6 +944,17 @@ def p11(spark, d):
                     F.round("trend_intercept", 3).alias("trend_intercept"))
 
 
+@register("P7_label_slots", """
+WITH c AS (SELECT 'o_clerk' AS feature, o_custkey::VARCHAR AS value, COUNT(*) AS n FROM orders GROUP BY 2
+           UNION ALL SELECT 'o_orderpriority', o_orderpriority, COUNT(*) FROM orders GROUP BY 2)
+SELECT feature, value, n, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1 AS slot
+FROM c WHERE value IS NOT NULL""")
+def p7_slots(spark, d):
+    """The one-hot slots of a text column with many labels and of one with few."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("o_clerk"), "o_orderpriority")
+    return encoding.label_slots(orders, ["o_clerk", "o_orderpriority"])
+
+
 def sql_row_hash(columns: list[str], source: str) -> str:
     """Every row of ``source`` with its hash: MD5 of the seed, the columns' texts and the number among its copies."""
     cells = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(30))" for c in columns)
