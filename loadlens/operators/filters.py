@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import TimestampNTZType
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from loadlens.operators.aggregates import count_by, top_k
 
@@ -102,14 +102,16 @@ def trailing_range(df: DataFrame, ts: str, period: str) -> DataFrame:
     if period == "all":
         return df
     newest = df.agg(F.max(F.col(ts))).scalar()
+    return df.filter(F.col(ts) >= range_start(newest, period, df.schema[ts].dataType))
+
+
+def range_start(newest: Column, period: str, kind: DataType) -> Column:
+    """Where the trailing ``period`` begins that ends at ``newest``, a timestamp of type ``kind``."""
     if period == "ytd":
-        if isinstance(df.schema[ts].dataType, TimestampNTZType):
+        if isinstance(kind, TimestampNTZType):
             # zone-less column: Jan 1 of the newest year, built from its fields (no zone conversion)
-            start = F.make_timestamp_ntz(F.year(newest), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
-        else:
-            start = F.date_trunc("year", newest).cast(df.schema[ts].dataType)
-    elif period in RANGE_INTERVALS:
-        start = newest - F.expr(RANGE_INTERVALS[period])
-    else:
-        raise ValueError(f"unknown period {period!r}")
-    return df.filter(F.col(ts) >= start)
+            return F.make_timestamp_ntz(F.year(newest), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        return F.date_trunc("year", newest).cast(kind)
+    if period in RANGE_INTERVALS:
+        return newest - F.expr(RANGE_INTERVALS[period])
+    raise ValueError(f"unknown period {period!r}")

@@ -21,6 +21,7 @@ from loadlens.plans.catalog import SQL_SPINE, register, sql_bucket, table
 from loadlens.session import checkpoint_dir
 from loadlens.sources.loader import all_empty, clean_frame, load_all
 from loadlens.sources.specs import CATALOG
+from loadlens.sources.store import Store
 
 DIGITS = 3
 
@@ -344,3 +345,28 @@ def forced_split(spark, d):
     score = m.select(F.lit("metric").alias("part"), F.inline(F.array(
         *[F.struct(F.lit(c).alias("key"), F.round(c, 6).alias("value")) for c in ("r2", "mae")])))
     return _union(imp, seen, score)
+
+
+# --- cleaned sources kept by day with a zone map (F11, X1, X2) -----------------------------------------------------------
+
+def _store(spark, d) -> Store:
+    """The events in two batches, the second taken in twice."""
+    ev = table(spark, d, "events")
+    store = Store(spark, f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}", "ts", ["value"])
+    store.ingest(ev.filter("event_id % 2 = 0"), "even")
+    store.ingest(ev.filter("event_id % 3 = 0"), "odd")
+    store.ingest(ev.filter("event_id % 2 = 1"), "odd")
+    return store
+
+
+@register("F11_trailing_ranges_from_store", "\nUNION ALL ".join(
+    f"SELECT '{p}' AS period, event_id, value FROM events WHERE ts >= (SELECT MAX(ts) FROM events) - INTERVAL {i}"
+    for p, i in (("6h", "6 HOUR"), ("1d", "1 DAY"))))
+def f11_store(spark, d):
+    store = _store(spark, d)
+    return _union(*[store.trailing_range(p).select(F.lit(p).alias("period"), "event_id", "value") for p in ("6h", "1d")])
+
+
+@register("X2_anomalies_from_store", f"SELECT event_id, value FROM events WHERE ts IS NOT NULL AND value > {_LIMIT}")
+def x2_store(spark, d):
+    return _store(spark, d).anomalies("value", 3.0, ["event_id", "value"])
