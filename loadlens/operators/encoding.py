@@ -45,9 +45,10 @@ def label_slots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     spans = dealt.groupBy("feature", "part").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("first"))
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select("feature", "part", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    # one row per range and feature
-    return dealt.join(F.broadcast(offsets), ["feature", "part"]) \
-        .select("feature", "value", "n", (F.col("offset") + F.col("place") - F.col("first")).alias("slot"))
+    # one row per range and feature; the numbered dictionary is written, since every pass of a fit reads it
+    return _written(dealt.join(F.broadcast(offsets), ["feature", "part"])
+                    .select("feature", "value", "n", (F.col("offset") + F.col("place") - F.col("first")).alias("slot")),
+                    "slots")
 
 
 def category_counts(slots: DataFrame, columns: Sequence[str]) -> dict[str, int]:
