@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ from loadlens.llm.tables import materialise
 ORDER = 5
 CODEC = "zstd"
 CHUNK_BYTES = 1 << 20
+#: Values packed together; a piece holds those of one block among them.
+PACK_ROWS = 1 << 20
 #: Bytes that UTF-8 never uses: before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
@@ -215,6 +218,63 @@ class Lookup:
         return out if out is not None else np.zeros(len(keys), np.float32)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of all numbers, lowest first: the planes of high bytes are almost empty and pack to nothing."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: str, n: int) -> tuple[np.ndarray, bytes]:
+    """The first ``n`` numbers of ``_planes`` and the bytes behind them."""
+    size = np.dtype(kind).itemsize * n
+    planes = np.frombuffer(data, np.uint8, size).reshape(np.dtype(kind).itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n), data[size:]
+
+
+def pack_values(slot: np.ndarray, value: np.ndarray) -> bytes:
+    """Ascending slots as differences, word counts in double and gram values in single precision, by Zstandard."""
+    n_word = int(np.searchsorted(slot, 0))
+    sizes = np.array([n_word, len(slot) - n_word], "<i8")
+    body = _planes(np.diff(slot, prepend=np.int64(0)).astype("<i8")) + _planes(value[:n_word].astype("<f8")) \
+        + _planes(value[n_word:].astype("<f4"))
+    return zstandard.compress(sizes.tobytes() + body)
+
+
+def unpack_values(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """slot and value of ``pack_values``."""
+    data = zstandard.decompress(piece)
+    n_word, n_gram = np.frombuffer(data, "<i8", 2).tolist()
+    slot, rest = _numbers(data[16:], "<i8", n_word + n_gram)
+    words, rest = _numbers(rest, "<f8", n_word)
+    return np.cumsum(slot), np.concatenate([words, _numbers(rest, "<f4", n_gram)[0]])
+
+
+def packed_values(values: DataFrame) -> DataFrame:
+    """block and piece: a block's values among ``PACK_ROWS`` rows of a task."""
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        block, slot, value = (column(rows, c).to_numpy() for c in ("block", "slot", "value"))
+        order = np.lexsort((slot, block))
+        block, slot, value = block[order], slot[order], value[order]
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        pieces = [pack_values(slot[a:z], value[a:z]) for a, z in zip(first, np.append(first[1:], len(block)))]
+        return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(pieces, pa.binary())],
+                                          ["block", "piece"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= PACK_ROWS:
+                yield pack(held)
+                held, n = [], 0
+        if held:
+            yield pack(held)
+        give_back()
+    return values.select("block", "slot", "value").mapInArrow(run, "block int, piece binary")
+
+
 SCORED = "doc_id long, held_out boolean, n_words long, n_known_words long, word_logs double, score double"
 
 
@@ -222,7 +282,9 @@ def _score(pieces: pa.Table, values: pa.Table) -> pa.Table:
     """Sums of each document from the values of its block's words and grams."""
     docs = documents(pieces)
     texts = column(docs, "text")
-    slot, value = column(values, "slot").to_numpy(), column(values, "value").to_numpy()
+    parts = [unpack_values(p.as_py()) for p in column(values, "piece")]
+    slot, value = (np.concatenate([p[i] for p in parts]) for i in range(2)) if parts else (np.zeros(0, np.int64), np.zeros(0))
+    del parts
     is_word = slot < 0
     count = np.zeros(int(is_word.sum()))
     count[-1 - slot[is_word]] = value[is_word]
@@ -271,7 +333,7 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     n_words = features.where("slot < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     kinds = values.where("known").count() + (n_docs > 0)
     total = n_words + n_docs
-    scored = pieces.groupBy("block").cogroup(values.select("block", "slot", "value").groupBy("block")) \
+    scored = pieces.groupBy("block").cogroup(packed_values(values).groupBy("block")) \
         .applyInArrow(lambda left, right: _score(left, right), SCORED)
     unit = F.lit(float(np.log10(total + 0.1 * (kinds + 1))))
     n_tokens = F.col("n_words") + 1
