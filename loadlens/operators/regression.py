@@ -12,8 +12,10 @@ values and number among its copies, so neither file splits, nor partitions,
 nor the number of cores move a row; copies of one row are split individually.
 The training rows are dealt by that hash to as many partitions as their number
 asks for, so the forest's per-partition bagging does not depend on the cluster
-either. The prepared frame is persisted for the many passes of the fit,
-node-id caches and the predictions are checkpointed into the shared folder.
+either; MAX_PARTITIONS at most, since on every level each partition sends the
+statistics of all open nodes, however few rows it has. The prepared frame is
+persisted for the many passes of the fit, the predictions are checkpointed into
+the shared folder.
 Only bounded things reach the driver: one row of per-feature statistics, one
 mode and one number of categories per text column, and the importance vector.
 The labels of text features stay in a distributed dictionary (``encoding``).
@@ -48,6 +50,7 @@ DEFAULT_MAX_DEPTH = 10
 SAMPLE_ROWS = 500
 TOP_IMPORTANCES = 10
 ROWS_PER_PARTITION = 40_000
+MAX_PARTITIONS = 48             # of the forest's rows: bounds what a level shuffles
 COPY_SALTS = 64                 # parts over which the copies of one row are numbered
 NODE_STATS_MB = 1024            # statistics gathered in one pass over the data
 
@@ -173,7 +176,7 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
     # partition holds the same rows in the same order wherever it runs. Profile, modes, pre-processing fits and the
     # per-level passes of the forest all read this copy.
     known = df.filter(F.col(target).isNotNull())
-    parts = max(1, -(-known.count() // ROWS_PER_PARTITION))
+    parts = min(MAX_PARTITIONS, max(1, -(-known.count() // ROWS_PER_PARTITION)))
     base = (with_row_hash(known, seed).select(target, *feats, ROW_HASH, in_training().alias("__train"))
             .repartition(parts, ROW_HASH).sortWithinPartitions(ROW_HASH)
             .persist(StorageLevel.MEMORY_AND_DISK))
@@ -231,12 +234,13 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
             stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True))
             vec_inputs += ohe
         stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features"))
-        # node ids are cached between levels and checkpointed into the shared folder
+        # node ids are cached between levels; a level's follow from the one before by a narrow step, so they need no
+        # checkpoint (four bytes per row and tree)
         stages.append(RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
                                             numTrees=num_trees, maxDepth=max_depth, seed=seed,
                                             featureSubsetStrategy="all",
                                             cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
-                                            checkpointInterval=10, maxMemoryInMB=NODE_STATS_MB))
+                                            checkpointInterval=-1, maxMemoryInMB=NODE_STATS_MB))
         n_train = train.count()
         if n_train < 2:
             raise ValueError(f"need at least 2 training rows, got {n_train}")

@@ -187,3 +187,12 @@ def test_category_cap_on_request_makes_the_rest_unseen(spark):
     run = regression.fit_forest(df, "y", num_trees=3, max_depth=3, max_categories=5)
     assert len([n for n in run.feature_names if n.startswith("t=")]) == 5
     assert regression.metrics(run).first()["n_test"] + run.n_train == 600
+
+
+def test_partitions_of_the_forest_are_bounded(spark, monkeypatch):
+    """Each partition sends the statistics of all open nodes on every level, so their number stops growing with the rows."""
+    monkeypatch.setattr(regression, "ROWS_PER_PARTITION", 20)
+    df = spark.range(3000).selectExpr("id % 17 + 0.5 AS x", "id % 17 * 2.0 + id % 3 AS y")
+    run = regression.fit_forest(df, "y", num_trees=2, max_depth=2)
+    assert run.train.rdd.getNumPartitions() == regression.MAX_PARTITIONS
+    assert run.n_train + run.predictions.count() == 3000
