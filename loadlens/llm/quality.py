@@ -6,6 +6,10 @@ forest (random splits on bounded subsamples) gives each document a path length o
 anomalies. The cut-off is the score that rejects most labelled poor documents while it loses at most
 ``max_clean_loss`` of the labelled good ones.
 
+Limits and cut-off are exact order statistics of all labelled rows (``order_statistics``); the trees draw their
+subsamples from all of them. Only bounded things reach the driver: a table of counts per selection step, and the
+``trees`` x ``sample`` rows that the trees are grown on.
+
 Edge cases: a null or empty text has no words and fails the base rule (``n_words < 10``). Repeated rows are judged
 alike. With no usable labels (none, or one class only) there is nothing to calibrate on and only the base rule
 rejects. A null label, or a label of an unknown document, is not used; of several labels of one document the
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadlens.llm.arrays import SPACE, binary_array, byte_batches, column, mask_counts, per_doc, raw, word_array
+from loadlens.llm.tables import materialise
 
 WINDOW = 5
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -136,16 +141,18 @@ class IsolationForest:
         return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / n, n - 1)
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7) -> "IsolationForest":
+    def fit(cls, x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7,
+            draws: list[np.ndarray] | None = None) -> "IsolationForest":
+        """``draws``: the rows of ``x`` that each tree is grown on; by default they are drawn here."""
         rng = np.random.default_rng(seed)
-        sample = min(sample, len(x))
+        sample = len(draws[0]) if draws else min(sample, len(x))
         depth = max(1, int(np.ceil(np.log2(max(sample, 2)))))
         nodes = 2 ** (depth + 1) - 1
         feature = np.full((trees, nodes), -1, np.int16)
         split = np.zeros((trees, nodes))
         length = np.zeros((trees, nodes))
         for t in range(trees):
-            todo = [(0, 0, x[rng.choice(len(x), sample, replace=False)])]
+            todo = [(0, 0, x[draws[t] if draws else rng.choice(len(x), sample, replace=False)])]
             while todo:
                 node, level, rows = todo.pop()
                 low, high = rows.min(axis=0), rows.max(axis=0)
@@ -217,34 +224,106 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, STAT_SCHEMA)
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 20000, trees: int = 100, sample: int = 256,
-        max_clean_loss: float = 0.001, seed: int = 7) -> QualityModel:
-    """Fit and calibrate on at most ``fit_rows`` labelled documents (those with the smallest hash of their id).
+RATES = [f"r{i}" for i in range(len(FEATURES))]
+#: Bits that one step of ``order_statistics`` settles; a step counts at most 2 ** STEP_BITS values per column.
+STEP_BITS = 13
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    """Doubles of 0 and more as whole numbers of the same order, and back by ``view``."""
+    return (np.asarray(x, np.float64) + 0.0).view(np.int64)
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, int]) -> dict[str, int]:
+    """The value of each rank (from 0) among all values of a column of longs of 0 and more; exact at any size.
 
-    That bound is the only one: it holds what reaches the driver (``fit_rows`` rows of counts) and the size of the
-    broadcast label sample. Training subsamples are drawn from the sampled rows, good and poor together.
+    Five steps, each with one partial aggregate over all columns: the first counts values by their uppermost bits, the
+    next ones by the bits that follow among the values that agree with what is settled.
+    """
+    found, left = dict.fromkeys(ranks, 0), dict(ranks)
+    names = list(ranks)
+    for shift in range(63 - 63 % STEP_BITS, -1, -STEP_BITS):
+        parts = [F.struct(F.lit(i).alias("i"), F.shiftright(c, shift).alias("v"),
+                          (F.lit(True) if shift + STEP_BITS > 63 else
+                           F.shiftright(c, shift + STEP_BITS) == F.lit(found[c]).cast("long")).alias("on"))
+                 for i, c in enumerate(names)]
+        rows = df.select(F.explode(F.array(*parts)).alias("p")).where("p.on").groupBy("p.i", "p.v") \
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("i", "v").collect()
+        for i, c in enumerate(names):
+            for r in rows:
+                if r["i"] == i:
+                    if left[c] < r["n"]:
+                        found[c] = r["v"]
+                        break
+                    left[c] -= r["n"]
+    return found
+
+
+def fit(docs: DataFrame, labels: DataFrame, trees: int = 100, sample: int = 256, max_clean_loss: float = 0.001,
+        seed: int = 7) -> QualityModel:
+    """Limits, forest and cut-off from all labelled documents that pass the base rule.
+
+    The texts are read where they are; what is joined with the labels is counts.
     """
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id") \
-        .agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    rows = document_statistics(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id", "left_semi")) \
-        .join(F.broadcast(marked), "doc_id").toPandas().sort_values(["doc_id", *STATS])
-    good = rows["quality"].to_numpy() > 0
-    if not good.any() or good.all():
+        .agg(F.min("quality").alias("quality"))
+    rows = materialise(_rates(document_statistics(docs).join(marked, "doc_id")), "quality-rates")
+    n = {r["good"]: r["n"] for r in rows.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return QualityModel(None, float("inf"))
-    return calibrated({c: rows[c].to_numpy() for c in STATS}, good, trees, sample, max_clean_loss, seed)
+    rank = int(np.ceil((n[True] - 1) * (1 - max_clean_loss)))
+    limits = order_statistics(rows.where("good"), dict.fromkeys(RATES, rank))
+    limit = np.array([limits[c] for c in RATES], np.int64).view(np.float64)
+    forest = _grown(rows, n[True] + n[False], limit, trees, sample, seed)
+    scores = materialise(_scores(rows.where("good"), forest, limit), "quality-scores")
+    cut = order_statistics(scores, {"score": n[True] - 1 - int(max_clean_loss * n[True])})["score"]
+    return QualityModel(forest, float(np.int64(cut).view(np.float64)), limit)
 
 
-def calibrated(stats: dict[str, np.ndarray], good: np.ndarray, trees: int, sample: int, max_clean_loss: float,
-               seed: int) -> QualityModel:
-    """Limits, forest and cut-off from labelled rows that pass the base rule."""
-    x, base = features(stats), base_failed(stats["n_words"], stats["n_repeat_words"])
-    fine = x[good & ~base]
-    if not len(fine) or (good | base).all():
-        return QualityModel(None, float("inf"))
-    limit = np.quantile(fine, 1 - max_clean_loss, axis=0, method="higher")
-    over = excess(x, limit)
-    forest = IsolationForest.fit(over[~base], trees, sample, seed)
-    return QualityModel(forest, calibrate(forest.score(over)[~base], good[~base], max_clean_loss), limit)
+def _rates(stats: DataFrame) -> DataFrame:
+    """doc_id, statistics, good, and the rates as ordered bits, of labelled rows that pass the base rule."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = {c: column(b, c).to_numpy() for c in STATS}
+            out = pa.RecordBatch.from_arrays(
+                [column(b, "doc_id"), *(column(b, c) for c in STATS), pa.array(column(b, "quality").to_numpy() > 0),
+                 *(pa.array(_bits(x)) for x in features(s).T)], ["doc_id", *STATS, "good", *RATES])
+            yield out.filter(pa.array(~base_failed(s["n_words"], s["n_repeat_words"])))
+    return stats.mapInArrow(run, STAT_SCHEMA + ", good boolean, " + ", ".join(f"{c} long" for c in RATES))
+
+
+def _matrix(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([column(b, c).to_numpy().view(np.float64) for c in RATES], axis=1)
+
+
+def _grown(rows: DataFrame, n: int, limit: np.ndarray, trees: int, sample: int, seed: int) -> IsolationForest:
+    """The forest, each tree on rows drawn from all ``n``. The rows are numbered in the order of their ids and counts, so
+    a draw depends on nothing else; those that some tree draws come to the driver, at most ``trees`` x ``sample``."""
+    order = ("doc_id", *STATS)
+    if n <= trees * sample:
+        x = rows.select(*order, *RATES).orderBy(*order).toArrow().combine_chunks()
+        return IsolationForest.fit(excess(_matrix(x), limit), trees, sample, seed)
+    held = materialise(rows.select(*order, *RATES).repartitionByRange(*order).sortWithinPartitions(*order)
+                       .select(F.monotonically_increasing_id().alias("place"), *RATES), "quality-numbered")
+    # places count on within a partition and leap from one to the next: one row per partition tells where each begins
+    spans = held.groupBy(F.shiftright("place", 33).alias("part")) \
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).orderBy("part").toPandas()
+    start = np.cumsum(spans["n"].to_numpy()) - spans["n"].to_numpy()
+    rng = np.random.default_rng(seed)
+    draws = [rng.choice(n, sample, replace=False) for _ in range(trees)]
+    drawn = np.unique(np.concatenate(draws))
+    part = np.searchsorted(start, drawn, "right") - 1
+    places = spans["first"].to_numpy()[part] + drawn - start[part]
+    picked = rows.sparkSession.createDataFrame([(int(p),) for p in places], "place long")
+    x = held.join(F.broadcast(picked), "place").orderBy("place").toArrow().combine_chunks()
+    return IsolationForest.fit(excess(_matrix(x), limit), trees, sample, seed, [np.searchsorted(drawn, d) for d in draws])
+
+
+def _scores(rows: DataFrame, forest: IsolationForest, limit: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bits(forest.score(excess(_matrix(b), limit))))], ["score"])
+    return rows.select(*RATES).mapInArrow(run, "score long")
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:

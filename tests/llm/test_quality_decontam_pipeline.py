@@ -76,6 +76,43 @@ def test_labels_with_gaps(spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.judge(df, quality.fit(df, one_class)).collect())
 
 
+def test_order_statistics_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.random(3000) ** 9, np.zeros(500), [1.0, 5e-324, 1e300]])
+    y = rng.integers(0, 50, len(x)) / 49
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(quality._bits(x), quality._bits(y))], "x long, y long")
+    for rank in (0, 499, 500, 1700, len(x) - 1):
+        got = quality.order_statistics(df, {"x": rank, "y": len(x) - 1 - rank})
+        assert np.int64(got["x"]).view(np.float64) == np.sort(x)[rank]
+        assert np.int64(got["y"]).view(np.float64) == np.sort(y)[len(x) - 1 - rank]
+
+
+@pytest.mark.parametrize("trees", [30, 3])  # few trees: they draw by number from more rows than come to the driver
+def test_all_labelled_rows_count(spark, trees):
+    """Limits and cut-off are those of all labelled rows; the rows drawn are those of the numbered table."""
+    rng = random.Random(5)
+    docs = [(i, " ".join("".join(rng.choice("abcdefg!#") for _ in range(6)) for _ in range(rng.randint(5, 40))))
+            for i in range(1500)]
+    docs += docs[:40]  # copies of rows count as often as they are there
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 9 > 0)) for i in range(1400)], "doc_id long, quality int")
+    model = quality.fit(df, labels, trees=trees)
+    rows = sorted((i, t) for i, t in docs if i < 1400)
+    s = quality.rule_statistics(pa.array([t for _, t in rows]))
+    ids = np.array([i for i, _ in rows])
+    fine = ~quality.base_failed(s["n_words"], s["n_repeat_words"])
+    good, x = (ids % 9 > 0)[fine], quality.features(s)[fine]
+    assert (len(x) > trees * 256) == (trees == 3)
+    limit = np.quantile(x[good], 1 - 0.001, axis=0, method="higher")
+    assert np.array_equal(model.limit, limit)
+    over = quality.excess(x, limit)
+    draw = np.random.default_rng(7)
+    draws = [draw.choice(len(x), 256, replace=False) for _ in range(trees)] if trees == 3 else None
+    forest = quality.IsolationForest.fit(over, trees, 256, 7, draws)
+    assert np.array_equal(forest.split, model.forest.split) and np.array_equal(forest.length, model.forest.length)
+    assert model.cut == quality.calibrate(forest.score(over), good, 0.001)
+
+
 def test_isolation_forest_isolates():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(0, 1, (500, 3)), [[9.0, 9.0, 9.0]]])
