@@ -165,10 +165,49 @@ DATETIME_FORMS = (
 PIVOT_YEAR = 2069
 
 
-def _by_form(text: Column, form: str | None) -> Column:
+# What a field of a form can look like at most: the parser takes leading zeros, no sign but a year's, and
+# values in range.
+_FIELDS = {"yyyy": r"[+-]?[0-9]{4,}", "yy": r"[0-9]{2}", "M": r"0*(?:[1-9]|1[0-2])",
+           "d": r"0*(?:[1-9]|[12][0-9]|3[01])", "H": r"0*(?:1?[0-9]|2[0-3])", "h": r"0*(?:[1-9]|1[0-2])",
+           "m": r"0*[1-5]?[0-9]", "s": r"0*[1-5]?[0-9]", "MMM": r"[^0-9]+?", "MMMM": r"[^0-9]+?", "a": r"[^0-9]+"}
+_PART_RE = re.compile(r"(?P<field>([A-Za-z])\2*)|(?P<open>\[)|(?P<close>\])|(?P<mark>.)")
+
+
+def form_guard(form: str) -> str:
+    """A regular expression that every text of a form matches; the form's parser, which raises an exception inside for
+    each text it refuses, then sees hardly any other (the 31st of a short month)."""
+    out = []
+    for m in _PART_RE.finditer(form):
+        if m["field"]:
+            out.append(_FIELDS[m["field"]])
+        else:
+            out.append("(?:" if m["open"] else ")?" if m["close"] else re.escape(m["mark"]))
+    return "^" + "".join(out) + "$"
+
+
+def form_shapes(form: str) -> list[str]:
+    """What ``cell_shape`` can give for texts of a form: with and without its optional parts."""
+    shape = "".join("a" if m["field"] in ("MMM", "MMMM", "a") else "9" if m["field"] else m[0] for m in _PART_RE.finditer(form))
+    shapes = [shape]
+    while any("[" in x for x in shapes):  # from the innermost optional part outwards
+        shapes = [re.sub(r"\[([^\[\]]*)\]", keep, x, count=1) for x in shapes for keep in (r"\1", "")]
+    return sorted({re.sub("9+", "9", x.replace("-", "")) for x in shapes})
+
+
+def cell_shape(text: Column) -> Column:
+    """A text without signs, each number as ``9`` and each run of other characters than separators as ``a``: what most
+    forms can be told apart by, worked out once per cell."""
+    numbers = F.regexp_replace(F.translate(text, "+-", ""), "[0-9]+", "9")
+    return F.regexp_replace(numbers, "[^9/.,: ]+", "a")
+
+
+def _by_form(text: Column, form: str | None, shape: Column | None = None) -> Column:
     if form is None:
         return _tc(text, "timestamp_ntz")
-    ts = F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
+    fits = text.rlike(form_guard(form))
+    if shape is not None:
+        fits = shape.isin(form_shapes(form)) & fits
+    ts = F.when(fits, F.try_to_timestamp(text, F.lit(form))).cast("timestamp_ntz")
     if "yyyy" in form:
         return ts
     return F.when(F.year(ts) >= PIVOT_YEAR, ts - F.expr("INTERVAL 100 YEARS")).otherwise(ts)
@@ -181,10 +220,11 @@ def datetime_form(df: DataFrame, column: str) -> Column:
     Null if no cell has any of the forms. A form is the column's, not the cell's: 3/4 is read like the rest of its column.
     """
     text = F.trim(F.col(f"`{column}`").cast("string"))
-    votes = [F.count(_by_form(text, form)).alias(f"n{i}") for i, form in enumerate(DATETIME_FORMS)]
+    cells = df.select(text.alias("t"), cell_shape(text).alias("shape"))
+    votes = [F.count(_by_form(F.col("t"), form, F.col("shape"))).alias(f"n{i}") for i, form in enumerate(DATETIME_FORMS)]
     ranked = [F.struct(F.col(f"n{i}").alias("n"), F.lit(-i).alias("i")) for i in range(len(DATETIME_FORMS))]
     best = F.array_max(F.array(*ranked))
-    return df.agg(*votes).select(F.when(best["n"] > 0, -best["i"]).alias("form")).scalar()
+    return cells.agg(*votes).select(F.when(best["n"] > 0, -best["i"]).alias("form")).scalar()
 
 
 def parse_datetime_column(df: DataFrame, column: str) -> Column:
@@ -192,11 +232,16 @@ def parse_datetime_column(df: DataFrame, column: str) -> Column:
 
     Lazy: the vote is evaluated with the output. Each cell is parsed once, by the winner.
     """
-    text, form = F.trim(F.col(f"`{column}`").cast("string")), datetime_form(df, column)
-    parsed = F.lit(None).cast("timestamp_ntz")
-    for i, f in reversed(list(enumerate(DATETIME_FORMS))):
-        parsed = F.when(form == i, _by_form(text, f)).otherwise(parsed)
-    return parsed
+    text = F.trim(F.col(f"`{column}`").cast("string"))
+
+    def by_number(form: Column) -> Column:
+        parsed = F.lit(None).cast("timestamp_ntz")
+        for i, f in reversed(list(enumerate(DATETIME_FORMS))):
+            parsed = F.when(form == i, _by_form(text, f)).otherwise(parsed)
+        return parsed
+
+    # the vote stands in the plan once, not once per form: planning costs more than reading where tables are small
+    return F.transform(F.array(datetime_form(df, column)), by_number)[0]
 
 
 def compact_date(c: Column | str) -> Column:

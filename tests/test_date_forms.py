@@ -1,8 +1,10 @@
 """The form of a date-time text column, found by a vote over its cells."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loadlens.functions import cleaning
 from loadlens.sources.loader import clean_frame
@@ -47,3 +49,27 @@ def test_a_source_with_written_dates(spark):
                                 "FULL_DATETIME string, USEDBYTES string, ACCOUNT string")
     got = {r["ACCOUNT"]: r["FULL_DATETIME"] for r in clean_frame(raw, CATALOG["memory"]).collect()}
     assert got == {"a": stamp(2024, 12, 25, 6, 7), "b": stamp(2024, 12, 26, 23, 59), "c": None}
+
+
+def test_guards_pass_all_that_a_form_parses(spark):
+    rng = random.Random(4)
+    pieces = ["1", "3", "12", "29", "31", "00", "05", "007", "23", "59", "99", "2024", "02024", "+12024", "-2024", "-1", "+3",
+              "/", "/", ".", "-", "-", " ", " ", ":", ":", ",", ", ", "Mar", "mar", "MARCH", "May", "Sept", "AM", "pm", "x", "é"]
+    texts = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 11))) for _ in range(300)}
+    for d in ("1", "09", "0031"):
+        for m in ("2", "12", "Mar", "jUNE"):
+            for y in ("24", "2024", "02024", "+12024", "-0001"):
+                for t in ("", " 7:08", " 12:08:09", " 23:59", " 7:08 am", " 12:08:09 PM"):
+                    texts |= {f"{x}{t}" for s in "/.-" for x in (s.join((d, m, y)), s.join((m, d, y)), s.join((y, m, d)))}
+                    texts |= {f"{d} {m} {y}{t}", f"{m} {d}, {y}{t}"}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "t string")
+    forms, t = [f for f in cleaning.DATETIME_FORMS if f], F.col("t")
+    both = [F.struct(F.try_to_timestamp(t, F.lit(f)).isNotNull().alias("parses"),
+                     (t.rlike(cleaning.form_guard(f)) & cleaning.cell_shape(t).isin(cleaning.form_shapes(f))).alias("guard"),
+                     ).alias(f"f{i}") for i, f in enumerate(forms)]
+    rows = df.select("t", *both).collect()
+    for i, form in enumerate(forms):
+        got = [(r["t"], *r[f"f{i}"]) for r in rows]
+        assert any(parses for _, parses, _ in got), form
+        assert not [x for x, parses, guard in got if parses and not guard], form
+        assert sum(guard and not parses for _, parses, guard in got) <= 0.02 * len(got), form  # few that pass are refused
