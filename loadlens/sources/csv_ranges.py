@@ -26,6 +26,7 @@ import re
 from collections.abc import Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -70,8 +71,45 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
             yield (file[a].as_py(), start[a].as_py()), b.slice(a, z - a)
 
 
-def _quoted(lines: pa.Array) -> list[int]:
-    return pc.indices_nonzero(pc.match_substring(lines, '"')).to_pylist()
+class BatchStates:
+    """``LineStates`` for all lines of a batch at once, in patterns without possessive parts.
+
+    A line of records reads in one way only: a field's first character says whether it is quoted, and a body ends at the
+    first quote that no other quote follows. So a pattern that says this needs no possessive parts.
+    """
+
+    def __init__(self, sep: str = ","):
+        s = re.escape(sep)
+        body, rest = r'[^"]*(?:""[^"]*)*', rf'(?:[^"{s}][^{s}]*)?'
+        opened = rf'(?:(?:"{body}"{rest}|{rest}){s})*"{body}'
+        self.from_outside = rf"\A(?:{opened})\z"
+        self.from_inside = rf'\A{body}(?:"{rest}{s}{opened})?\z'
+
+    def ends(self, lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Per line: whether it ends inside quotes if it starts outside, and if it starts inside."""
+        n = len(lines)
+        outside, inside = np.zeros(n, dtype=bool), np.ones(n, dtype=bool)
+        quoted = _mask(pc.match_substring(lines, '"'))  # other lines change no state
+        if quoted.any():
+            some = lines.filter(pa.array(quoted))
+            outside[quoted] = _mask(pc.match_substring_regex(some, self.from_outside))
+            inside[quoted] = _mask(pc.match_substring_regex(some, self.from_inside))
+        return outside, inside
+
+    @staticmethod
+    def along(outside: np.ndarray, inside: np.ndarray, state: int) -> np.ndarray:
+        """The state behind each line, from the state before the first: that of the last line that fixes it, turned as
+        often as lines since then turn it."""
+        n = len(outside)
+        turned = np.cumsum(outside & ~inside)
+        last = np.maximum.accumulate(np.where(outside == inside, np.arange(n), -1))
+        known = last >= 0
+        fixed = np.where(known, outside[last], bool(state))
+        return fixed ^ ((turned - np.where(known, turned[last], 0)) % 2 == 1)
+
+
+def _mask(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(bool)
 
 
 _ENDS = "file long, start long, outside int, inside int, crlf boolean"
@@ -80,7 +118,7 @@ _ENDS = "file long, start long, outside int, inside int, crlf boolean"
 def _range_ends(sep: str):
     """Per range: the state at its end for either state at its start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states, now, ends, crlf = LineStates(sep), None, [], False
+        states, now, ends, crlf = BatchStates(sep), None, [], False
         for key, b in _ranges(batches):
             lines = b.column("value")
             if key != now:
@@ -88,9 +126,8 @@ def _range_ends(sep: str):
                     yield _ends_row(now, ends, crlf)
                 now, ends = key, [OUTSIDE, INSIDE]
                 crlf = key[1] == 0 and lines[0].as_py().endswith("\r")
-            for i in _quoted(lines):  # other lines change no state
-                line = lines[i].as_py()
-                ends = [states.after(line, s) for s in ends] if ends[0] != ends[1] else [states.after(line, ends[0])] * 2
+            outside, inside = states.ends(lines)
+            ends = [int(states.along(outside, inside, s)[-1]) for s in ends]
         if now is not None:
             yield _ends_row(now, ends, crlf)
     return run
@@ -127,67 +164,64 @@ _PIECES = "file long, start long, kind int, first boolean, text string"
 def _cut(sep: str):
     """The records and fragments of each range; ``first`` marks a file's first record."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = LineStates(sep)
+        states = BatchStates(sep)
         now, state, open_, head, fresh, crlf = None, OUTSIDE, [], False, False, False
         for key, b in _ranges(batches):
-            rows: list[tuple] = []
             if key != now:
                 if open_:
-                    yield _piece_rows([(*now, MIDDLE if head else TAIL, fresh, _text(open_, crlf))])
+                    yield _piece(now, MIDDLE if head else TAIL, fresh, open_)
                 now, open_ = key, []
                 state = INSIDE if b.column("inside")[0].as_py() else OUTSIDE
                 crlf = b.column("crlf")[0].as_py()
                 head, fresh = state == INSIDE, key[1] == 0
             lines = b.column("value")
-            done = 0
-            for i in _quoted(lines):
-                line = lines[i].as_py()
-                after = states.after(line, state)
-                if state == INSIDE:
-                    open_ += lines.slice(done, i - done).to_pylist()
-                else:
-                    fresh = _plain(rows, now, lines.slice(done, i - done), fresh, crlf)
-                done = i + 1
-                if state == INSIDE or after == INSIDE:
-                    open_.append(line)
-                    if after == OUTSIDE:
-                        rows.append((*now, HEAD if head else RECORD, fresh, _text(open_, crlf)))
-                        open_, head, fresh = [], False, False
-                else:
-                    rows.append((*now, RECORD, fresh, _text([line], crlf)))
+            after = states.along(*states.ends(lines), state)
+            if crlf:
+                lines = pc.replace_substring_regex(lines, r"\r\z", "")
+            stops = np.flatnonzero(~after) + 1  # a record ends behind each of these lines
+            begin = 0
+            if state == INSIDE:  # what is open takes the lines up to the first end
+                begin = int(stops[0]) if len(stops) else len(lines)
+                open_ += lines.slice(0, begin).to_pylist()
+                if len(stops):
+                    yield _piece(now, HEAD if head else RECORD, fresh, open_)
+                    open_, head, fresh, stops = [], False, False, stops[1:]
+            if len(stops):
+                texts = _joined(lines, np.concatenate([[begin], stops]))
+                texts = texts.filter(pc.not_equal(texts, ""))  # empty lines are no records
+                if len(texts):
+                    yield _records(now, fresh, texts)
                     fresh = False
-                state = after
-            rest = lines.slice(done)
-            if state == INSIDE:
-                open_ += rest.to_pylist()
-            else:
-                fresh = _plain(rows, now, rest, fresh, crlf)
-            if rows:
-                yield _piece_rows(rows)
+                begin = int(stops[-1])
+            open_ += lines.slice(begin).to_pylist()
+            state = INSIDE if after[-1] else OUTSIDE
         if open_:
-            yield _piece_rows([(*now, MIDDLE if head else TAIL, fresh, _text(open_, crlf))])
+            yield _piece(now, MIDDLE if head else TAIL, fresh, open_)
     return run
 
 
-def _text(lines: list[str], crlf: bool) -> str:
-    """The lines of a record or of a part of one."""
-    return "\n".join(line.removesuffix("\r") for line in lines) if crlf else "\n".join(lines)
+def _joined(lines: pa.Array, edges: np.ndarray) -> pa.Array:
+    """The lines from each edge up to the next as one text."""
+    if edges[-1] - edges[0] == len(edges) - 1:
+        return lines.slice(int(edges[0]), len(edges) - 1)  # every record is one line
+    groups = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), lines)
+    return pc.binary_join(groups, "\n")
 
 
-def _plain(rows: list[tuple], key: tuple, lines: pa.Array, first: bool, crlf: bool) -> bool:
-    """Add lines that are records of their own; returns whether the file's first record is still to come."""
-    for line in lines.to_pylist():
-        line = line.removesuffix("\r") if crlf else line
-        if line:
-            rows.append((*key, RECORD, first, line))
-            first = False
-    return first
+def _records(key: tuple, first: bool, texts: pa.Array) -> pa.RecordBatch:
+    n = len(texts)
+    fresh = np.zeros(n, dtype=bool)
+    fresh[0] = first
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, key[0], np.int64)), pa.array(np.full(n, key[1], np.int64)),
+                                       pa.array(np.full(n, RECORD, np.int32)), pa.array(fresh), texts],
+                                      ["file", "start", "kind", "first", "text"])
 
 
-def _piece_rows(rows: list[tuple]) -> pa.RecordBatch:
-    file, start, kind, first, text = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), pa.array(start, pa.int64()), pa.array(kind, pa.int32()),
-                                       pa.array(first), pa.array(text, pa.string())],
+def _piece(key: tuple, kind: int, first: bool, lines: list[str]) -> pa.RecordBatch:
+    """A record, or a part of one, from its lines."""
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()),
+                                       pa.array([kind], pa.int32()), pa.array([first]),
+                                       pa.array(["\n".join(lines)], pa.string())],
                                       ["file", "start", "kind", "first", "text"])
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from loadlens.sources import csv_ranges, load_source
@@ -95,3 +96,26 @@ def test_source_is_read_by_many_tasks(spark, small_ranges, tmp_path):
     assert df.rdd.getNumPartitions() > 20
     got = {r["SQLSTATEM"]: r["TOTALEXEC"] for r in df.collect()}
     assert got == {f'SELECT {i}\nFROM "T"': float(i) for i in range(200)}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_states_of_a_batch_are_those_of_its_lines(seed):
+    rng = random.Random(seed)
+    lines = ["".join(rng.choice(['"', '"', '""', ",", "a", "é", "\r"]) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    one, many = LineStates(), csv_ranges.BatchStates()
+    outside, inside = many.ends(pa.array(lines))
+    assert outside.tolist() == [bool(one.after(x, OUTSIDE)) for x in lines]
+    assert inside.tolist() == [bool(one.after(x, INSIDE)) for x in lines]
+    for state in (OUTSIDE, INSIDE):
+        want, now = [], state
+        for x in lines:
+            now = one.after(x, now)
+            want.append(bool(now))
+        assert many.along(outside, inside, state).tolist() == want
+
+
+def test_quoted_records_are_cut_by_the_batch(spark, small_ranges, tmp_path, monkeypatch):
+    """No line goes through the line-by-line patterns."""
+    monkeypatch.setattr(LineStates, "after", None)
+    (tmp_path / "q.csv").write_text("a,b\n" + '"x ""1"",\ny",2\n' * 200)
+    same(spark, str(tmp_path))
