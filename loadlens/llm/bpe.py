@@ -32,7 +32,7 @@ from loadlens.llm.arrays import byte_batches, column, give_back, raw
 from loadlens.llm.tokens import library_tokenizer
 from loadlens.llm.units import UnitEncoder
 
-BPE_BATCH_BYTES = 4 << 20
+BPE_BATCH_BYTES = 1 << 20
 NEVER = 1 << 60
 MEMO_PAIRS = 250_000
 

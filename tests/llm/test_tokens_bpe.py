@@ -206,3 +206,8 @@ def test_token_files_of_an_empty_table(spark, tmp_path):
     path = str(tmp_path / "shards")
     tokenfiles.write_shards(texts(spark, []), WORD, path, end_id=1)
     assert tokenfiles.read_documents(spark, path).count() == 0
+
+
+def test_batches_of_the_codec_are_small():
+    """A worker's arrays are many times its batch; six of them run beside a full heap in the pipeline."""
+    assert bpe.BPE_BATCH_BYTES <= 1 << 20
