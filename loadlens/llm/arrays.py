@@ -6,7 +6,7 @@ Every function works on one Arrow batch inside a task, so memory is bounded by t
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +56,8 @@ def byte_batches(batches: Iterable[pa.RecordBatch], name: str = "text",
                  limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Slice batches so that each holds about ``limit`` bytes of column ``name``; a longer text is alone in its batch.
 
-    When the last one is done, the worker gives back what it no longer uses.
+    When the last one is done, the worker gives back what it no longer uses; what its caller still holds goes back with
+    ``tidy``.
     """
     yield from _slices(batches, name, limit)
     give_back()
@@ -71,6 +72,32 @@ def give_back() -> None:
         pass
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for mapInArrow; at its end, with its last batch and arrays gone, the worker gives back their memory."""
+    def batch_by_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+    return batch_by_batch
+
+
+def tidy_group(run: Callable[[pa.Table], pa.Table]):
+    """``run`` for applyInArrow, as ``tidy``."""
+    def group(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+    return group
+
+
+def tidy_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]):
+    """``run`` for applyInArrow on two frames, as ``tidy``."""
+    def cogroup(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+    return cogroup
+
+
 def _slices(batches: Iterable[pa.RecordBatch], name: str, limit: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import byte_batches, column
+from loadlens.llm.arrays import byte_batches, column, tidy
 
 BLOCK_BYTES = 12 << 20
 PACK_BYTES = 8 << 20
@@ -61,7 +61,7 @@ def packed(blocks: DataFrame) -> DataFrame:
             pieces = [pack(rows.slice(a, z - a)) for a, z in zip(first, np.append(first[1:], len(block)))]
             yield pa.RecordBatch.from_arrays([pa.array(block[first], pa.int32()), pa.array(pieces, pa.binary())],
                                              ["block", "piece"])
-    return blocks.mapInArrow(run, "block int, piece binary")
+    return blocks.mapInArrow(tidy(run), "block int, piece binary")
 
 
 def documents(pieces: pa.Table) -> pa.Table:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from loadlens.llm.arrays import byte_batches, column, give_back, raw
+from loadlens.llm.arrays import byte_batches, column, raw, tidy
 from loadlens.llm.tokens import library_tokenizer
 from loadlens.llm.units import UnitEncoder
 
@@ -390,5 +390,4 @@ def _apply(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()), pa.array(np.diff(off)),
                                               pa.array(first, kind), pa.array(second, kind)], names)
         codec.cache_clear()  # the next stage's tasks run in this worker too
-        give_back()
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import LOWER, SPACE, byte_batches, column, raw
+from loadlens.llm.arrays import LOWER, SPACE, byte_batches, column, raw, tidy
 
 Q = 12
 EDIT_RATE = 0.05
 BLOCK_BYTES = 4 << 20
 TABLE_BITS = 22
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 GAP = 0xFF  # between texts; no UTF-8 byte
 
 
@@ -255,7 +255,7 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
                      pa.array([shared.value.ids[i] for i in item], pa.int64()), pa.array(start, pa.int64()),
                      pa.array(end, pa.int64()), pa.array(edits, pa.int64())],
                     ["doc_id", "item_id", "start", "end", "edits"])
-    return docs.mapInArrow(run, HIT_SCHEMA)
+    return docs.mapInArrow(tidy(run), HIT_SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
@@ -274,4 +274,4 @@ def _clean(docs: DataFrame, index: Index) -> DataFrame:
             if shared.value.texts:
                 keep[[r[0] for r in _scan(column(b, "text"), shared.value)]] = False
             yield b.filter(pa.array(keep))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import LOWER, byte_batches, column, give_back, raw, word_array
+from loadlens.llm.arrays import LOWER, byte_batches, column, give_back, raw, tidy, word_array
 from loadlens.llm.graph import components
 from loadlens.llm.tables import materialise
 
@@ -42,6 +42,7 @@ MISS = 1e-5
 STAR = 2000    # documents of a star group beside its centre
 BLOCK = 1024   # documents of a block in full comparison
 COLUMNS = 4096
+BATCH_BYTES = 1 << 20
 
 
 def half_keys_needed(threshold: float, miss: float = MISS) -> int:
@@ -107,7 +108,7 @@ def half_keys(sets: np.ndarray, off: np.ndarray, m: int) -> np.ndarray:
 def signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
     """doc_id, n_shingles, 128-bit set digest (s1, s2) and half keys of every document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_batches(batches):
+        for b in byte_batches(batches, limit=BATCH_BYTES):
             sets, off = shingle_sets(column(b, "text"), width)
             halves = half_keys(sets, off, m)
             digest = np.array([np.frombuffer(hashlib.blake2b(sets[a:z], digest_size=16).digest(), np.int64)
@@ -118,7 +119,7 @@ def signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
                  pa.ListArray.from_arrays(np.arange(len(halves) + 1, dtype=np.int32) * 2 * m, halves.ravel())],
                 ["doc_id", "n_shingles", "s1", "s2", "halves"])
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>")
+        tidy(run), "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>")
 
 
 def _buckets(classes: DataFrame, m: int) -> DataFrame:
@@ -161,14 +162,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     kinds = "doc long, n long, members binary, groups array<struct<centre:long,part:long,central:boolean>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_batches(batches):
+        for b in byte_batches(batches, limit=BATCH_BYTES):
             sets, off = shingle_sets(column(b, "text"), width)
             view = memoryview(sets.astype("<u8")).cast("B")
             yield pa.RecordBatch.from_arrays(
                 [column(b, "doc"), pa.array(np.diff(off)),
                  pa.array([bytes(view[8 * a:8 * z]) for a, z in zip(off[:-1].tolist(), off[1:].tolist())], pa.binary()),
                  column(b, "groups")], ["doc", "n", "members", "groups"])
-    return docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").mapInArrow(run, kinds)
+    return docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc").mapInArrow(tidy(run), kinds)
 
 
 def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -281,7 +282,7 @@ def _alive(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(column(b, "doc").to_numpy(), np.diff(off) // 8)),
                  pa.array(np.ascontiguousarray(data).view("<i8"))], ["doc", "shingle"])
-    rows = mine.select("doc", "members").mapInArrow(explode, "doc long, shingle long")
+    rows = mine.select("doc", "members").mapInArrow(tidy(explode), "doc long, shingle long")
     single = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc").alias("doc")).where("c = 1") \
         .groupBy("doc").agg(F.count("*").alias("alone"))
     s = F.col("n") - F.coalesce("alone", F.lit(0))

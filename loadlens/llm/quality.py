@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadlens.llm.arrays import SPACE, binary_array, byte_batches, column, mask_counts, per_doc, raw, word_array
+from loadlens.llm.arrays import SPACE, binary_array, byte_batches, column, mask_counts, per_doc, raw, tidy, word_array
 from loadlens.llm.tables import materialise
 
 WINDOW = 5
+#: Texts that a worker counts at a time: each byte takes some 25 beside it.
+BATCH_BYTES = 1 << 20
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_digits",
@@ -217,11 +219,11 @@ STAT_SCHEMA = "doc_id long, " + ", ".join(f"{c} long" for c in STATS)
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the rule statistics of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_batches(batches):
+        for b in byte_batches(batches, limit=BATCH_BYTES):
             s = rule_statistics(column(b, "text"))
             yield pa.RecordBatch.from_arrays([column(b, "doc_id").cast(pa.int64()),
                                               *(pa.array(s[c], pa.int64()) for c in STATS)], ["doc_id", *STATS])
-    return docs.select("doc_id", "text").mapInArrow(run, STAT_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), STAT_SCHEMA)
 
 
 RATES = [f"r{i}" for i in range(len(FEATURES))]
@@ -289,7 +291,7 @@ def _rates(stats: DataFrame) -> DataFrame:
                 [column(b, "doc_id"), *(column(b, c) for c in STATS), pa.array(column(b, "quality").to_numpy() > 0),
                  *(pa.array(_bits(x)) for x in features(s).T)], ["doc_id", *STATS, "good", *RATES])
             yield out.filter(pa.array(~base_failed(s["n_words"], s["n_repeat_words"])))
-    return stats.mapInArrow(run, STAT_SCHEMA + ", good boolean, " + ", ".join(f"{c} long" for c in RATES))
+    return stats.mapInArrow(tidy(run), STAT_SCHEMA + ", good boolean, " + ", ".join(f"{c} long" for c in RATES))
 
 
 def _matrix(b: pa.RecordBatch) -> np.ndarray:
@@ -323,7 +325,7 @@ def _scores(rows: DataFrame, forest: IsolationForest, limit: np.ndarray) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_bits(forest.score(excess(_matrix(b), limit))))], ["score"])
-    return rows.select(*RATES).mapInArrow(run, "score long")
+    return rows.select(*RATES).mapInArrow(tidy(run), "score long")
 
 
 def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
@@ -339,14 +341,14 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
     The fitted trees travel in the task closure: ``trees`` x (2 x ``sample``) nodes, well under 1 MB.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_batches(batches):
+        for b in byte_batches(batches, limit=BATCH_BYTES):
             s = rule_statistics(column(b, "text"))
             base = base_failed(s["n_words"], s["n_repeat_words"])
             score, bad = model.rejects(s)
             yield pa.RecordBatch.from_arrays(
                 [column(b, "doc_id").cast(pa.int64()), *(pa.array(s[c], pa.int64()) for c in STATS), pa.array(base),
                  pa.array(score), pa.array(~base & ~bad)], _fields(SCORE_SCHEMA))
-    return docs.select("doc_id", "text").mapInArrow(run, SCORE_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), SCORE_SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -354,8 +356,8 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in byte_batches(batches):
+        for b in byte_batches(batches, limit=BATCH_BYTES):
             s = rule_statistics(column(b, "text"))
             keep = ~base_failed(s["n_words"], s["n_repeat_words"]) & ~model.rejects(s)[1]
             yield b.filter(pa.array(keep)).select(names)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -33,14 +33,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadlens.llm.arrays import binary_array, column, give_back, raw
+from loadlens.llm.arrays import binary_array, column, raw, tidy_cogroup, tidy_group
 from loadlens.llm.blocks import block_count, dealt, documents, pack, packed, unpack
 
 LENGTH = 100
 GRAM = 24
 SPAN = LENGTH - GRAM + 1       # grams in a window
-CHUNK_BYTES = 2 << 20
+#: Texts that a worker goes over at a time: each byte takes some 60 in the arrays of hashes beside it.
+CHUNK_BYTES = 1 << 19
 RUN_BYTES = 3 << 19
+#: Pairs of suffixes whose bytes are compared at a time.
+COMPARED = 1 << 17
 BLOCK_BYTES = 8 << 20
 SHARDS_PER_BLOCK = 2
 #: Shards of the windows that are dealt one by one: each byte of a block is at most one window.
@@ -106,7 +109,6 @@ def _anchor_counts(pieces: pa.Table) -> pa.Table:
         best = _sliding(reach, SPAN, np.maximum)[:len(grams)]
         found.append(grams[(best == grams) & (grams > 0)])
     value, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-    give_back()
     return pa.table({"block": pa.array(np.full(len(value), column(pieces, "block")[0].as_py(), np.int32)),
                      "anchor": pa.array(value.view(np.int64)), "n": pa.array(count)})
 
@@ -268,7 +270,6 @@ def _regions(shards: int, spread: int):
                 "row": pa.array(row[pick].astype(np.int32)), "key": pa.array(key[row[pick]]),
                 "start": pa.array(place[pick] - off[row[pick]]), "n": pa.array(n[pick].astype(np.int32)),
                 "content": content.take(pa.array(pick))}))))
-        give_back()
         return _pieces("shard", out)
     return run
 
@@ -291,14 +292,15 @@ def suffix_array(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     code = np.zeros(n, np.uint64)
     for j in range(8):
         code = (code << np.uint64(8)) | wide[j:n + j]
-    order = np.argsort(code, kind="stable")
+    place = np.int32 if n + length < 1 << 31 else np.int64
+    order = np.argsort(code, kind="stable").astype(place)
     head = np.ones(n, dtype=bool)
     head[1:] = code[order[1:]] != code[order[:-1]]
     del code, wide
     depth = 8
-    rank = np.zeros(n + length, np.int64)  # 0 beyond the end; else 1 + the place of the group's head
+    rank = np.zeros(n + length, place)  # 0 beyond the end; else 1 + the place of the group's head
     while True:
-        start = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        start = np.maximum.accumulate(np.where(head, np.arange(n, dtype=place), place(0)))
         rank[order] = start + 1
         if depth >= length:
             return order
@@ -309,7 +311,8 @@ def suffix_array(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
             return order
         step = min(depth, length - depth)
         members = order[at]
-        key = (start[at] << 32) | rank[members + step]
+        key = (start[at].astype(np.int64) << 32) | rank[members + step]
+        del start
         by = np.argsort(key, kind="stable")
         order[at] = members[by]
         key = key[by]
@@ -325,7 +328,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     ``heads`` (where the text's parts begin), bytes are compared, eight at a time.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, order.dtype)
     before[order[1:]] = order[:-1]
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = (before[1:] != before[:-1] + 1) | (before[1:] < 0) | (before[:-1] < 0)
@@ -336,25 +339,27 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, heads: np.ndarray, most
     at = np.flatnonzero(fresh)
     ends = np.append(at[1:], n)  # of each diagonal
     at, ends = at[before[at] >= 0], ends[before[at] >= 0]
-    common = np.zeros(n, np.int64)
+    common = np.zeros(n, order.dtype)
     while len(at):
         fresh[at] = True
-        live = at
-        for depth in range(0, most, 8):
-            a, b = live + depth, before[live] + depth
-            same = (words[a] == words[b]).all(axis=1)
-            part = live[~same]
-            if len(part):
-                common[part] = depth + np.argmin(words[a[~same]] == words[b[~same]], axis=1)
-            live = live[same]
-            common[live] = depth + 8
-            if not len(live):
-                break
+        for first in range(0, len(at), COMPARED):
+            live = at[first:first + COMPARED]
+            for depth in range(0, most, 8):
+                a, b = live + depth, before[live] + depth
+                same = (words[a] == words[b]).all(axis=1)
+                part = live[~same]
+                if len(part):
+                    common[part] = depth + np.argmin(words[a[~same]] == words[b[~same]], axis=1)
+                live = live[same]
+                common[live] = depth + 8
+                if not len(live):
+                    break
         # the byte after a prefix differs; a prefix cut at ``most`` is taken up again while it still counts
         at = at + np.where(common[at] < most, common[at] + 1, most - LENGTH)
         at, ends = at[at < ends], ends[at < ends]
-    position = np.arange(n)
-    source = np.maximum.accumulate(np.where(fresh, position, 0))
+    del before
+    position = np.arange(n, dtype=order.dtype)
+    source = np.maximum.accumulate(np.where(fresh, position, order.dtype.type(0)))
     return np.maximum(common[source] - (position - source), 0)
 
 
@@ -374,8 +379,10 @@ def _classes(content: pa.Array, n: np.ndarray, rank: np.ndarray) -> np.ndarray:
     # neighbours that agree on LENGTH bytes are equal, whether or not each is the start of a window
     joined = common[order] >= LENGTH
     joined[0] = False
-    group = np.cumsum(~joined) - 1
+    group = np.cumsum(~joined, dtype=order.dtype) - 1
+    del common, joined
     own = rank_of[order]
+    del rank_of
     is_window = own >= 0
     group, own, order = group[is_window], own[is_window], order[is_window]
     least = np.full(int(group[-1]) + 1 if len(group) else 0, LAST, np.int64)
@@ -476,7 +483,8 @@ def _finish(digest: bool):
             np.add.at(cover, begin[mine] - base, 1)
             np.add.at(cover, begin[mine] - base + size[mine], -1)
             out = np.cumsum(cover[:-1]) > 0
-            kept.append(data[base:end][~out])
+            if digest:
+                kept.append(data[base:end][~out])
             edge = np.concatenate([[False], out, [False]])
             first, last = np.flatnonzero(edge[1:-1] & ~edge[:-2]), np.flatnonzero(edge[1:-1] & ~edge[2:]) + 1
             # a run over a text's end is two spans
@@ -489,12 +497,11 @@ def _finish(digest: bool):
         owner = np.searchsorted(off, first, "right") - 1
         n_spans = np.bincount(owner, minlength=n)
         n_removed = np.bincount(owner, last - first, n).astype(np.int64)
-        kept = np.concatenate(kept)
-        left = np.concatenate([[0], np.cumsum(np.diff(off) - n_removed)])
         table = {"doc_id": column(docs, "doc_id"), "n_bytes": pa.array(np.diff(off)), "n_removed": pa.array(n_removed),
                  "n_spans": pa.array(n_spans)}
         if digest:
-            view = memoryview(np.ascontiguousarray(kept))
+            left = np.concatenate([[0], np.cumsum(np.diff(off) - n_removed)])
+            view = memoryview(np.concatenate(kept))
             table["kept_sha256"] = pa.array([hashlib.sha256(view[a:z]).hexdigest()
                                              for a, z in zip(left[:-1].tolist(), left[1:].tolist())], pa.string())
         else:
@@ -504,25 +511,30 @@ def _finish(digest: bool):
             table["text"] = _texts(column(docs, "text"), data, off, first, last)
             if "rest" in docs.column_names:
                 table["rest"] = column(docs, "rest")
-        give_back()
         return pa.table(table)
     return run
 
 
 def _texts(texts: pa.Array, data: np.ndarray, off: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Array:
     """The texts without their spans, each cut down to whole characters; a null stays null."""
-    tail = np.append((data & 0xC0) == 0x80, False)  # not the first byte of a character
-    for _ in range(3):
-        first = first + tail[first]
-        last = last - tail[last]
-    keep = np.zeros(len(data) + 1, np.int64)
-    real = last > first
-    np.add.at(keep, first[real], 1)
-    np.add.at(keep, last[real], -1)
-    keep = np.cumsum(keep[:-1]) == 0
-    size = np.array([int(keep[a:z].sum()) for a, z in zip(off[:-1].tolist(), off[1:].tolist())], np.int64)
-    out = binary_array(data[keep], np.concatenate([[0], np.cumsum(size)])).cast(pa.string())
-    return pc.if_else(texts.is_valid(), out, pa.scalar(None, pa.string()))
+    parts = []
+    for a, z in _chunks(off):
+        base, end = int(off[a]), int(off[z])
+        mine = slice(*np.searchsorted(first, [base, end]))
+        begin, stop = first[mine] - base, last[mine] - base
+        part = data[base:end]
+        tail = np.append((part & 0xC0) == 0x80, False)  # not the first byte of a character
+        for _ in range(3):
+            begin = begin + tail[begin]
+            stop = stop - tail[stop]
+        keep = np.zeros(len(part) + 1, np.int32)
+        real = stop > begin
+        np.add.at(keep, begin[real], 1)
+        np.add.at(keep, stop[real], -1)
+        keep = np.cumsum(keep[:-1], dtype=np.int32) == 0
+        left = np.concatenate([[0], np.cumsum(keep)])[off[a:z + 1] - base]
+        parts.append(binary_array(part[keep], left).cast(pa.string()))
+    return pc.if_else(texts.is_valid(), pa.concat_arrays(parts), pa.scalar(None, pa.string()))
 
 
 def _solve(docs: DataFrame, digest: bool, schema: str | T.StructType) -> DataFrame:
@@ -532,13 +544,13 @@ def _solve(docs: DataFrame, digest: bool, schema: str | T.StructType) -> DataFra
     most = max(1, RUN_BYTES // (SPAN + LENGTH))
     pieces = packed(dealt(docs, n, rest=not digest))
     # an anchor is one row per block, so a window partition has at most as many rows as there are blocks
-    counted = pieces.groupBy("block").applyInArrow(_anchor_counts, "block int, anchor long, n long") \
+    counted = pieces.groupBy("block").applyInArrow(tidy_group(_anchor_counts), "block int, anchor long, n long") \
         .withColumn("total", F.sum("n").over(Window.partitionBy("anchor"))).where("total > 1") \
         .select("block", "anchor", (F.col("total") > most).alias("wide"))
     regions = pieces.groupBy("block").cogroup(counted.groupBy("block")) \
-        .applyInArrow(_regions(shards, SPREAD_PER_BLOCK * n), "shard int, piece binary")
-    merged = regions.groupBy("shard").applyInArrow(_merge_or_pass(shards), "block int, piece binary")
-    return pieces.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(_finish(digest), schema)
+        .applyInArrow(tidy_cogroup(_regions(shards, SPREAD_PER_BLOCK * n)), "shard int, piece binary")
+    merged = regions.groupBy("shard").applyInArrow(tidy_group(_merge_or_pass(shards)), "block int, piece binary")
+    return pieces.groupBy("block").cogroup(merged.groupBy("block")).applyInArrow(tidy_cogroup(_finish(digest)), schema)
 
 
 def _merge_or_pass(shards: int):
@@ -549,9 +561,7 @@ def _merge_or_pass(shards: int):
         if shard < 0:
             return pa.table({"block": pa.array([-1 - shard] * pieces.num_rows, pa.int32()),
                              "piece": column(pieces, "piece")})
-        out = _merge_shard(pieces) if shard < shards else _merge_windows(pieces)
-        give_back()
-        return out
+        return _merge_shard(pieces) if shard < shards else _merge_windows(pieces)
     return run
 
 

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_helpers import ODD, SF001, texts
 
-from loadlens.llm import chunks, graph, minhash, queries, suffix
+from loadlens.llm import arrays, chunks, graph, minhash, queries, suffix
+from loadlens.llm.arrays import binary_array
+from loadlens.llm.blocks import pack
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -206,6 +210,56 @@ def test_remove_repeats_cuts_whole_characters_and_keeps_columns(spark):
     assert suffix.remove_repeats(df.limit(0)).count() == 0 and suffix.repeated_digests(df.limit(0)).count() == 0
 
 
+def peak_bytes(run):
+    """What a call takes at most in arrays (numpy reports its own to tracemalloc)."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_takes_little_beside_a_block():
+    """Steps over a whole block hold its bytes and the arrays of a chunk, not those of the block: two workers and the
+    JVM share an executor."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 123, suffix.BLOCK_BYTES, dtype=np.uint8)
+    data[4_000_000:4_003_000] = data[1_000_000:1_003_000]
+    edges = np.arange(0, len(data) + 1, 2048)
+    docs = pa.table({"doc_id": pa.array(np.arange(len(edges) - 1)), "text": binary_array(data, edges).cast(pa.string())})
+    pieces = pa.table({"block": pa.array([0], pa.int32()), "piece": pa.array([pack(docs)], pa.binary())})
+    gone = pa.table({"block": pa.array([0], pa.int32()), "piece": pa.array([pack(suffix._removed(
+        np.array([1953, 1954]), np.array([256, 0]), np.array([1693, 1109])))], pa.binary())})
+    assert peak_bytes(lambda: suffix._anchor_counts(pieces)) < 6 * len(data)
+    assert peak_bytes(lambda: suffix._finish(False)(pieces, gone)) < 6 * len(data)
+    size = 300
+    count = suffix.RUN_BYTES // size
+    regions = binary_array(data[:count * size], np.arange(count + 1) * size)
+    windows = np.full(count, size - suffix.LENGTH + 1)
+    assert peak_bytes(lambda: suffix._classes(regions, windows, np.arange(count))) < 60 * suffix.RUN_BYTES
+
+
+def test_memory_goes_back_when_a_task_holds_nothing_more(monkeypatch):
+    """Workers wait beside the next stage's: what a task's last batch took must be free when it is given back."""
+    class Taken:
+        pass
+    seen, alive = [], []
+    monkeypatch.setattr(arrays, "give_back", lambda: alive.append([r() is not None for r in seen]))
+
+    def batches(source):
+        for _ in source:
+            taken = Taken()
+            seen.append(weakref.ref(taken))
+            yield 1
+
+    def tables(*given):
+        return batches(iter(given)).__next__()
+    assert list(arrays.tidy(batches)(iter("ab"))) == [1, 1]
+    assert arrays.tidy_group(tables)("a") == 1 and arrays.tidy_cogroup(tables)("a", "b") == 1
+    assert len(alive) == 3 and not any(map(any, alive))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from([b"a", b"ab", b"abc" * 40, b"q", b"zz" * 70, b"\x00" * 30]), max_size=30))
 def test_suffix_array_and_common_prefixes(parts):

@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,27 @@ def test_labels_with_gaps(spark):
     assert all(r["kept"] == (not r["base_failed"]) for r in quality.judge(df, quality.fit(df, one_class)).collect())
 
 
+def test_statistics_of_a_large_batch_take_little_memory():
+    """Texts are counted about a megabyte at a time, however many rows Spark hands over at once."""
+    class Frame:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+    rng = np.random.default_rng(4)
+    text = "".join(chr(c) for c in rng.choice([32, *range(97, 123)], 2000))
+    batch = pa.record_batch({"doc_id": pa.array(range(4000)), "text": pa.array([f"{i} {text}" for i in range(4000)])})
+    tracemalloc.start()
+    try:
+        found = list(quality.document_statistics(Frame())(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 4000
+    assert peak < 40 << 20
+
+
 def test_order_statistics_are_exact(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.random(3000) ** 9, np.zeros(500), [1.0, 5e-324, 1e300]])
