@@ -26,7 +26,8 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 64
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as written to the shared folder."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -39,14 +40,14 @@ def label_slots(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         .unpivot([], list(columns), "feature", "value").filter(F.col("value").isNotNull()) \
         .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
     order = (F.col("feature"), F.col("n").desc(), F.col("value"))
-    dealt = _written(counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = written(counts.repartitionByRange(*order).sortWithinPartitions(*order)
                      .withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()),
                      "labels")
     spans = dealt.groupBy("feature", "part").agg(F.count(F.lit(1)).alias("size"), F.min("place").alias("first"))
     before = Window.partitionBy("feature").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = spans.select("feature", "part", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
     # one row per range and feature; the numbered dictionary is written, since every pass of a fit reads it
-    return _written(dealt.join(F.broadcast(offsets), ["feature", "part"])
+    return written(dealt.join(F.broadcast(offsets), ["feature", "part"])
                     .select("feature", "value", "n", (F.col("offset") + F.col("place") - F.col("first")).alias("slot")),
                     "slots")
 

@@ -4,7 +4,8 @@ Steps: choose target and candidate features from the schema; drop all-null,
 single-valued and timestamp features (one aggregate pass); deterministic
 80/20 split by a seeded hash of every column; numeric block = mean impute +
 standardise; text block = most-frequent impute + one-hot (unseen -> all
-zeros); forest; test-part metrics; importances named from the assembler
+zeros); forest, over cells of equal bins where rows share them
+(``cell_forest``); test-part metrics; importances named from the assembler
 metadata; an actual-vs-predicted sample and its least-squares trend line.
 
 Scale notes: split and sample are functions of the seed and of each row's
@@ -14,8 +15,8 @@ The training rows are dealt by that hash to as many partitions as their number
 asks for, so the forest's per-partition bagging does not depend on the cluster
 either; MAX_PARTITIONS at most, since on every level each partition sends the
 statistics of all open nodes, however few rows it has. The prepared frame is
-persisted for the many passes of the fit, the predictions are checkpointed into
-the shared folder.
+persisted for the many passes of the fit, the predictions are written into the
+shared folder.
 Only bounded things reach the driver: one row of per-feature statistics, one
 mode and one number of categories per text column, and the importance vector.
 The labels of text features stay in a distributed dictionary (``encoding``).
@@ -37,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DateType, DoubleType, FloatType, NumericType, StringType,
                                TimestampNTZType, TimestampType)
 
-from loadlens.operators.encoding import SlotEncoder, category_counts, label_slots, slot_names
+from loadlens.operators import cell_forest
+from loadlens.operators.encoding import BROADCAST_BYTES, SlotEncoder, category_counts, label_slots, slot_names, written
 from loadlens.session import checkpoint_dir
 
 log = logging.getLogger(__name__)
@@ -51,6 +53,7 @@ SAMPLE_ROWS = 500
 TOP_IMPORTANCES = 10
 ROWS_PER_PARTITION = 40_000
 MAX_PARTITIONS = 48             # of the forest's rows: bounds what a level shuffles
+KEY_BYTES = 32                  # of a copy key in a broadcast
 COPY_SALTS = 64                 # parts over which the copies of one row are numbered
 NODE_STATS_MB = 1024            # statistics gathered in one pass over the data
 
@@ -93,18 +96,38 @@ def row_text(df: DataFrame, seed: int = SEED) -> Column:
     return F.concat_ws("\x1f", F.lit(str(seed)), *cells)
 
 
-def with_row_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
+def copy_key(df: DataFrame) -> Column:
+    """A 64-bit number that rows of equal text share: numbers and days by value, other cells by text. Only a separator in
+    a cell can make texts equal whose cells differ; rows with one share the number 0."""
+    plain = (NumericType, BooleanType, DateType, TimestampNTZType)
+    texts = [F.coalesce(F.col(f"`{f.name}`").cast("string"), F.lit("\x1e")) for f in df.schema.fields
+             if not isinstance(f.dataType, plain)]
+    key = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, plain)], *texts, F.lit(0))
+    for t in texts:
+        key = F.when(t.contains("\x1f"), F.lit(0)).otherwise(key)
+    return key
+
+
+def repeated_keys(df: DataFrame) -> DataFrame:
+    """The copy keys of more than one row, and the null-free column ``__key`` they stand in."""
+    return df.select(copy_key(df).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__c")) \
+        .filter("__c > 1").select("__key")
+
+
+def with_row_hash(df: DataFrame, seed: int = SEED, repeated: DataFrame | None = None) -> DataFrame:
     """Add a 60-bit hash of the seed, all columns, and the row's number among its exact copies.
 
     It depends on nothing but the table's rows: not on files, partitions or cores; and as MD5 of texts it can be stated
-    in any SQL. Digests are counted first (a partial aggregate of 16-byte keys): a row whose digest is the only one has
-    number 1 and is not moved at all where few rows have copies. Copies are numbered by a window per distinct row in two
-    steps, so that a row repeated billions of times is no single task's work: within a salt (the scan's own row ids
-    spread it), then by the sizes of the salts before. Which copy has which number is immaterial.
+    in any SQL. Copy keys are counted first (a partial aggregate of 8-byte keys, without texts): a row whose key is the only
+    one has number 1 and is not moved at all where few rows have copies. The others are numbered by a window per distinct
+    row in two steps, so that a row repeated billions of times is no single task's work: within a salt (the scan's own row
+    ids spread it), then by the sizes of the salts before. Which copy has which number is immaterial.
+    ``repeated``: ``repeated_keys(df)``, if it is at hand.
     """
-    rows = df.withColumn("__plain", F.md5(row_text(df, seed).cast("binary")))
-    twice = rows.groupBy("__plain").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1").select("__plain")
-    salted = rows.join(twice, "__plain", "left_semi") \
+    rows = df.withColumn("__key", copy_key(df))
+    twice = repeated_keys(df) if repeated is None else repeated
+    plain = F.md5(row_text(df, seed).cast("binary"))
+    salted = rows.join(twice, "__key", "left_semi").withColumn("__plain", plain) \
         .withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(COPY_SALTS)))
     numbered = salted.withColumn("__n", F.row_number().over(
         Window.partitionBy("__plain", "__salt").orderBy(F.lit(1))))
@@ -114,7 +137,7 @@ def with_row_hash(df: DataFrame, seed: int = SEED) -> DataFrame:
     first = sizes.withColumn("__first", F.sum("__c").over(before)).filter("__first > 0").drop("__c")
     copies = numbered.join(first, ["__plain", "__salt"], "left") \
         .withColumn("__n", F.coalesce("__first", F.lit(0)) + F.col("__n"))
-    alone = rows.join(twice, "__plain", "left_anti").withColumn("__n", F.lit(1).cast("long"))
+    alone = rows.join(twice, "__key", "left_anti").withColumn("__plain", plain).withColumn("__n", F.lit(1).cast("long"))
     own = F.md5(F.concat(F.col("__plain"), F.lit(":"), F.col("__n").cast("string")).cast("binary"))
     names = [F.col(f"`{c}`") for c in df.columns]
     return alone.select(*names, "__plain", "__n").unionByName(copies.select(*names, "__plain", "__n")) \
@@ -176,8 +199,10 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
     # partition holds the same rows in the same order wherever it runs. Profile, modes, pre-processing fits and the
     # per-level passes of the forest all read this copy.
     known = df.filter(F.col(target).isNotNull())
+    repeated = repeated_keys(known).persist(StorageLevel.MEMORY_AND_DISK)
+    small = repeated.count() * KEY_BYTES <= BROADCAST_BYTES
     parts = min(MAX_PARTITIONS, max(1, -(-known.count() // ROWS_PER_PARTITION)))
-    base = (with_row_hash(known, seed).select(target, *feats, ROW_HASH, in_training().alias("__train"))
+    base = (with_row_hash(known, seed, F.broadcast(repeated) if small else repeated).select(target, *feats, ROW_HASH, in_training().alias("__train"))
             .repartition(parts, ROW_HASH).sortWithinPartitions(ROW_HASH)
             .persist(StorageLevel.MEMORY_AND_DISK))
     phases: list[tuple[str, float]] = []
@@ -236,24 +261,41 @@ def fit_forest(df: DataFrame, target: str, features: Sequence[str] | None = None
         stages.append(VectorAssembler(inputCols=vec_inputs, outputCol="features"))
         # node ids are cached between levels; a level's follow from the one before by a narrow step, so they need no
         # checkpoint (four bytes per row and tree)
-        stages.append(RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
-                                            numTrees=num_trees, maxDepth=max_depth, seed=seed,
-                                            featureSubsetStrategy="all",
-                                            cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
-                                            checkpointInterval=-1, maxMemoryInMB=NODE_STATS_MB))
+        learner = RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction",
+                                        numTrees=num_trees, maxDepth=max_depth, seed=seed,
+                                        featureSubsetStrategy="all",
+                                        cacheNodeIds=bool(checkpoint_dir(df.sparkSession)),
+                                        checkpointInterval=-1, maxMemoryInMB=NODE_STATS_MB)
         n_train = train.count()
         if n_train < 2:
             raise ValueError(f"need at least 2 training rows, got {n_train}")
-        model = Pipeline(stages=stages).fit(train)
-        phase("pipeline fit")
+        before = Pipeline(stages=stages).fit(train)
+        phase("features")
+        encoded = before.transform(train)
+        scaled = _scaled(before.stages[2], numeric) if numeric else []
+        counts = {f"{c}__idx": sizes[c] for c in text}
+        cells = cell_forest.plan(encoded, target, scaled, counts, ROW_HASH, n_train)
+        phase("cells")
+        if cells:
+            forest = cell_forest.fit(cells, learner, len(numeric) + sum(sizes.values()))
+        else:
+            forest = learner.fit(encoded)
+        model = PipelineModel(stages=[*before.stages, forest])
+        phase("forest fit")
         # Every output (metrics, sample, trend) reads the test-part predictions: written once to the shared folder
         # while the persisted copy is there, so nothing stays cached and no executor is needed for them.
-        predicted = model.transform(test).select(target, *numeric, *text, ROW_HASH, "features", "prediction")
+        if cells:
+            tail = PipelineModel(stages=[*before.stages[-2 if text else -1:], forest])
+            predicted, stayed = cell_forest.predict(cells, before.transform(test), scaled, list(counts), "__num_std", tail)
+            predicted = predicted if stayed else _dealt(predicted, parts)
+        else:
+            predicted = model.transform(test)
         names = _slot_names(df.sparkSession, numeric, slots, sizes)
-        preds = predicted.drop("features").checkpoint()
+        preds = written(predicted.select(target, *numeric, *text, ROW_HASH, "prediction"), "predictions")
         phase("predict test part")
     finally:
         base.unpersist()
+        repeated.unpersist()
     log.info("forest job phases (s): %s", phases)
     return ForestRun(target, numeric, text, dropped, model, train, test, preds, names, n_train)
 
@@ -272,6 +314,12 @@ def _cap_categories(train: DataFrame, test: DataFrame, text: Sequence[str], k: i
     return train, test
 
 
+def _scaled(scaler, numeric: Sequence[str]) -> list[Column]:
+    """What the scaler makes of the imputed columns, as columns instead of a vector: the same operations on doubles."""
+    factors = [1.0 / s if s != 0.0 else 0.0 for s in scaler.std]
+    return [(F.col(f"`{c}__imp`") - F.lit(float(m))) * F.lit(float(f)) for c, m, f in zip(numeric, scaler.mean, factors)]
+
+
 def _dealt(df: DataFrame, parts: int) -> DataFrame:
     """Rows in the order that the row hash gives, wherever a join has left them."""
     if ROW_HASH not in df.columns:
